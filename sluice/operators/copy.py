@@ -175,48 +175,48 @@ COPY_REPORT = T.StructType(
 _CHUNK = 8 << 20
 
 
-def _open_uri(uri: str):
-    """Arrow file system and path of a URI, on an executor."""
-    from pyarrow import fs
+def _copier(chunk: int = _CHUNK):
+    """The executor side of a byte copy.
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    scheme, rest = uri.split("://", 1)
-    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
-
-
-def copy_bytes(source: str, target: str) -> int:
-    """Stream one file in chunks. The target appears under its name only when complete,
-
-    so a retried or speculative task cannot leave or expose a partial file.
+    Nested functions travel with the task, so executors need no copy of this package.
     """
-    source_fs, source_path = _open_uri(source)
-    target_fs, target_path = _open_uri(target)
-    folder, _, name = target_path.rpartition("/")
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    target_fs.create_dir(folder, recursive=True)
-    total = 0
-    try:
-        with source_fs.open_input_stream(source_path) as reader, target_fs.open_output_stream(part) as writer:
-            while chunk := reader.read(_CHUNK):
-                writer.write(chunk)
-                total += len(chunk)
-        target_fs.move(part, target_path)
-    except BaseException:
-        from pyarrow import fs
-
-        if target_fs.get_file_info(part).type != fs.FileType.NotFound:
-            target_fs.delete_file(part)
-        raise
-    return total
 
+    def open_uri(uri: str):
+        from pyarrow import fs
 
-def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        copied = [copy_bytes(s, t) for s, t in zip(batch["source"], batch["target"])]
-        yield batch.assign(copied=copied)[["source", "target", "expected", "copied"]]
+        if uri.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+        scheme, _, rest = uri.partition("://")
+        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+    def copy_bytes(source: str, target: str) -> int:
+        # The target appears under its name only when complete, so a retried or
+        # speculative task neither leaves nor shows part of a file.
+        source_fs, source_path = open_uri(source)
+        target_fs, target_path = open_uri(target)
+        folder, _, name = target_path.rpartition("/")
+        part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        target_fs.create_dir(folder, recursive=True)
+        total = 0
+        try:
+            with source_fs.open_input_stream(source_path) as reader:
+                with target_fs.open_output_stream(part) as writer:
+                    while data := reader.read(chunk):
+                        writer.write(data)
+                        total += len(data)
+            target_fs.move(part, target_path)
+        except BaseException:
+            if target_fs.get_file_info(part).is_file:
+                target_fs.delete_file(part)
+            raise
+        return total
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            copied = [copy_bytes(s, t) for s, t in zip(frame["source"], frame["target"])]
+            yield frame.assign(copied=copied)[["source", "target", "expected", "copied"]]
+
+    return batches
 
 
 def copy_files(
@@ -245,7 +245,7 @@ def copy_files(
         plan = plan.join(present, "target", "left_anti").select("source", "target", "expected")
     plan = pin(plan, "file-plan")
     tasks = max(spark.sparkContext.defaultParallelism, plan.count() // files_per_task + 1)
-    report = plan.repartition(tasks, "source").mapInPandas(_copy_batches, COPY_REPORT)
+    report = plan.repartition(tasks, "source").mapInPandas(_copier(), COPY_REPORT)
     path = new_scratch(spark, "file-report")
     report.write.parquet(path)
     return spark.read.schema(COPY_REPORT).parquet(path)

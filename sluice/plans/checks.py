@@ -203,7 +203,7 @@ def statements() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["list_partitions"] = f"SELECT name, row_count FROM {EVENT_PARTS}"
     sql["catalog_partitions"] = (
-        f"SELECT day, hour, name, true AS has_bytes FROM {EVENT_PARTS} WHERE day = '2024-01-17'"
+        f"SELECT ship_year, ship_month, name, true AS has_bytes FROM {LINE_PARTS} WHERE ship_year = '1997'"
     )
     sql["last_n_partitions"] = f"SELECT name, row_count FROM {EVENT_PARTS} ORDER BY name DESC LIMIT 48"
     sql["last_n_top_level"] = f"""SELECT name, row_count FROM (
@@ -227,19 +227,19 @@ def statements() -> dict[str, str]:
     sql["partition_filter_join"] = (
         f"SELECT event_id, day, hour FROM {EVENTS} WHERE day BETWEEN '2024-01-01' AND '2024-01-30' AND {before_noon}"
     )
-    sql["partition_semi_join"] = f"""SELECT event_id, day, hour FROM {EVENTS} WHERE {EVENT_NAME} IN (
-        SELECT name FROM {EVENT_PARTS} ORDER BY name DESC LIMIT 24)"""
+    sql["partition_semi_join"] = f"""SELECT {LINE_OUT} FROM {LINES} WHERE {LINE_NAME} IN (
+        SELECT name FROM {LINE_PARTS} ORDER BY name DESC LIMIT 24)"""
 
     sql["source_summary"] = f"SELECT * FROM {_summary()}"
     sql["source_totals"] = f"""SELECT count(*) FILTER (error IS NULL) AS valid,
         count(*) FILTER (error IS NOT NULL) AS invalid, CAST(sum(bytes) AS BIGINT) AS bytes FROM {_summary()}"""
-    line_bytes = "strlen(concat_ws('|', event_id, user_id, event_type, props)) + 1"
+    line_bytes = f"strlen(concat_ws('|', {', '.join(LINE_KEYS)}, l_returnflag, l_linestatus)) + 1"
     sql["partition_bytes"] = (
-        f"SELECT {EVENT_NAME} AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes FROM {EVENTS} GROUP BY ALL"
+        f"SELECT {LINE_NAME} AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes FROM {LINES} GROUP BY ALL"
     )
-    sql["source_summary_folders"] = f"""SELECT 'events' AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes,
-        count(DISTINCT {EVENT_NAME}) AS files, count(DISTINCT {EVENT_NAME}) AS partitions,
-        CAST(NULL AS VARCHAR) AS error FROM {EVENTS}"""
+    sql["source_summary_folders"] = f"""SELECT 'lineitem' AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes,
+        count(DISTINCT {LINE_NAME}) AS files, count(DISTINCT {LINE_NAME}) AS partitions,
+        CAST(NULL AS VARCHAR) AS error FROM {LINES}"""
 
     sql["sample_policy"] = _policy(20_000, "NULL")
     sql["sample_policy_size_default"] = _policy(0, "30000")
@@ -258,8 +258,8 @@ def statements() -> dict[str, str]:
         WHERE {_sampled('0.02', 'event_id')} GROUP BY ALL"""
     sql["full_copy"] = f"""SELECT order_month, count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS keys
         FROM {ORDERS} GROUP BY ALL UNION ALL SELECT '{EMPTY_MONTH}', 0, NULL"""
-    sql["copy_files"] = f"""SELECT day, hour, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS ids,
-        CAST(0 AS BIGINT) AS incomplete_files FROM {EVENTS} GROUP BY ALL"""
+    sql["copy_files"] = f"""SELECT ship_year, ship_month, count(*) AS row_count,
+        CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS incomplete_files FROM {LINES} GROUP BY ALL"""
     sql["copy_files_report"] = " UNION ALL ".join(
         f"SELECT '{name}.parquet' AS file, '{name}.parquet' AS copy, true AS has_bytes, true AS complete"
         for name in _WIDTHS
@@ -269,9 +269,9 @@ def statements() -> dict[str, str]:
     event_sample = _sampled("0.1", "event_id")
     sql["incremental_copy"] = f"""SELECT event_id, day, hour, {_arrival()} AS arrived
         FROM {EVENTS} WHERE {event_sample}"""
-    sql["stream_incremental_copy"] = f"SELECT event_id, day, hour FROM {EVENTS} WHERE {event_sample}"
+    sql["stream_incremental_copy"] = f"SELECT event_id, day FROM {EVENTS} WHERE {event_sample}"
     sql["staged_publish"] = f"""SELECT {EVENT_NAME} AS name, count(*) AS row_count,
-        CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {event_sample} GROUP BY ALL"""
+        CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {_sampled('0.02', 'event_id')} GROUP BY ALL"""
     sql["copy_with_hooks"] = f"""SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS c_name,
         c_mktsegment, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS side_lines
         FROM customer WHERE {_sampled('0.5', 'c_custkey')}"""
@@ -299,7 +299,7 @@ def statements() -> dict[str, str]:
           's3a://shared/loose/' || name || '/rows.parquet'
         FROM {LINE_PARTS}"""
     sql["attach"] = (
-        f"SELECT name, row_count FROM {EVENT_PARTS} UNION ALL SELECT name, row_count FROM {ORDER_PARTS}"
+        f"SELECT name, row_count FROM {LINE_PARTS} UNION ALL SELECT name, row_count FROM {ORDER_PARTS}"
     )
     sql["partition_count_query"] = f"""SELECT day, hour, count(*) AS row_count FROM {EVENTS}
         WHERE {_sampled('0.5', 'event_id')} AND day >= '2024-01-29' AND {EVENT_NAME} IN (

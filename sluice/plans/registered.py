@@ -20,7 +20,7 @@ from sluice.operators import copy, hooks, ledger, register, registry, sample, se
 from sluice.plans import run as runs
 from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files, formats
-from sluice.sources.layouts import EVENT_HOUR, ORDER_MONTH, SHIP_MONTH
+from sluice.sources.layouts import EVENT_DAY, EVENT_HOUR, ORDER_MONTH, SHIP_MONTH
 from sluice.sources.tables import (
     SourceTable,
     catalog_partitions,
@@ -70,13 +70,13 @@ def q_list_partitions(spark, folder):
 
 
 def q_catalog_partitions(spark, folder):
-    """Registered partitions below a partial spec, with their folder sizes checked present."""
-    laid = _laid_out(spark, table(spark, folder, "events"))
-    name = f"{_database(spark)}.events"
+    """Registered partitions below a partial spec, each with a folder that holds bytes."""
+    laid = _laid_out(spark, table(spark, folder, "lineitem"))
+    name = f"{_database(spark)}.lineitem"
     register.register_copy(spark, name, laid.frame.schema, laid.partition_columns, laid.location)
-    listed = catalog_partitions(spark, name, {"day": "2024-01-17"})
+    listed = catalog_partitions(spark, name, {"ship_year": "1997"})
     present = folder_partitions(spark, laid).select("name", (F.col("bytes") > 0).alias("has_bytes"))
-    return listed.join(present, "name").select("day", "hour", "name", "has_bytes")
+    return listed.join(present, "name").select("ship_year", "ship_month", "name", "has_bytes")
 
 
 def q_last_n_partitions(spark, folder):
@@ -163,9 +163,9 @@ def q_partition_filter_join(spark, folder):
 
 def q_partition_semi_join(spark, folder):
     """Rows of the last 24 partitions of a laid-out copy, by a pruned semi join."""
-    laid = _laid_out(spark, table(spark, folder, "events"))
+    laid = _laid_out(spark, table(spark, folder, "lineitem"))
     chosen = pin(select.last_n(folder_partitions(spark, laid), 24))
-    return select.rows_of(laid.frame, chosen, laid.partition_columns).select("event_id", "day", "hour")
+    return select.rows_of(laid.frame, chosen, laid.partition_columns).select(*LINE_OUT)
 
 
 # --- sizes ------------------------------------------------------------------------------
@@ -193,13 +193,16 @@ def q_source_totals(spark, folder):
 
 
 def _text_copy(spark, folder) -> SourceTable:
-    """events as one text line per row, so that file sizes follow from the rows."""
-    source = table(spark, folder, "events")
-    line = F.concat_ws("|", "event_id", "user_id", "event_type", "props").alias("line")
+    """lineitem as one text line per row, so that file sizes follow from the rows."""
+    source = table(spark, folder, "lineitem")
+    columns = list(source.partition_columns)
+    line = F.concat_ws("|", *LINE_KEYS, "l_returnflag", "l_linestatus").alias("line")
     path = new_scratch(spark, "text")
-    copy.write_partitioned(source.frame.select(line, "day", "hour"), path, ["day", "hour"], source="text")
-    schema = T.StructType().add("value", "string").add("day", "string").add("hour", "string")
-    return open_folder(spark, "events", path, schema, ("day", "hour"), "text")
+    copy.write_partitioned(source.frame.select(line, *columns), path, columns, source="text")
+    schema = T.StructType().add("value", "string")
+    for name in columns:
+        schema = schema.add(name, "string")
+    return open_folder(spark, "lineitem", path, schema, tuple(columns), "text")
 
 
 def q_partition_bytes(spark, folder):
@@ -209,7 +212,7 @@ def q_partition_bytes(spark, folder):
 
 def q_source_summary_folders(spark, folder):
     """The summary of a laid-out table: sizes and partitions from the listing alone."""
-    return source_summary(spark, {"events": _text_copy(spark, folder)}, {})
+    return source_summary(spark, {"lineitem": _text_copy(spark, folder)}, {})
 
 
 # --- policy and samples -----------------------------------------------------------------
@@ -317,14 +320,15 @@ def q_full_copy(spark, folder):
 
 def q_copy_files(spark, folder):
     """A byte copy of a laid-out table reads back like the original; all bytes arrived."""
-    laid = _laid_out(spark, table(spark, folder, "events"))
+    laid = _laid_out(spark, table(spark, folder, "lineitem"))
+    columns = list(laid.partition_columns)
     target = new_scratch(spark, "bytes")
     report = copy.copy_files(spark, laid.location, target)
     short = copy.incomplete(report).agg(F.count("*").alias("incomplete_files"))
-    moved = open_folder(spark, "events", target, laid.frame.schema, laid.partition_columns)
+    moved = open_folder(spark, "lineitem", target, laid.frame.schema, laid.partition_columns)
     return _with_scalar(
-        moved.frame.groupBy("day", "hour").agg(
-            F.count("*").alias("row_count"), F.sum("event_id").alias("ids")
+        moved.frame.groupBy(*columns).agg(
+            F.count("*").alias("row_count"), F.sum("l_orderkey").alias("keys")
         ),
         short,
     )
@@ -366,11 +370,10 @@ def q_incremental_copy(spark, folder):
     source = table(spark, folder, "events")
     columns = list(source.partition_columns)
     path = new_scratch(spark, "incremental")
-    laid = _laid_out(spark, source)
-    listed = folder_partitions(spark, laid).select(*columns, "name")
+    listed = list_partitions(source).select(*columns, "name")
     early = pin(listed.where(F.col("day") <= FIRST_DAYS_END))
-    copy.sample_copy(spark, laid, path, 0.1, ("event_id",), early)
-    arrived = copy.incremental_copy(spark, laid, path, listed, 0.1, ("event_id",))
+    copy.sample_copy(spark, source, path, 0.1, ("event_id",), early)
+    arrived = copy.incremental_copy(spark, source, path, listed, 0.1, ("event_id",))
     copied = open_folder(spark, "events", path, source.frame.schema, tuple(columns)).frame
     second = arrived.select(*columns).withColumn("arrived", F.lit("second"))
     return copied.join(second, columns, "left").select(
@@ -380,7 +383,7 @@ def q_incremental_copy(spark, folder):
 
 def q_stream_incremental_copy(spark, folder):
     """The same two steps as a stream over an arriving folder tree, run twice plus once idle."""
-    source = table(spark, folder, "events")
+    source = open_flat(spark, folder, "events", EVENT_DAY)
     columns = list(source.partition_columns)
     landing, target, state = (new_scratch(spark, x) for x in ("landing", "streamed", "state"))
     schema = source.frame.schema
@@ -390,9 +393,7 @@ def q_stream_incremental_copy(spark, folder):
         if part is not None:
             copy.write_partitioned(part, landing, columns, mode="append")
         stream_copy(spark, landing, schema, columns, target, state, 0.1, ("event_id",))
-    return open_folder(spark, "events", target, schema, tuple(columns)).frame.select(
-        "event_id", "day", "hour"
-    )
+    return open_folder(spark, "events", target, schema, tuple(columns)).frame.select("event_id", "day")
 
 
 def q_staged_publish(spark, folder):
@@ -400,7 +401,7 @@ def q_staged_publish(spark, folder):
     source = table(spark, folder, "events")
     target = f"{new_scratch(spark, 'publish')}/events"
     copy.staged_publish(
-        spark, lambda path: copy.sample_copy(spark, source, path, 0.1, ("event_id",)), target
+        spark, lambda path: copy.sample_copy(spark, source, path, 0.02, ("event_id",)), target
     )
     siblings = files.list_files(spark, target.rpartition("/")[0]).agg(
         F.count_if(F.contains("path", F.lit(copy.STAGING_HINT))).alias("staged_files")
@@ -530,7 +531,7 @@ def q_attach(spark, folder):
     """Replay the table statements of a log elsewhere, and count rows through the catalog."""
     root = new_scratch(spark, "shared")
     log = f"{root}/copy-log"
-    for name in ("events", "orders"):
+    for name in ("lineitem", "orders"):
         source = table(spark, folder, name)
         done = copy.full_copy(spark, source, f"{root}/lake/{name}")
         location = F.concat(F.lit(f"/lake/{name}/"), F.col("name"))
@@ -543,12 +544,13 @@ def q_attach(spark, folder):
         )
     database = _database(spark)
     register.attach(spark, register.read_log(spark, log), root, database)
-    events = spark.table(f"{database}.events").groupBy(paths.partition_name(["day", "hour"]).alias("name"))
-    orders = spark.table(f"{database}.orders").groupBy(paths.partition_name(["order_month"]).alias("name"))
-    return (
-        events.agg(F.count("*").alias("row_count"))
-        .unionByName(orders.agg(F.count("*").alias("row_count")))
-    )
+    counts = [
+        spark.table(f"{database}.{name}")
+        .groupBy(paths.partition_name(LAYOUTS[name].columns).alias("name"))
+        .agg(F.count("*").alias("row_count"))
+        for name in ("lineitem", "orders")
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 ACCEPTANCE = "SELECT day, hour, count(*) AS row_count FROM {table} WHERE day >= '2024-01-29' GROUP BY day, hour"

@@ -89,4 +89,5 @@ class Layout:
 
 SHIP_MONTH = Layout("l_shipdate", (TimeLevel("ship_year", "yyyy"), TimeLevel("ship_month", "MM", "-")))
 EVENT_HOUR = Layout("ts", (TimeLevel("day", "yyyy-MM-dd"), TimeLevel("hour", "HH", " ")))
+EVENT_DAY = Layout("ts", (TimeLevel("day", "yyyy-MM-dd"),))
 ORDER_MONTH = Layout("o_orderdate", (TimeLevel("order_month", "yyyy-MM"),))
