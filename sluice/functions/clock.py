@@ -36,6 +36,11 @@ def from_epoch_millis(millis: Column) -> Column:
     return F.timestamp_millis(millis).cast("timestamp_ntz")
 
 
+def utc_now() -> Column:
+    """The query's start in UTC, without zone, whatever the session's zone is."""
+    return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+
+
 def elapsed_text(seconds: Column) -> Column:
     """Seconds as ``h:mm:ss``."""
     whole = seconds.cast("long")

@@ -53,12 +53,13 @@ def full_copy(
     table: SourceTable,
     path: str,
     chosen: DataFrame | None = None,
-    source: str = "parquet",
+    stored_as: str | None = None,
 ) -> SourceTable:
     """All rows of the chosen partitions (pinned), or of the whole table."""
     rows = table.frame
     if chosen is not None and table.partition_columns:
         rows = select.rows_of(rows, chosen, table.partition_columns)
+    source = stored_as or table.stored_as
     write_partitioned(rows, path, table.partition_columns, cluster=table.location is None, source=source)
     return _result(spark, table, path, source)
 
@@ -73,13 +74,14 @@ def sample_copy(
     method: str = "md5",
     seed: int = 0,
     before_sample: Sequence[Callable[[DataFrame], DataFrame]] = (),
-    source: str = "parquet",
+    stored_as: str | None = None,
 ) -> SourceTable:
-    """One Bernoulli sample over all chosen partitions.
+    """One Bernoulli sample over all chosen partitions, in the source's storage format.
 
     Only the sampled share is shuffled. A partition whose sample is empty does not exist
     in the copy.
     """
+    source = stored_as or table.stored_as
     rows = table.frame
     if chosen is not None and table.partition_columns:
         rows = select.rows_of(rows, chosen, table.partition_columns)
@@ -127,6 +129,7 @@ def incremental_copy(
         columns,
         mode="overwrite",
         cluster=table.location is None or p < 1,
+        source=table.stored_as,
         options={"partitionOverwriteMode": "dynamic"},
     )
     return missing
@@ -225,12 +228,14 @@ def copy_files(
     target_base: str,
     pattern: str | None = None,
     overwrite: bool = True,
-    files_per_task: int = 8,
+    bytes_per_task: int = 1 << 30,
+    files_per_task: int = 1_000,
 ) -> DataFrame:
     """Copy every file below ``source_base`` to the same place below ``target_base``.
 
     Each file goes from storage to storage on an executor; only names and lengths travel
-    through Spark. Without ``overwrite`` files that exist stay as they are. Returns the
+    through Spark. Tasks are many and small, so that a folder with most of the bytes is
+    shared by all executors and a lost one repeats little. Without ``overwrite`` files that exist stay as they are. Returns the
     report, one row per file, kept in the scratch folder so that reading it twice does
     not copy twice.
     """
@@ -244,7 +249,12 @@ def copy_files(
         present = files.list_files(spark, target_base).select(F.col("path").alias("target"))
         plan = plan.join(present, "target", "left_anti").select("source", "target", "expected")
     plan = pin(plan, "file-plan")
-    tasks = max(spark.sparkContext.defaultParallelism, plan.count() // files_per_task + 1)
+    total = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("expected"), F.lit(0)).alias("size")).first()
+    tasks = max(
+        spark.sparkContext.defaultParallelism,
+        total["size"] // bytes_per_task + 1,
+        total["n"] // files_per_task + 1,
+    )
     report = plan.repartition(tasks, "source").mapInPandas(_copier(), COPY_REPORT)
     path = new_scratch(spark, "file-report")
     report.write.parquet(path)
@@ -266,7 +276,7 @@ def incomplete(report: DataFrame) -> DataFrame:
     return report.where(F.col("copied") != F.col("expected"))
 
 
-def below_base(listing: DataFrame, base: str) -> DataFrame:
+def common_location(listing: DataFrame, base: str) -> DataFrame:
     """Guard: every listed path must lie below the base, else an error."""
     return listing.where(
         F.when(paths.is_below(F.col("path"), base), F.lit(True)).otherwise(

@@ -163,7 +163,7 @@ def append_log(
 
     A block is a folder of its own, so tables that finish at the same time do not meet.
     """
-    stamp = clock.sortable_text(F.current_timestamp() if written_at is None else written_at)
+    stamp = clock.sortable_text(clock.utc_now() if written_at is None else written_at)
     (
         statements.select(
             stamp.alias("written_at"),

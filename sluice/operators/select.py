@@ -184,8 +184,12 @@ def resolve(
     top_level_cap: int = -1,
     top_level_column: str | None = None,
 ) -> DataFrame:
-    """The partitions a request selects. A spec that matches nothing is an error."""
+    """The partitions a request selects. A spec that matches nothing is an error.
+
+    With specs the list is read twice, so it is pinned first.
+    """
     if specs:
+        partitions = pin(partitions, "partitions")
         missing = unmatched_specs(partitions, specs)
         if missing:
             text = ", ".join(f"{k}={v}" for k, v in missing[0].items())
@@ -232,10 +236,6 @@ def rows_of_specs(table: SourceTable, specs: Sequence[PartitionSpec]) -> DataFra
     return matching(frame, specs)
 
 
-def name_order(partitions: DataFrame) -> DataFrame:
-    return partitions.orderBy("name")
-
-
 def specs_from_text(spark, texts: Sequence[str]) -> list[tuple[str | None, list[dict[str, str]]]]:
     """Request texts ``db.table (a='1', b=2) (…)`` as name and specs; name None if unreadable."""
     rows = local_rows(spark, [(i, t) for i, t in enumerate(texts)], "i int, text string")

@@ -264,6 +264,7 @@ def statements() -> dict[str, str]:
         f"SELECT '{name}.parquet' AS file, '{name}.parquet' AS copy, true AS has_bytes, true AS complete"
         for name in _WIDTHS
     )
+    sql["copy_loose_files"] = f"SELECT order_month, true AS logged FROM {ORDER_PARTS}"
     sql["two_hop_copy"] = f"""SELECT order_month, count(*) AS row_count,
         CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {ORDERS} GROUP BY ALL"""
     event_sample = _sampled("0.1", "event_id")
@@ -343,6 +344,11 @@ def statements() -> dict[str, str]:
         ship_month AS month,
         'ship_year+ship_month' AS items
         FROM {LINE_PARTS}"""
+    sql["common_location"] = f"""SELECT '/lake/lineitem/ship_year=' || ship_year AS folder,
+        count(*) AS locations FROM {LINE_PARTS} GROUP BY ship_year"""
+    second = "date_trunc('second', ts)"
+    sql["time_texts"] = f"""SELECT event_id, strftime({second}, '%Y-%b-%d-%H-%M-%S') AS sortable,
+        {_readable(second)} AS readable, {_readable(second)} AS from_millis FROM events"""
     sql["first_level_dirs"] = f"""SELECT DISTINCT '/lake/lineitem/ship_year=' || ship_year AS folder
         FROM {LINES} WHERE ship_year LIKE '199%'"""
 

@@ -351,6 +351,20 @@ def q_copy_files_report(spark, folder):
     )
 
 
+def q_copy_loose_files(spark, folder):
+    """Loose files keep their relative path below the target; the log has their full URIs."""
+    root = new_scratch(spark, "loose")
+    laid = _laid_out(spark, table(spark, folder, "orders"))
+    target = runs.RunTarget(root, "lake", log=f"{root}/copy-log")
+    runs.copy_tables(spark, {}, [], target, loose_files=[laid.location])
+    logged = register.read_log(spark, target.log).where(F.col("data_type") == register.FILES)
+    return logged.groupBy(
+        paths.partition_value(F.col("statement"), "order_month").alias("order_month")
+    ).agg(F.count_if(F.contains("statement", F.lit(f"{root}/"))).alias("uris")).select(
+        "order_month", (F.col("uris") > 0).alias("logged")
+    )
+
+
 def q_two_hop_copy(spark, folder):
     laid = _laid_out(spark, table(spark, folder, "orders"))
     target = new_scratch(spark, "far")
@@ -679,6 +693,30 @@ def q_path_functions(spark, folder):
     )
 
 
+def q_common_location(spark, folder):
+    """All partition folders must lie below the table's; folders per first level, checked."""
+    base = "/lake/lineitem"
+    listed = _line_paths(spark, folder).select(paths.strip_authority(F.col("path")).alias("path"))
+    inside = copy.common_location(listed, base)
+    return inside.groupBy(paths.first_level_dir(F.col("path"), base).alias("folder")).agg(
+        F.count("*").alias("locations")
+    )
+
+
+def q_time_texts(spark, folder):
+    """Event times as sortable and readable text and back; epoch milliseconds."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    whole = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    sortable = clock.sortable_text(whole)
+    millis = F.unix_millis(whole.cast("timestamp"))
+    return events.select(
+        "event_id",
+        sortable.alias("sortable"),
+        clock.readable_text(clock.parse_sortable(sortable)).alias("readable"),
+        clock.readable_text(clock.from_epoch_millis(millis)).alias("from_millis"),
+    )
+
+
 def q_first_level_dirs(spark, folder):
     lines = _line_paths(spark, folder).select(paths.strip_authority(F.col("path")).alias("path"))
     months = list_partitions(table(spark, folder, "orders"))

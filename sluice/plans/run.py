@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from sluice.model import (
     FINISHED,
     FULL,
     INVALID,
+    LEDGER_SCHEMA,
     SUMMARY_SCHEMA,
     TODO,
     CopyPolicy,
@@ -28,7 +29,13 @@ from sluice.operators import copy, ledger, register, sample, select
 from sluice.operators.hooks import AfterCopy, BeforeSample, CopyContext
 from sluice.session import local_rows, pin
 from sluice.sources import files
-from sluice.sources.tables import SourceTable, logical_bytes, size_by_partition
+from sluice.sources.tables import (
+    SourceTable,
+    list_partitions,
+    logical_bytes,
+    open_folder,
+    size_by_partition,
+)
 
 
 @dataclass(frozen=True)
@@ -54,25 +61,34 @@ class RunResult:
     ledger_rows: list[tuple] = field(default_factory=list)
 
     def report(self, spark: SparkSession) -> DataFrame:
-        from sluice.model import LEDGER_SCHEMA
-
-        return ledger.report(local_rows(spark, self.ledger_rows, LEDGER_SCHEMA))
+            return ledger.report(local_rows(spark, self.ledger_rows, LEDGER_SCHEMA))
 
 
 def _resolve(spark: SparkSession, table: SourceTable, spec: TableSpec, policy: CopyPolicy):
-    """Chosen partitions with their bytes (pinned; None for a plain table), and total bytes."""
+    """Chosen partitions (pinned; None for a plain table) and the bytes they hold.
+
+    Partitions are chosen before anything is sized. A laid-out table is sized by its
+    listing; for any other, only rows of the chosen partitions are measured.
+    """
     columns = list(table.partition_columns)
-    sized = size_by_partition(spark, table)
     if not columns:
-        return None, sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long")).first()[0]
-    listed = pin(sized, "partitions")
+        return None, _total(size_by_partition(spark, table))
+    sized = table.location is not None
+    listed = size_by_partition(spark, table) if sized else list_partitions(table)
     chosen = pin(
         select.resolve(
             listed, spec.partitions, policy.partition_count(spec), spec.top_level_count or -1, columns[0]
         ),
         "chosen",
     )
-    return chosen, chosen.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long")).first()[0]
+    if sized:
+        return chosen, _total(chosen)
+    rows = replace(table, frame=select.rows_of(table.frame, chosen, columns))
+    return chosen, _total(size_by_partition(spark, rows))
+
+
+def _total(sized: DataFrame) -> int:
+    return sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long")).first()[0]
 
 
 def copy_tables(
@@ -129,6 +145,7 @@ def copy_tables(
     decisions = {row["name"]: row for row in sample.resolve_policy(summary, requests, policy).collect()}
 
     def copy_one(name: str) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         started = time.monotonic()
         table, chosen, decision = sources[name], resolved[name], decisions[name]
         path = target.table_path(name)
@@ -171,11 +188,8 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample) ->
         )
     elif policy.overwrite_if_exists or not storage.exists(spark, path):
         copy.staged_publish(spark, write, path, overwrite=True)
-    return SourceTable(
-        table.name,
-        spark.read.schema(table.frame.schema).option("basePath", path).parquet(path),
-        table.partition_columns,
-        location=path,
+    return open_folder(
+        spark, table.name, path, table.frame.schema, table.partition_columns, table.stored_as
     )
 
 
@@ -184,7 +198,9 @@ def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
     short = table.name.rpartition(".")[2]
     schema = table.frame.schema
     register.create_database(spark, target.database)
-    register.register_copy(spark, f"{target.database}.{short}", schema, columns, done.location)
+    register.register_copy(
+        spark, f"{target.database}.{short}", schema, columns, done.location, table.stored_as
+    )
     if columns and mode == FULL:
         # A whole copy registers every chosen partition, empty ones too.
         register.add_partitions(spark, f"{target.database}.{short}", chosen, columns, done.location)
@@ -193,7 +209,9 @@ def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
             F.lit("").alias("name")
         )
         location = F.concat(F.lit(f"/{target.database}/{short}/"), F.col("name"))
-        statements = register.table_statements(logged, target.database, short, schema, columns, location)
+        statements = register.table_statements(
+            logged, target.database, short, schema, columns, location, table.stored_as
+        )
         register.append_log(statements, target.log)
 
 

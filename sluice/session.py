@@ -23,7 +23,12 @@ def build_session(app: str = "sluice", master: str | None = None, **extra: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Tables of a run are copied side by side.
         "spark.scheduler.mode": "FAIR",
+        # Output files of a clustered write; rows of a hot partition split at this size.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        # Keeps some partition writers open instead of sorting each task's rows.
+        "spark.sql.maxConcurrentOutputFileWriters": "64",
         **extra,
     }
     builder = SparkSession.builder.appName(app)
@@ -55,9 +60,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+_HANDED_OUT: list[str] = []
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
     """Path of a fresh folder (not created yet) below the scratch root."""
-    return f"{scratch_root(spark)}/sluice-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/sluice-{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch folders this process has handed out; frames over them end."""
+    from sluice import storage
+
+    folders = list(_HANDED_OUT)
+    _HANDED_OUT.clear()
+    return storage.remove_all(spark, folders)
 
 
 def pin(df: DataFrame, label: str = "pin") -> DataFrame:

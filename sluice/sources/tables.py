@@ -27,6 +27,7 @@ class SourceTable:
     partition_columns: tuple[str, ...] = ()
     location: str | None = None
     layout: Layout | None = None
+    stored_as: str = "parquet"
 
     @property
     def types(self) -> dict[str, T.DataType]:
@@ -62,7 +63,7 @@ def open_folder(
     and no file is opened to infer anything.
     """
     frame = spark.read.format(source).schema(schema).option("basePath", path).load(path)
-    return SourceTable(name, frame, tuple(partition_columns), location=path)
+    return SourceTable(name, frame, tuple(partition_columns), location=path, stored_as=source)
 
 
 def open_catalog(spark: SparkSession, name: str) -> SourceTable:
@@ -71,7 +72,13 @@ def open_catalog(spark: SparkSession, name: str) -> SourceTable:
         raise UnresolvedRequest(f"table not found: {name}")
     columns = tuple(c.name for c in spark.catalog.listColumns(name) if c.isPartition)
     details = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
-    return SourceTable(name, spark.table(name), columns, location=details.get("Location"))
+    return SourceTable(
+        name,
+        spark.table(name),
+        columns,
+        location=details.get("Location"),
+        stored_as=details.get("Provider", "parquet").lower(),
+    )
 
 
 def table_definition(spark: SparkSession, name: str) -> str:
