@@ -65,7 +65,6 @@ def cleanup(
                         spec.partitions,
                         policy.partition_count(spec),
                         spec.top_level_count or -1,
-                        columns[0],
                     ),
                     "cleanup",
                 )

@@ -15,7 +15,7 @@ from sluice.functions import paths
 from sluice.operators import sample, select
 from sluice.session import new_scratch, pin
 from sluice.sources import files
-from sluice.sources.tables import SourceTable, open_folder
+from sluice.sources.tables import SourceTable, folder_partitions, open_folder
 
 STAGING_HINT = "__staging_"
 
@@ -92,9 +92,13 @@ def sample_copy(
     return _result(spark, table, path, source)
 
 
-def new_partitions(source_partitions: DataFrame, target_partitions: DataFrame) -> DataFrame:
-    """Partitions that the target lacks, compared by name (text on both sides)."""
-    return source_partitions.join(target_partitions.select("name"), "name", "left_anti")
+def new_partitions(
+    source_partitions: DataFrame, target_partitions: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    """Partitions that the target lacks, by their values; a null value equals a null value."""
+    present = target_partitions.select(*[F.col(c).alias(f"__at_{c}") for c in columns])
+    on = [source_partitions[c].eqNullSafe(present[f"__at_{c}"]) for c in columns]
+    return source_partitions.join(present, on, "left_anti")
 
 
 def incremental_copy(
@@ -114,9 +118,7 @@ def incremental_copy(
     columns = list(table.partition_columns)
     target = SourceTable(table.name, table.frame, table.partition_columns, location=path)
     if storage.exists(spark, path):
-        from sluice.sources.tables import folder_partitions
-
-        missing = new_partitions(source_partitions, folder_partitions(spark, target))
+        missing = new_partitions(source_partitions, folder_partitions(spark, target), columns)
     else:
         missing = source_partitions
     missing = pin(missing, "missing")

@@ -34,12 +34,17 @@ def last_n(partitions: DataFrame, n: int) -> DataFrame:
     return partitions if n <= 0 else partitions.orderBy(F.desc("name")).limit(n)
 
 
-def last_n_top_level(partitions: DataFrame, n: int, column: str) -> DataFrame:
-    """All partitions below the last ``n`` values of the first partition column."""
+def last_n_top_level(partitions: DataFrame, n: int) -> DataFrame:
+    """All partitions below the last ``n`` top-level folders, in name order.
+
+    The list is read twice, so it is pinned first.
+    """
     if n <= 0:
         return partitions
-    top = partitions.select(column).distinct().orderBy(F.desc(column)).limit(n)
-    return partitions.join(top, column, "left_semi")
+    columns = partitions.columns
+    listed = pin(partitions.withColumn("__top", F.substring_index("name", "/", 1)), "partitions")
+    top = listed.select("__top").distinct().orderBy(F.desc("__top")).limit(n)
+    return listed.join(top, "__top", "left_semi").select(*columns)
 
 
 # --- specs ------------------------------------------------------------------------------
@@ -50,12 +55,18 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def spec_predicate(spec: PartitionSpec, types: Mapping[str, T.DataType]) -> Column:
-    """AND of typed equalities. A spec may bind some of the partition columns only."""
+    """AND of typed equalities. A spec may bind some of the partition columns only.
+
+    The value None stands for the null partition.
+    """
     terms = []
     for name, value in spec.items():
         kind = types.get(name.lower())
         if kind is None:
             raise UnresolvedRequest(f"invalid column: {name}")
+        if value is None:
+            terms.append(F.col(name).isNull())
+            continue
         literal = F.lit(value) if isinstance(kind, T.StringType) else F.lit(str(value)).cast(kind)
         terms.append(F.col(name) == literal)
     return functools.reduce(lambda a, b: a & b, terms, F.lit(True))
@@ -73,6 +84,19 @@ def _by_columns(specs: Sequence[PartitionSpec]) -> dict[tuple[str, ...], list[tu
     return groups
 
 
+def _text(value) -> str | None:
+    return None if value is None else str(value)
+
+
+def _join_specs(df: DataFrame, frame: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Equi join that lets null partition values meet; the frame's columns are dropped."""
+    renamed = frame.select(
+        *[F.col(c).alias(f"__spec_{c}") if c in columns else F.col(c) for c in frame.columns]
+    )
+    on = [df[c].eqNullSafe(renamed[f"__spec_{c}"]) for c in columns]
+    return df.join(renamed, on, how).drop(*[f"__spec_{c}" for c in columns])
+
+
 def _spec_frame(df: DataFrame, columns: tuple[str, ...], specs, with_id: bool) -> DataFrame:
     types = _types(df)
     unknown = [c for c in columns if c.lower() not in types]
@@ -81,9 +105,9 @@ def _spec_frame(df: DataFrame, columns: tuple[str, ...], specs, with_id: bool) -
     text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if with_id:
         text = text.add("spec_id", T.IntegerType())
-        rows = [(*[str(s[c]) for c in columns], i) for i, s in specs]
+        rows = [(*[_text(s[c]) for c in columns], i) for i, s in specs]
     else:
-        rows = sorted({tuple(str(s[c]) for c in columns) for _, s in specs})
+        rows = list(dict.fromkeys(tuple(_text(s[c]) for c in columns) for _, s in specs))
     frame = local_rows(df.sparkSession, rows, text)
     extra = ["spec_id"] if with_id else []
     return frame.select(*[F.col(c).cast(types[c.lower()]).alias(c) for c in columns], *extra)
@@ -103,17 +127,18 @@ def matching(df: DataFrame, specs: Sequence[PartitionSpec]) -> DataFrame:
     shared = set.intersection(*[set(g) for g in groups])
     types = _types(df)
     for column in sorted(shared):
-        values = sorted({str(s[column]) for s in specs})
-        df = df.where(F.col(column).isin([F.lit(v).cast(types[column.lower()]) for v in values]))
+        values = {_text(s[column]) for s in specs}
+        if None not in values:
+            df = df.where(F.col(column).isin([F.lit(v).cast(types[column.lower()]) for v in sorted(values)]))
     if len(groups) == 1:
-        (columns, members), = groups.items()
-        return df.join(_spec_frame(df, columns, members, False), list(columns), "left_semi")
+        ((columns, members),) = groups.items()
+        return _join_specs(df, _spec_frame(df, columns, members, False), columns, "left_semi")
     kept = df.columns
     hits = []
     for i, (columns, members) in enumerate(groups.items()):
         hit = f"__hit_{i}"
         frame = _spec_frame(df, columns, members, False).withColumn(hit, F.lit(True))
-        df = df.join(frame, list(columns), "left")
+        df = _join_specs(df, frame, columns, "left")
         hits.append(F.coalesce(F.col(hit), F.lit(False)))
     return df.where(functools.reduce(lambda a, b: a | b, hits)).select(*kept)
 
@@ -126,7 +151,7 @@ def tag_with_specs(partitions: DataFrame, specs: Sequence[PartitionSpec]) -> Dat
         return partitions.select("*", F.explode(F.array_compact(ids)).alias("spec_id"))
     listed = pin(partitions, "partitions")
     branches = [
-        listed.join(_spec_frame(listed, columns, members, True), list(columns)).select(
+        _join_specs(listed, _spec_frame(listed, columns, members, True), columns, "inner").select(
             *partitions.columns, "spec_id"
         )
         for columns, members in _by_columns(specs).items()
@@ -172,7 +197,7 @@ def unmatched_specs(partitions: DataFrame, specs: Sequence[PartitionSpec]) -> li
     missing = []
     for columns, members in _by_columns(specs).items():
         left = _spec_frame(partitions, columns, members, True)
-        ids = left.join(partitions.select(*columns).distinct(), list(columns), "left_anti")
+        ids = _join_specs(left, partitions.select(*columns).distinct(), columns, "left_anti")
         missing += [r["spec_id"] for r in ids.select("spec_id").collect()]
     return [specs[i] for i in sorted(missing)]
 
@@ -182,7 +207,6 @@ def resolve(
     specs: Sequence[PartitionSpec] = (),
     cap: int = -1,
     top_level_cap: int = -1,
-    top_level_column: str | None = None,
 ) -> DataFrame:
     """The partitions a request selects. A spec that matches nothing is an error.
 
@@ -198,7 +222,7 @@ def resolve(
     else:
         chosen = last_n(partitions, cap)
     if top_level_cap > 0:
-        chosen = last_n_top_level(chosen, top_level_cap, top_level_column)
+        chosen = last_n_top_level(chosen, top_level_cap)
     return chosen
 
 
@@ -213,27 +237,34 @@ def rows_of(df: DataFrame, chosen: DataFrame, columns: Sequence[str]) -> DataFra
     range of the first column is a static partition filter and makes the other columns
     prune dynamically. Null partition values match each other.
     """
-    first, *_ = columns
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"__null_{c}") for c in columns]
-    bounds = chosen.agg(F.count("*").alias("n"), F.min(first).alias("lo"), F.max(first).alias("hi"), *nulls).first()
-    if bounds["n"] == 0:
+    first = columns[0]
+    some_null = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    found = chosen.agg(
+        F.count("*").alias("n"),
+        F.min(first).alias("low"),
+        F.max(first).alias("high"),
+        F.coalesce(F.max(some_null), F.lit(False)).alias("nulls"),
+    ).first()
+    if found["n"] == 0:
         return df.where(F.lit(False))
     keys = chosen.select(*columns)
-    if any(bounds[f"__null_{c}"] for c in columns):
-        on = [df[c].eqNullSafe(keys[c]) for c in columns]
-        return df.join(keys, on, "left_semi")
-    inside = F.col(first).between(bounds["lo"], bounds["hi"])
+    if found["nulls"]:
+        return _join_specs(df, keys, columns, "left_semi")
+    inside = F.col(first).between(found["low"], found["high"])
     return df.where(inside).join(keys.where(inside), list(columns), "left_semi")
 
 
 def rows_of_specs(table: SourceTable, specs: Sequence[PartitionSpec]) -> DataFrame:
-    """Rows of a table that the specs select, with the layout's time range pushed down."""
-    frame = table.frame
-    if table.layout is not None and specs:
-        bounds = table.layout.scan_bounds(list(specs))
-        if bounds is not None:
-            frame = frame.where(bounds)
-    return matching(frame, specs)
+    """Rows of a table that the specs select.
+
+    A derived layout turns specs into ranges on its time column, which the scan can use;
+    a laid-out table prunes folders by the partition columns themselves.
+    """
+    if table.layout is not None and table.location is None and specs:
+        ranges = table.layout.time_filter(specs)
+        if ranges is not None:
+            return table.frame.where(ranges)
+    return matching(table.frame, specs)
 
 
 def specs_from_text(spark, texts: Sequence[str]) -> list[tuple[str | None, list[dict[str, str]]]]:

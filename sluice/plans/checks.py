@@ -227,6 +227,8 @@ def statements() -> dict[str, str]:
     sql["partition_filter_join"] = (
         f"SELECT event_id, day, hour FROM {EVENTS} WHERE day BETWEEN '2024-01-01' AND '2024-01-30' AND {before_noon}"
     )
+    sql["partition_range_scan"] = sql["partition_filter_join"]
+    sql["partition_filter_folders"] = sql["partition_filter_scan"]
     sql["partition_semi_join"] = f"""SELECT {LINE_OUT} FROM {LINES} WHERE {LINE_NAME} IN (
         SELECT name FROM {LINE_PARTS} ORDER BY name DESC LIMIT 24)"""
 

@@ -85,7 +85,7 @@ def q_last_n_partitions(spark, folder):
 
 def q_last_n_top_level(spark, folder):
     listed = list_partitions(table(spark, folder, "events"))
-    return select.last_n_top_level(listed, 7, "day").select("name", "row_count")
+    return select.last_n_top_level(listed, 7).select("name", "row_count")
 
 
 MULTI_SPECS = [
@@ -156,11 +156,24 @@ def q_partition_filter_scan(spark, folder):
 
 
 def q_partition_filter_join(spark, folder):
+    return select.matching(table(spark, folder, "events").frame, long_specs()).select(
+        "event_id", "day", "hour"
+    )
+
+
+def q_partition_range_scan(spark, folder):
+    """The same specs as ranges on the time column, pushed into the scan."""
     return select.rows_of_specs(table(spark, folder, "events"), long_specs()).select(
         "event_id", "day", "hour"
     )
 
 
+def q_partition_filter_folders(spark, folder):
+    """Specs against a laid-out copy, where they prune folders."""
+    laid = _laid_out(spark, table(spark, folder, "lineitem"))
+    return select.rows_of_specs(laid, FILTER_SPECS).select(*LINE_OUT)
+
+
 def q_partition_semi_join(spark, folder):
     """Rows of the last 24 partitions of a laid-out copy, by a pruned semi join."""
     laid = _laid_out(spark, table(spark, folder, "lineitem"))

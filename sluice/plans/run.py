@@ -77,7 +77,7 @@ def _resolve(spark: SparkSession, table: SourceTable, spec: TableSpec, policy: C
     listed = size_by_partition(spark, table) if sized else list_partitions(table)
     chosen = pin(
         select.resolve(
-            listed, spec.partitions, policy.partition_count(spec), spec.top_level_count or -1, columns[0]
+            listed, spec.partitions, policy.partition_count(spec), spec.top_level_count or -1
         ),
         "chosen",
     )

@@ -7,6 +7,8 @@ row-group statistics apply; the derived columns alone could not be pushed down.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -23,6 +25,9 @@ _EXPRESSIONS = {
     "HH": lambda c: F.lpad(F.hour(c).cast("string"), 2, "0"),
 }
 
+# Up to this many ranges are one filter.
+RANGE_LIMIT = 64
+
 _PARSE = {4: "%Y", 7: "%Y-%m", 10: "%Y-%m-%d", 13: "%Y-%m-%d %H"}
 
 
@@ -54,11 +59,12 @@ class Layout:
         )
 
     def time_range(self, spec: PartitionSpec) -> tuple[datetime, datetime] | None:
-        """``[start, end)`` of a spec that binds the first level or levels; else None."""
+        """``[start, end)`` of a spec that binds the first level or levels only; else None."""
         text = ""
-        for level in self.levels:
-            if level.name not in spec:
-                break
+        bound = [level for level in self.levels if level.name in spec]
+        if len(bound) != len(spec) or bound != list(self.levels[: len(bound)]):
+            return None
+        for level in bound:
             text += level.joiner + str(spec[level.name])
         if len(text) not in _PARSE:
             return None
@@ -66,6 +72,8 @@ class Layout:
             start = datetime.strptime(text, _PARSE[len(text)])
         except ValueError:
             return None
+        if start.year >= 9999:
+            return None
         if len(text) == 4:
             end = start.replace(year=start.year + 1)
         elif len(text) == 7:
@@ -76,15 +84,30 @@ class Layout:
             end = start + timedelta(hours=1)
         return start, end
 
-    def scan_bounds(self, specs: list[PartitionSpec]) -> Column | None:
-        """One range on the time column that covers all specs, for the scan's statistics."""
+    def time_filter(self, specs: Sequence[PartitionSpec]) -> Column | None:
+        """The specs as ranges on the time column, exactly; None where that cannot be done.
+
+        Touching ranges are merged. Plain comparisons reach the parquet scan and replace
+        the text columns in the filter.
+        """
         ranges = [self.time_range(spec) for spec in specs]
         if not ranges or any(r is None for r in ranges):
             return None
+        merged: list[list[datetime]] = []
+        for start, end in sorted(ranges):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        if len(merged) > RANGE_LIMIT:
+            return None
         source = F.col(self.time_column)
-        low = min(r[0] for r in ranges).isoformat(sep=" ")
-        high = max(r[1] for r in ranges).isoformat(sep=" ")
-        return (source >= F.lit(low).cast("timestamp_ntz")) & (source < F.lit(high).cast("timestamp_ntz"))
+        terms = [
+            (source >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
+            & (source < F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz"))
+            for start, end in merged
+        ]
+        return functools.reduce(lambda a, b: a | b, terms)
 
 
 SHIP_MONTH = Layout("l_shipdate", (TimeLevel("ship_year", "yyyy"), TimeLevel("ship_month", "MM", "-")))
