@@ -181,18 +181,8 @@ _CHUNK = 8 << 20
 
 
 def _copier(chunk: int = _CHUNK):
-    """The executor side of a byte copy.
-
-    Nested functions travel with the task, so executors need no copy of this package.
-    """
-
-    def open_uri(uri: str):
-        from pyarrow import fs
-
-        if uri.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-        scheme, _, rest = uri.partition("://")
-        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    """The executor side of a byte copy."""
+    open_uri = files.uri_opener()
 
     def copy_bytes(source: str, target: str) -> int:
         # The target appears under its name only when complete, so a retried or
@@ -209,6 +199,11 @@ def _copier(chunk: int = _CHUNK):
                     while data := reader.read(chunk):
                         writer.write(data)
                         total += len(data)
+            if target_fs.type_name == "local":
+                # A checksum of a file that was here before would no longer hold.
+                stale = f"{folder}/.{name}.crc"
+                if target_fs.get_file_info(stale).is_file:
+                    target_fs.delete_file(stale)
             target_fs.move(part, target_path)
         except BaseException:
             if target_fs.get_file_info(part).is_file:
@@ -242,13 +237,13 @@ def copy_files(
     not copy twice.
     """
     target = storage.qualify(spark, target_base)
-    plan = files.list_files(spark, source_base, pattern).select(
+    plan = files.walk_files(spark, source_base, pattern).select(
         F.col("path").alias("source"),
         F.concat(F.lit(target + "/"), F.col("relative")).alias("target"),
         F.col("length").alias("expected"),
     )
     if not overwrite and storage.exists(spark, target_base):
-        present = files.list_files(spark, target_base).select(F.col("path").alias("target"))
+        present = files.walk_files(spark, target_base).select(F.col("path").alias("target"))
         plan = plan.join(present, "target", "left_anti").select("source", "target", "expected")
     plan = pin(plan, "file-plan")
     total = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("expected"), F.lit(0)).alias("size")).first()

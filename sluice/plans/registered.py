@@ -370,7 +370,9 @@ def q_copy_loose_files(spark, folder):
     laid = _laid_out(spark, table(spark, folder, "orders"))
     target = runs.RunTarget(root, "lake", log=f"{root}/copy-log")
     runs.copy_tables(spark, {}, [], target, loose_files=[laid.location])
-    logged = register.read_log(spark, target.log).where(F.col("data_type") == register.FILES)
+    logged = register.read_log(spark, target.log).where(
+        (F.col("data_type") == register.FILES) & F.contains("statement", F.lit("/order_month="))
+    )
     return logged.groupBy(
         paths.partition_value(F.col("statement"), "order_month").alias("order_month")
     ).agg(F.count_if(F.contains("statement", F.lit(f"{root}/"))).alias("uris")).select(

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import fnmatch
+import functools
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import storage
 from sluice.functions import paths
-
-LISTING_COLUMNS = ["path", "relative", "length"]
+from sluice.session import local_rows, pin
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``path, relative, length`` of all files below a folder (or of one file).
+    """``path, relative, length`` of the data files below a folder (or of one file).
 
+    As for any scan, empty files and names that start with ``_`` or ``.`` do not count.
     Only the length column of the scan is read. Spark packs listing tasks by file size
     although no bytes are read, so tasks are merged to a few per core.
     """
@@ -31,6 +36,79 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     ).coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
+def uri_opener() -> Callable:
+    """A function from URI to Arrow file system and path, for use on executors.
+
+    Nested functions travel with the task, so executors need no copy of this package.
+    """
+
+    def open_uri(uri: str):
+        from pyarrow import fs
+
+        if uri.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+        scheme, _, rest = uri.partition("://")
+        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+    return open_uri
+
+
+_WALK_SCHEMA = "path string, relative string, folder boolean, length long"
+
+
+def _lister(pattern: str | None, batch: int = 10_000) -> Callable:
+    open_uri = uri_opener()
+
+    def list_folder(path: str, relative: str) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        system, place = open_uri(path)
+        info = system.get_file_info(place)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if info.is_file:
+            yield path, relative or info.base_name, False, info.size
+            return
+        for item in system.get_file_info(fs.FileSelector(place)):
+            name, folder = item.base_name, item.type == fs.FileType.Directory
+            # Checksum side files belong to the local file system, not to the data.
+            checksum = name.startswith(".") and name.endswith(".crc")
+            if folder or (not checksum and (pattern is None or fnmatch.fnmatchcase(name, pattern))):
+                yield f"{path}/{name}", f"{relative}/{name}".lstrip("/"), folder, item.size or 0
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "relative", "folder", "length"]
+        rows: list[tuple] = []
+        for frame in frames:
+            for path, relative in zip(frame["path"], frame["relative"]):
+                for row in list_folder(path, relative):
+                    rows.append(row)
+                    if len(rows) >= batch:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return batches
+
+
+def walk_files(spark: SparkSession, base: str, pattern: str | None = None) -> DataFrame:
+    """``path, relative, length`` of every file below a base, empty and hidden ones too.
+
+    Executors list one level of folders at a time, so the driver never holds the names
+    and a tree is as deep in jobs as it is in folders.
+    """
+    level = local_rows(spark, [(storage.qualify(spark, base), "")], "path string, relative string")
+    found, folders = [], 1
+    while folders:
+        tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
+        listed = pin(level.repartition(tasks, "path").mapInPandas(_lister(pattern), _WALK_SCHEMA), "walk")
+        found.append(listed.where(~F.col("folder")).select("path", "relative", "length"))
+        level = listed.where("folder").select("path", "relative")
+        folders = level.count()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def partition_folders(listing: DataFrame) -> DataFrame:
     """``name, location, files, bytes`` per folder of a listing; the root's name is ``''``."""
     return (
