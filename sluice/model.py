@@ -33,6 +33,7 @@ LEDGER_SCHEMA = T.StructType(
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("written_at", T.StringType()),
+        T.StructField("block", T.StringType()),
         T.StructField("writer", T.StringType()),
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("item", T.StringType()),
@@ -72,6 +73,9 @@ class CopyPolicy:
     The default values equal the shipped configuration of the tool this library
     matches; they are fixed values: probability 0.01, no partition limit (-1),
     threshold 500,000,000 bytes, overwrite on, one table at a time.
+
+    ``byte_copy`` makes full copies of laid-out tables move files instead of rows; every
+    executor then needs access to both storages outside of Spark's own readers.
     """
 
     default_prob: float = 0.01
@@ -80,6 +84,7 @@ class CopyPolicy:
     sample_threshold: int = 500_000_000
     overwrite_if_exists: bool = True
     table_parallelism: int = 1
+    byte_copy: bool = False
     sample_keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     sample_method: str = "md5"
 

@@ -225,19 +225,29 @@ def copy_files(
     target_base: str,
     pattern: str | None = None,
     overwrite: bool = True,
+) -> DataFrame:
+    """Copy every file below ``source_base`` to the same place below ``target_base``."""
+    return copy_listed(spark, files.walk_files(spark, source_base, pattern), target_base, overwrite)
+
+
+def copy_listed(
+    spark: SparkSession,
+    listing: DataFrame,
+    target_base: str,
+    overwrite: bool = True,
     bytes_per_task: int = 1 << 30,
     files_per_task: int = 1_000,
 ) -> DataFrame:
-    """Copy every file below ``source_base`` to the same place below ``target_base``.
+    """Copy listed files (``path, relative, length``) below a base.
 
     Each file goes from storage to storage on an executor; only names and lengths travel
     through Spark. Tasks are many and small, so that a folder with most of the bytes is
-    shared by all executors and a lost one repeats little. Without ``overwrite`` files that exist stay as they are. Returns the
-    report, one row per file, kept in the scratch folder so that reading it twice does
-    not copy twice.
+    shared by all executors and a lost one repeats little. Without ``overwrite`` files
+    that exist stay as they are. Returns the report, one row per file, kept in the
+    scratch folder so that reading it twice does not copy twice.
     """
     target = storage.qualify(spark, target_base)
-    plan = files.walk_files(spark, source_base, pattern).select(
+    plan = listing.select(
         F.col("path").alias("source"),
         F.concat(F.lit(target + "/"), F.col("relative")).alias("target"),
         F.col("length").alias("expected"),
@@ -248,7 +258,7 @@ def copy_files(
     plan = pin(plan, "file-plan")
     total = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("expected"), F.lit(0)).alias("size")).first()
     tasks = max(
-        spark.sparkContext.defaultParallelism,
+        min(spark.sparkContext.defaultParallelism, total["n"]),
         total["size"] // bytes_per_task + 1,
         total["n"] // files_per_task + 1,
     )
@@ -258,6 +268,30 @@ def copy_files(
     return spark.read.schema(COPY_REPORT).parquet(path)
 
 
+def full_copy_bytes(
+    spark: SparkSession, table: SourceTable, path: str, chosen: DataFrame | None = None
+) -> SourceTable:
+    """A full copy that moves files as they are and keeps the folder layout.
+
+    ``chosen`` needs ``name`` and ``location``. No row is decoded, nothing is shuffled but
+    file names; files that do not arrive whole are an error.
+    """
+    if table.location is None:
+        raise ValueError(f"{table.name} has no files of its own")
+    if chosen is None or not table.partition_columns:
+        report = copy_files(spark, table.location, path)
+    else:
+        folders = chosen.select(F.col("location").alias("path"), F.col("name").alias("relative"))
+        present = files.list_files(spark, table.location).select(paths.parent(F.col("path")).alias("path"))
+        folders = folders.join(present.distinct(), "path", "left_semi")
+        report = copy_listed(spark, files.walk_folders(folders), path)
+    bad = incomplete(report).count()
+    if bad:
+        raise OSError(f"{bad} files of {table.name} are incomplete")
+    storage.make_dir(spark, path)
+    return _result(spark, table, path, table.stored_as)
+
+
 def copy_through(spark: SparkSession, source_base: str, via: str, target_base: str) -> DataFrame:
     """Two hops over a temporary place that both sides can reach; it is removed after."""
     staging = staging_path(f"{via.rstrip('/')}/hop")

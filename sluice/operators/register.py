@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import itertools
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -163,17 +164,19 @@ def append_log(
 
     A block is a folder of its own, so tables that finish at the same time do not meet.
     """
+    block = f"{time.time_ns() // 1_000_000:015d}-{uuid.uuid4().hex}"
     stamp = clock.sortable_text(clock.utc_now() if written_at is None else written_at)
     (
         statements.select(
             stamp.alias("written_at"),
+            F.lit(block).alias("block"),
             F.lit(writer or getpass.getuser()).alias("writer"),
             "ordinal",
             "item",
             "statement",
             F.lit(data_type).alias("data_type"),
         )
-        .write.json(f"{log_path}/block-{uuid.uuid4().hex}")
+        .write.json(f"{log_path}/block-{block}")
     )
 
 
@@ -182,8 +185,8 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def _in_log_order(log: DataFrame) -> DataFrame:
-    """By true time (month names do not sort as text), then statement order."""
-    return log.orderBy(clock.parse_sortable(F.col("written_at")), "ordinal", "item")
+    """By true time (month names do not sort as text), block by block."""
+    return log.orderBy(clock.parse_sortable(F.col("written_at")), "block", "ordinal", "item")
 
 
 def describe_log(log: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def describe_log(log: DataFrame) -> DataFrame:
 def replayable(log: DataFrame, base: str) -> DataFrame:
     """Table statements in order, with the location variable replaced by a base URI."""
     return _in_log_order(log.where(F.col("data_type") == HIVE)).select(
-        "written_at",
+        "block",
         "ordinal",
         "item",
         paths.from_location_variable(F.col("statement"), base).alias("statement"),
@@ -216,7 +219,7 @@ def _batched(rows: Iterable) -> Iterator[tuple[int, str]]:
 
     def target(row):
         head, marker, rest = row["statement"].rstrip("; ").partition(" partition (")
-        return (row["written_at"], row["ordinal"], head if row["ordinal"] == PARTITION else row["statement"])
+        return (row["block"], row["ordinal"], head if row["ordinal"] == PARTITION else row["statement"])
 
     for (_, ordinal, head), group in itertools.groupby(rows, key=target):
         if ordinal != PARTITION:

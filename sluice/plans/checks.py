@@ -260,6 +260,9 @@ def statements() -> dict[str, str]:
         WHERE {_sampled('0.02', 'event_id')} GROUP BY ALL"""
     sql["full_copy"] = f"""SELECT order_month, count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS keys
         FROM {ORDERS} GROUP BY ALL UNION ALL SELECT '{EMPTY_MONTH}', 0, NULL"""
+    sql["full_copy_bytes"] = f"""SELECT name, row_count FROM (
+        SELECT name, row_count FROM {ORDER_PARTS} ORDER BY name DESC LIMIT 23)
+        UNION ALL SELECT 'order_month={EMPTY_MONTH}', 0"""
     sql["copy_files"] = f"""SELECT ship_year, ship_month, count(*) AS row_count,
         CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS incomplete_files FROM {LINES} GROUP BY ALL"""
     sql["copy_files_report"] = " UNION ALL ".join(

@@ -331,6 +331,33 @@ def q_full_copy(spark, folder):
     )
 
 
+def q_full_copy_bytes(spark, folder):
+    """A run over a registered table that moves files: the last 23 months and an empty one."""
+    laid = _laid_out(spark, table(spark, folder, "orders"))
+    columns = list(laid.partition_columns)
+    name = f"{_database(spark)}.orders"
+    register.register_copy(spark, name, laid.frame.schema, columns, laid.location)
+    empty = local_rows(
+        spark, [(EMPTY_MONTH, f"order_month={EMPTY_MONTH}")], "order_month string, name string"
+    )
+    register.add_partitions(spark, name, empty, columns, laid.location)
+    target = runs.RunTarget(new_scratch(spark, "moved"), _database(spark))
+    runs.copy_tables(
+        spark,
+        {name: open_catalog(spark, name)},
+        [TableSpec(name, partition_count=24)],
+        target,
+        CopyPolicy(byte_copy=True),
+    )
+    copied = f"{target.database}.orders"
+    counts = spark.table(copied).groupBy("order_month").agg(F.count("*").alias("n"))
+    return (
+        catalog_partitions(spark, copied)
+        .join(counts, "order_month", "left")
+        .select("name", F.coalesce("n", F.lit(0)).alias("row_count"))
+    )
+
+
 def q_copy_files(spark, folder):
     """A byte copy of a laid-out table reads back like the original; all bytes arrived."""
     laid = _laid_out(spark, table(spark, folder, "lineitem"))

@@ -32,6 +32,7 @@ from sluice.sources import files
 from sluice.sources.tables import (
     SourceTable,
     list_partitions,
+    located_partitions,
     logical_bytes,
     open_folder,
     size_by_partition,
@@ -74,7 +75,7 @@ def _resolve(spark: SparkSession, table: SourceTable, spec: TableSpec, policy: C
     if not columns:
         return None, _total(size_by_partition(spark, table))
     sized = table.location is not None
-    listed = size_by_partition(spark, table) if sized else list_partitions(table)
+    listed = located_partitions(spark, table) if sized else list_partitions(table)
     chosen = pin(
         select.resolve(
             listed, spec.partitions, policy.partition_count(spec), spec.top_level_count or -1
@@ -171,7 +172,9 @@ def copy_tables(
 
 
 def _copy_table(spark, table, path, chosen, decision, policy, before_sample) -> SourceTable:
-    if decision["mode"] == FULL:
+    if decision["mode"] == FULL and policy.byte_copy and table.location is not None:
+        write = lambda to: copy.full_copy_bytes(spark, table, to, chosen)
+    elif decision["mode"] == FULL:
         write = lambda to: copy.full_copy(spark, table, to, chosen)
     else:
         keys = policy.sample_keys.get(table.name, ())

@@ -93,13 +93,20 @@ def _lister(pattern: str | None, batch: int = 10_000) -> Callable:
 
 
 def walk_files(spark: SparkSession, base: str, pattern: str | None = None) -> DataFrame:
-    """``path, relative, length`` of every file below a base, empty and hidden ones too.
+    """``path, relative, length`` of every file below a base, empty and hidden ones too."""
+    start = local_rows(spark, [(storage.qualify(spark, base), "")], "path string, relative string")
+    return walk_folders(start, pattern)
+
+
+def walk_folders(level: DataFrame, pattern: str | None = None) -> DataFrame:
+    """The same below many folders, each given as ``path`` and its ``relative`` place.
 
     Executors list one level of folders at a time, so the driver never holds the names
     and a tree is as deep in jobs as it is in folders.
     """
-    level = local_rows(spark, [(storage.qualify(spark, base), "")], "path string, relative string")
-    found, folders = [], 1
+    spark = level.sparkSession
+    nothing = spark.createDataFrame([], "path string, relative string, length long")
+    found, folders = [nothing], level.count()
     while folders:
         tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
         listed = pin(level.repartition(tasks, "path").mapInPandas(_lister(pattern), _WALK_SCHEMA), "walk")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice import storage
 from sluice.functions import paths
 from sluice.model import SUMMARY_SCHEMA, PartitionSpec, UnresolvedRequest
 from sluice.session import local_rows
@@ -28,6 +29,7 @@ class SourceTable:
     location: str | None = None
     layout: Layout | None = None
     stored_as: str = "parquet"
+    registered: bool = False
 
     @property
     def types(self) -> dict[str, T.DataType]:
@@ -78,6 +80,7 @@ def open_catalog(spark: SparkSession, name: str) -> SourceTable:
         columns,
         location=details.get("Location"),
         stored_as=details.get("Provider", "parquet").lower(),
+        registered=True,
     )
 
 
@@ -153,6 +156,37 @@ def folder_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
     )
 
 
+def partition_location(spark: SparkSession, name: str, spec: PartitionSpec) -> str:
+    """Where the catalog says one partition lies."""
+    clause = ", ".join(f"{c}='{v}'" for c, v in spec.items())
+    rows = spark.sql(f"DESCRIBE EXTENDED {name} PARTITION ({clause})").collect()
+    return next(r["data_type"] for r in rows if r["col_name"] == "Location")
+
+
+def located_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
+    """Partitions of a laid-out table with ``location`` and ``bytes``.
+
+    For a registered table these are the catalog's, so partitions without files count;
+    for a folder tree those that the listing shows.
+    """
+    folders = folder_partitions(spark, table)
+    if not (table.registered and table.partition_columns):
+        return folders.drop("files")
+    listed = catalog_partitions(spark, table.name)
+    found = folders.select(
+        *[F.col(c).alias(f"__{c}") for c in table.partition_columns],
+        F.col("location").alias("__at"),
+        "bytes",
+    )
+    on = [listed[c].eqNullSafe(found[f"__{c}"]) for c in table.partition_columns]
+    at = F.concat(F.lit(storage.qualify(spark, table.location) + "/"), F.col("name"))
+    return listed.join(found, on, "left").select(
+        *listed.columns,
+        F.coalesce("__at", at).alias("location"),
+        F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"),
+    )
+
+
 _FIXED_WIDTHS = {
     "boolean": 1,
     "tinyint": 1,
@@ -204,7 +238,7 @@ def size_by_partition(spark: SparkSession, table: SourceTable) -> DataFrame:
     """Partition columns, ``name`` and ``bytes``: file sizes when laid out, else row widths."""
     columns = list(table.partition_columns)
     if table.location is not None:
-        return folder_partitions(spark, table).select(*columns, "name", "bytes")
+        return located_partitions(spark, table).select(*columns, "name", "bytes")
     data = T.StructType([f for f in table.frame.schema if f.name not in columns])
     return (
         table.frame.groupBy(*columns)

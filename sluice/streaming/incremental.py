@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.sample import bernoulli_sample
@@ -21,6 +22,7 @@ def stream_copy(
     keys: Sequence[str] = (),
     method: str = "md5",
     max_files_per_batch: int = 10_000,
+    files_per_partition: int | None = None,
 ) -> None:
     """Copy (or sample) what is new below ``source_path`` and stop.
 
@@ -28,6 +30,10 @@ def stream_copy(
     retried batch keeps the same rows. The file sink's log makes each batch visible once.
     Batches are bounded by file count, so a first run over a large table is many
     restartable steps.
+
+    A thin sample of many files leaves as many small ones. ``files_per_partition`` brings
+    the sampled rows together by partition and a salt of the keys, so that even a
+    partition with most of the rows is written by that many tasks.
     """
     if method == "rand" and p < 1:
         raise ValueError("a streamed sample must be repeatable: use md5 or xxhash64")
@@ -37,7 +43,11 @@ def stream_copy(
         .option("maxFilesPerTrigger", max_files_per_batch)
         .parquet(source_path)
     )
-    writer = bernoulli_sample(arriving, p, keys, method).writeStream.format("parquet")
+    rows = bernoulli_sample(arriving, p, keys, method)
+    if files_per_partition and columns:
+        salt = F.pmod(F.xxhash64(*(keys or rows.columns)), F.lit(files_per_partition))
+        rows = rows.repartition(*columns, salt)
+    writer = rows.writeStream.format("parquet")
     if columns:
         writer = writer.partitionBy(*columns)
     query = (

@@ -144,6 +144,19 @@ def test_byte_copy(spark, tmp_path):
     assert not [p for p in target.rglob(".*") if not p.name.endswith(".crc")]
 
 
+def test_full_copy_of_bytes_keeps_the_layout(spark, monthly):
+    chosen = pin(select.last_n(folder_partitions(spark, monthly), 3))
+    done = copy.full_copy_bytes(spark, monthly, new_scratch(spark, "t"), chosen)
+    assert done.frame.count() == 6
+    assert names(folder_partitions(spark, done)) == names(chosen)
+    before = {r["relative"] for r in files.list_files(spark, monthly.location).collect()}
+    assert {r["relative"] for r in files.list_files(spark, done.location).collect()} < before
+    whole = copy.full_copy_bytes(spark, monthly, new_scratch(spark, "t"))
+    assert same(whole.frame, monthly.frame)
+    with pytest.raises(ValueError, match="no files of its own"):
+        copy.full_copy_bytes(spark, SourceTable("t", monthly.frame), new_scratch(spark, "t"))
+
+
 def test_byte_copy_without_overwrite(spark, tmp_path):
     source, target = tmp_path / "src", tmp_path / "dst"
     source.mkdir()

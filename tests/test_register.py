@@ -11,8 +11,10 @@ from sluice.sources import files
 from sluice.sources.tables import (
     catalog_partitions,
     folder_partitions,
+    located_partitions,
     open_catalog,
     open_folder,
+    partition_location,
     table_definition,
 )
 
@@ -52,6 +54,30 @@ def test_empty_partition_is_registered(spark, monthly, database):
     assert spark.table(name).count() == 12
 
 
+def test_located_partitions(spark, monthly, database):
+    name = f"{database}.monthly"
+    register.register_copy(spark, name, monthly.frame.schema, ("month", "day"), monthly.location)
+    extra = local_rows(spark, [(12, 1, "month=12/day=1")], "month int, day int, name string")
+    register.add_partitions(spark, name, extra, ["month", "day"], monthly.location)
+    rows = {r["name"]: r for r in located_partitions(spark, open_catalog(spark, name)).collect()}
+    assert len(rows) == 7
+    assert rows["month=12/day=1"]["bytes"] == 0
+    assert rows["month=3/day=1"]["bytes"] > 0
+    for key in ("month=12/day=1", "month=3/day=1"):
+        spec = dict(part.split("=") for part in key.split("/"))
+        assert partition_location(spark, name, spec) == rows[key]["location"]
+
+
+def test_padded_folders_of_a_number_column(spark, database):
+    frame = spark.createDataFrame([("a", "02"), ("b", "10")], "name string, month string")
+    path = new_scratch(spark, "padded")
+    copy.write_partitioned(frame, path, ["month"])
+    schema = spark.createDataFrame([], "name string, month int").schema
+    register.register_copy(spark, f"{database}.t", schema, ("month",), path)
+    rows = {r["month"]: r for r in located_partitions(spark, open_catalog(spark, f"{database}.t")).collect()}
+    assert rows[2]["location"].endswith("month=02") and rows[2]["bytes"] > 0
+
+
 def test_create_like(spark, monthly, database):
     register.register_copy(
         spark, f"{database}.a", monthly.frame.schema, ("month", "day"), monthly.location
