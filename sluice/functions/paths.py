@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 LOCATION_VARIABLE = "$LOCATION"
 
-# Folder name of a null partition value, and the printable characters
-# that partition folder names escape as %XX.
+# Folder name of a null partition value, and the characters that partition
+# folder names escape as %XX (control characters 1-31 and 127 come on top).
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-ESCAPED_CHARACTERS = "%\"#'*/:=?\\{[]^"
+ESCAPED_CHARACTERS = "\"#%'*/:=?\\{[]^"
 
 
 def strip_authority(path: Column) -> Column:
@@ -65,11 +65,18 @@ def path_suffix(path: Column, base: str) -> Column:
 
 
 def escape_value(value: Column) -> Column:
-    """A partition value as it is spelled in a folder name."""
+    """A partition value as it is spelled in a folder name.
+
+    A lookup per character, so that the expression stays small: it is repeated wherever
+    the optimizer puts a partition name into a filter.
+    """
     text = value.cast("string")
-    for char in ESCAPED_CHARACTERS:
-        text = F.replace(text, F.lit(char), F.lit(f"%{ord(char):02X}"))
-    return F.when((text == "") | text.isNull(), F.lit(NULL_PARTITION)).otherwise(text)
+    codes = [ord(c) for c in ESCAPED_CHARACTERS] + [*range(1, 32), 127]
+    escaped = F.create_map(*[F.lit(x) for code in codes for x in (chr(code), f"%{code:02X}")])
+    spelled = F.array_join(
+        F.transform(F.split(text, ""), lambda char: F.coalesce(F.try_element_at(escaped, char), char)), ""
+    )
+    return F.when(text.isNull() | (text == ""), F.lit(NULL_PARTITION)).otherwise(spelled)
 
 
 def unescape_value(text: Column) -> Column:

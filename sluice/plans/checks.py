@@ -257,7 +257,7 @@ def statements() -> dict[str, str]:
 
     sql["sample_copy"] = f"SELECT {LINE_OUT} FROM {LINES} WHERE {LINE_FILTER} AND {line_sample}"
     sql["surviving_partitions"] = f"""SELECT {EVENT_NAME} AS name, count(*) AS row_count FROM {EVENTS}
-        WHERE {_sampled('0.02', 'event_id')} GROUP BY ALL"""
+        WHERE {_sampled('0.005', 'event_id')} GROUP BY ALL"""
     sql["full_copy"] = f"""SELECT order_month, count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS keys
         FROM {ORDERS} GROUP BY ALL UNION ALL SELECT '{EMPTY_MONTH}', 0, NULL"""
     sql["full_copy_bytes"] = f"""SELECT name, row_count FROM (
@@ -276,8 +276,8 @@ def statements() -> dict[str, str]:
     sql["incremental_copy"] = f"""SELECT event_id, day, hour, {_arrival()} AS arrived
         FROM {EVENTS} WHERE {event_sample}"""
     sql["stream_incremental_copy"] = f"SELECT event_id, day FROM {EVENTS} WHERE {event_sample}"
-    sql["staged_publish"] = f"""SELECT {EVENT_NAME} AS name, count(*) AS row_count,
-        CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {_sampled('0.02', 'event_id')} GROUP BY ALL"""
+    sql["staged_publish"] = f"""SELECT 'day=' || day AS name, count(*) AS row_count,
+        CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {event_sample} GROUP BY ALL"""
     sql["copy_with_hooks"] = f"""SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS c_name,
         c_mktsegment, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS side_lines
         FROM customer WHERE {_sampled('0.5', 'c_custkey')}"""

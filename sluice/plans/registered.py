@@ -302,7 +302,7 @@ def q_sample_copy(spark, folder):
 def q_surviving_partitions(spark, folder):
     """Partitions of a thin sample: those without a sampled row are gone."""
     source = table(spark, folder, "events")
-    done = copy.sample_copy(spark, source, new_scratch(spark, "thin"), 0.02, ("event_id",))
+    done = copy.sample_copy(spark, source, new_scratch(spark, "thin"), 0.005, ("event_id",))
     return list_partitions(done).select("name", "row_count")
 
 
@@ -454,10 +454,10 @@ def q_stream_incremental_copy(spark, folder):
 
 def q_staged_publish(spark, folder):
     """Only the published copy is left; its staging folder is gone."""
-    source = table(spark, folder, "events")
+    source = open_flat(spark, folder, "events", EVENT_DAY)
     target = f"{new_scratch(spark, 'publish')}/events"
     copy.staged_publish(
-        spark, lambda path: copy.sample_copy(spark, source, path, 0.02, ("event_id",)), target
+        spark, lambda path: copy.sample_copy(spark, source, path, 0.1, ("event_id",)), target
     )
     siblings = files.list_files(spark, target.rpartition("/")[0]).agg(
         F.count_if(F.contains("path", F.lit(copy.STAGING_HINT))).alias("staged_files")
@@ -695,7 +695,7 @@ def q_run_totals(spark, folder):
 def q_resume_ledger(spark, folder):
     """The ledger knows the event partitions of January 1-25; months of orders are new."""
     known = _ledger_rows(spark, folder).where(F.col("updated") < F.lit("2024-01-26").cast("timestamp_ntz"))
-    events = list_partitions(table(spark, folder, "events"))
+    events = _pinned_partitions(spark, folder, "events")
     wanted = events.where(F.substring(F.md5("name"), 2, 1) != "f").select(F.col("name").alias("item"))
     months = list_partitions(table(spark, folder, "orders")).select(F.col("name").alias("item"))
     return ledger.next_run(wanted.unionByName(months), known)
@@ -704,8 +704,13 @@ def q_resume_ledger(spark, folder):
 # --- paths ------------------------------------------------------------------------------
 
 
+def _pinned_partitions(spark, folder, name: str) -> DataFrame:
+    """A pinned list: filters on names then run on the list, not on the table's rows."""
+    return pin(list_partitions(table(spark, folder, name)), "partitions")
+
+
 def _line_paths(spark, folder) -> DataFrame:
-    listed = list_partitions(table(spark, folder, "lineitem"))
+    listed = _pinned_partitions(spark, folder, "lineitem")
     return listed.select(
         "name",
         F.concat(F.lit("hdfs://primary:8020/lake/lineitem/"), F.col("name"), F.lit("/rows.parquet")).alias("path"),
@@ -761,7 +766,7 @@ def q_time_texts(spark, folder):
 
 def q_first_level_dirs(spark, folder):
     lines = _line_paths(spark, folder).select(paths.strip_authority(F.col("path")).alias("path"))
-    months = list_partitions(table(spark, folder, "orders"))
+    months = _pinned_partitions(spark, folder, "orders")
     logs = months.select(F.concat(F.lit("/lake/lineitem/copy-log/"), "name").alias("path"))
     folders = files.first_level_folders(lines.unionByName(logs), "/lake/lineitem")
     return files.names_with_prefix(folders, "/lake/lineitem/ship_year=199")

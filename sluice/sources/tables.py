@@ -98,7 +98,8 @@ def list_partitions(table: SourceTable) -> DataFrame:
     """Partition columns, ``name`` and ``row_count`` of every partition that has rows.
 
     Reads the partition columns (or the layout's time column) only, and combines
-    before the shuffle, so a hot partition costs one row per task.
+    before the shuffle, so a hot partition costs one row per task. Pin the result before
+    filtering on ``name``: the optimizer would move that filter down to the table's rows.
     """
     columns = list(table.partition_columns)
     return (

@@ -40,7 +40,7 @@ def test_below_needs_a_whole_element(spark):
     assert one(spark, paths.is_below(F.lit("/lake/t"), "/lake/t"))[0] is True
 
 
-AWKWARD = ["a=b/c:d", "100%", "x y", "a+b", "é", "00", "{q}"]
+AWKWARD = ["a=b/c:d", "tab\there", "\x7f", "\"#'*?\\[]^", "100%", "x y", "a+b", "é", "00", "{q}"]
 
 
 def test_partition_names_match_the_writer(spark, tmp_path):
