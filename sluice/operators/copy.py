@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice import storage
+from sluice import storage as folders
 from sluice.functions import paths
 from sluice.operators import sample, select
 from sluice.session import new_scratch, pin
 from sluice.sources import files
+from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.tables import SourceTable, folder_partitions, open_folder
 
 STAGING_HINT = "__staging_"
@@ -26,7 +27,7 @@ def write_partitioned(
     columns: Sequence[str],
     mode: str = "errorifexists",
     cluster: bool = True,
-    source: str = "parquet",
+    storage: StorageFormat = PARQUET,
     options: dict[str, str] | None = None,
 ) -> None:
     """Write a ``col=value`` tree.
@@ -38,14 +39,14 @@ def write_partitioned(
     """
     if cluster and columns:
         df = df.hint("rebalance", *columns)
-    writer = df.write.format(source).mode(mode).options(**(options or {}))
+    writer = df.write.format(storage.source).mode(mode).options(**storage.options, **(options or {}))
     if columns:
         writer = writer.partitionBy(*columns)
     writer.save(path)
 
 
-def _result(spark, table: SourceTable, path: str, source: str) -> SourceTable:
-    return open_folder(spark, table.name, path, table.frame.schema, table.partition_columns, source)
+def _result(spark, table: SourceTable, path: str, storage: StorageFormat) -> SourceTable:
+    return open_folder(spark, table.name, path, table.frame.schema, table.partition_columns, storage)
 
 
 def full_copy(
@@ -53,15 +54,15 @@ def full_copy(
     table: SourceTable,
     path: str,
     chosen: DataFrame | None = None,
-    stored_as: str | None = None,
+    storage: StorageFormat | None = None,
 ) -> SourceTable:
     """All rows of the chosen partitions (pinned), or of the whole table."""
     rows = table.frame
     if chosen is not None and table.partition_columns:
         rows = select.rows_of(rows, chosen, table.partition_columns)
-    source = stored_as or table.stored_as
-    write_partitioned(rows, path, table.partition_columns, cluster=table.location is None, source=source)
-    return _result(spark, table, path, source)
+    storage = storage or table.storage
+    write_partitioned(rows, path, table.partition_columns, cluster=table.location is None, storage=storage)
+    return _result(spark, table, path, storage)
 
 
 def sample_copy(
@@ -74,22 +75,22 @@ def sample_copy(
     method: str = "md5",
     seed: int = 0,
     before_sample: Sequence[Callable[[DataFrame], DataFrame]] = (),
-    stored_as: str | None = None,
+    storage: StorageFormat | None = None,
 ) -> SourceTable:
     """One Bernoulli sample over all chosen partitions, in the source's storage format.
 
     Only the sampled share is shuffled. A partition whose sample is empty does not exist
     in the copy.
     """
-    source = stored_as or table.stored_as
+    storage = storage or table.storage
     rows = table.frame
     if chosen is not None and table.partition_columns:
         rows = select.rows_of(rows, chosen, table.partition_columns)
     rows = sample.bernoulli_sample(rows, p, keys, method, seed)
     for hook in before_sample:
         rows = hook(rows)
-    write_partitioned(rows.select(*table.frame.columns), path, table.partition_columns, source=source)
-    return _result(spark, table, path, source)
+    write_partitioned(rows.select(*table.frame.columns), path, table.partition_columns, storage=storage)
+    return _result(spark, table, path, storage)
 
 
 def new_partitions(
@@ -117,7 +118,7 @@ def incremental_copy(
     """
     columns = list(table.partition_columns)
     target = SourceTable(table.name, table.frame, table.partition_columns, location=path)
-    if storage.exists(spark, path):
+    if folders.exists(spark, path):
         missing = new_partitions(source_partitions, folder_partitions(spark, target), columns)
     else:
         missing = source_partitions
@@ -131,7 +132,7 @@ def incremental_copy(
         columns,
         mode="overwrite",
         cluster=table.location is None or p < 1,
-        source=table.stored_as,
+        storage=table.storage,
         options={"partitionOverwriteMode": "dynamic"},
     )
     return missing
@@ -147,7 +148,7 @@ def drop_staging(spark: SparkSession, path: str) -> None:
     """Delete a staging folder; refuses any path that is not one."""
     if STAGING_HINT not in path.rstrip("/").rpartition("/")[2]:
         raise ValueError(f"not a staging folder: {path}")
-    storage.remove(spark, path)
+    folders.remove(spark, path)
 
 
 def staged_publish(
@@ -157,11 +158,11 @@ def staged_publish(
     staging = staging_path(target)
     try:
         write(staging)
-        if storage.exists(spark, target):
+        if folders.exists(spark, target):
             if not overwrite:
                 raise FileExistsError(target)
-            storage.remove(spark, target)
-        storage.rename(spark, staging, target)
+            folders.remove(spark, target)
+        folders.rename(spark, staging, target)
     finally:
         drop_staging(spark, staging)
 
@@ -246,13 +247,13 @@ def copy_listed(
     that exist stay as they are. Returns the report, one row per file, kept in the
     scratch folder so that reading it twice does not copy twice.
     """
-    target = storage.qualify(spark, target_base)
+    target = folders.qualify(spark, target_base)
     plan = listing.select(
         F.col("path").alias("source"),
         F.concat(F.lit(target + "/"), F.col("relative")).alias("target"),
         F.col("length").alias("expected"),
     )
-    if not overwrite and storage.exists(spark, target_base):
+    if not overwrite and folders.exists(spark, target_base):
         present = files.walk_files(spark, target_base).select(F.col("path").alias("target"))
         plan = plan.join(present, "target", "left_anti").select("source", "target", "expected")
     plan = pin(plan, "file-plan")
@@ -281,15 +282,15 @@ def full_copy_bytes(
     if chosen is None or not table.partition_columns:
         report = copy_files(spark, table.location, path)
     else:
-        folders = chosen.select(F.col("location").alias("path"), F.col("name").alias("relative"))
+        starts = chosen.select(F.col("location").alias("path"), F.col("name").alias("relative"))
         present = files.list_files(spark, table.location).select(paths.parent(F.col("path")).alias("path"))
-        folders = folders.join(present.distinct(), "path", "left_semi")
-        report = copy_listed(spark, files.walk_folders(folders), path)
+        starts = starts.join(present.distinct(), "path", "left_semi")
+        report = copy_listed(spark, files.walk_folders(starts), path)
     bad = incomplete(report).count()
     if bad:
         raise OSError(f"{bad} files of {table.name} are incomplete")
-    storage.make_dir(spark, path)
-    return _result(spark, table, path, table.stored_as)
+    folders.make_dir(spark, path)
+    return _result(spark, table, path, table.storage)
 
 
 def copy_through(spark: SparkSession, source_base: str, via: str, target_base: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice import storage
+from sluice import storage as folders
 from sluice.functions import clock, paths
 from sluice.model import LOG_SCHEMA
+from sluice.sources.formats import PARQUET, StorageFormat
 
 HIVE, FILES = "hive", "hdfs"
 
@@ -29,7 +30,12 @@ def _quoted(name: str) -> str:
 
 
 def _columns_ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    def column(f: T.StructField) -> str:
+        comment = f.metadata.get("comment")
+        note = f" COMMENT {_literal(comment)}" if comment else ""
+        return f"`{f.name}` {f.dataType.simpleString()}{note}"
+
+    return ", ".join(column(f) for f in schema)
 
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
@@ -38,12 +44,18 @@ def create_database(spark: SparkSession, database: str, location: str | None = N
 
 
 def create_table_statement(
-    name: str, schema: T.StructType, columns: Sequence[str], location: str, source: str = "parquet"
+    name: str,
+    schema: T.StructType,
+    columns: Sequence[str],
+    location: str,
+    storage: StorageFormat = PARQUET,
 ) -> str:
+    options = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in sorted(storage.options.items()))
+    with_options = f" OPTIONS ({options})" if options else ""
     partitioned = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in columns)})" if columns else ""
     return (
         f"CREATE TABLE IF NOT EXISTS {_quoted(name)} ({_columns_ddl(schema)})"
-        f" USING {source}{partitioned} LOCATION '{location}'"
+        f" USING {storage.source}{with_options}{partitioned} LOCATION '{location}'"
     )
 
 
@@ -53,15 +65,16 @@ def register_copy(
     schema: T.StructType,
     columns: Sequence[str],
     location: str,
-    source: str = "parquet",
+    storage: StorageFormat = PARQUET,
+    discover: bool = True,
 ) -> None:
     """Make a copy queryable. Safe to repeat; what exists is not overridden.
 
-    Partitions are found by a distributed listing and added in batches.
+    With ``discover`` partitions are found by a distributed listing and added in batches.
     """
-    storage.make_dir(spark, location)
-    spark.sql(create_table_statement(name, schema, columns, location, source))
-    if columns:
+    folders.make_dir(spark, location)
+    spark.sql(create_table_statement(name, schema, columns, location, storage))
+    if columns and discover:
         spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
 
 
@@ -116,7 +129,7 @@ def table_statements(
     schema: T.StructType,
     columns: Sequence[str],
     location: Column,
-    source: str = "parquet",
+    storage: StorageFormat = PARQUET,
 ) -> DataFrame:
     """Replayable statements of a copied table: database, use, table, one per partition.
 
@@ -132,7 +145,7 @@ def table_statements(
         .unionByName(_entries(one, USE, F.lit(""), F.lit(f"use {database};")))
         .unionByName(
             _entries(
-                one, TABLE, F.lit(""), F.lit(create_table_statement(table, schema, columns, root, source) + ";")
+                one, TABLE, F.lit(""), F.lit(create_table_statement(table, schema, columns, root, storage) + ";")
             )
         )
     )

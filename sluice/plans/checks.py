@@ -184,7 +184,7 @@ _EXPIRING = f"""(SELECT o_orderkey AS copy_id, o_orderstatus <> 'F' AS running,
 
 _PARSED_EXPIRY = "try_strptime(expires, '%d/%b/%Y %H:%M:%S')"
 
-_FORMATS = ("parquet", "orc", "json", "textfile", "delimited")
+_FORMATS = ("parquet", "orc", "json", "textfile", "delimited", "lines")
 
 _LINE_TYPES = [
     ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
@@ -284,6 +284,7 @@ def statements() -> dict[str, str]:
     sql["format_roundtrip"] = " UNION ALL ".join(
         f"SELECT *, '{kind}' AS stored_as FROM part" for kind in _FORMATS
     )
+    sql["text_lines_roundtrip"] = "SELECT doc_id, md5(text) AS digest, source FROM documents"
     sql["nested_text_roundtrip"] = "SELECT event_id, event_type, props ->> 'k' AS k FROM events"
 
     sql["schema_clone"] = " UNION ALL ".join(

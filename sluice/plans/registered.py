@@ -45,6 +45,8 @@ LAYOUTS = {"lineitem": SHIP_MONTH, "events": EVENT_HOUR, "orders": ORDER_MONTH}
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 KEYS = {"lineitem": LINE_KEYS, "orders": ("o_orderkey",), "events": ("event_id",)}
 
+TEXT = formats.StorageFormat("text")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -211,11 +213,11 @@ def _text_copy(spark, folder) -> SourceTable:
     columns = list(source.partition_columns)
     line = F.concat_ws("|", *LINE_KEYS, "l_returnflag", "l_linestatus").alias("line")
     path = new_scratch(spark, "text")
-    copy.write_partitioned(source.frame.select(line, *columns), path, columns, source="text")
+    copy.write_partitioned(source.frame.select(line, *columns), path, columns, storage=TEXT)
     schema = T.StructType().add("value", "string")
     for name in columns:
         schema = schema.add(name, "string")
-    return open_folder(spark, "lineitem", path, schema, tuple(columns), "text")
+    return open_folder(spark, "lineitem", path, schema, tuple(columns), TEXT)
 
 
 def q_partition_bytes(spark, folder):
@@ -507,10 +509,22 @@ def q_format_roundtrip(spark, folder):
     result = None
     for name, kind in kinds.items():
         path = new_scratch(spark, name)
-        kind.write(part, path)
+        copy.write_partitioned(part, path, [], storage=kind)
         rows = kind.read(spark, path, part.schema).withColumn("stored_as", F.lit(name))
         result = rows if result is None else result.unionByName(rows)
-    return result
+    path = new_scratch(spark, "lines")
+    copy.write_partitioned(formats.pack_lines(part, "|"), path, [], storage=TEXT)
+    rows = formats.unpack_lines(spark.read.text(path), part.schema, "|")
+    return result.unionByName(rows.withColumn("stored_as", F.lit("lines")))
+
+
+def q_text_lines_roundtrip(spark, folder):
+    """Whole documents, line breaks and all, through unquoted text lines."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    path = new_scratch(spark, "lines")
+    copy.write_partitioned(formats.pack_lines(documents), path, [], storage=TEXT)
+    back = formats.unpack_lines(spark.read.text(path), documents.schema)
+    return back.select("doc_id", F.md5("text").alias("digest"), "source")
 
 
 def q_nested_text_roundtrip(spark, folder):
@@ -523,7 +537,7 @@ def q_nested_text_roundtrip(spark, folder):
     path = new_scratch(spark, "nested")
     kind = formats.delimited(fields="|")
     packed = formats.pack_collections(rows)
-    kind.write(packed, path)
+    copy.write_partitioned(packed, path, [], storage=kind)
     back = formats.unpack_collections(kind.read(spark, path, packed.schema), rows.schema)
     return back.select(
         "event_id", F.array_join("pieces", "i").alias("event_type"), F.element_at("props", "k").alias("k")

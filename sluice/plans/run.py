@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -38,6 +39,8 @@ from sluice.sources.tables import (
     size_by_partition,
 )
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class RunTarget:
@@ -116,7 +119,10 @@ def copy_tables(
         row = (item, state, ledger.now(), int(seconds), message)
         result.ledger_rows.append(row)
         if target.ledger is not None:
-            ledger.record(spark, target.ledger, [row])
+            try:
+                ledger.record(spark, target.ledger, [row])
+            except Exception:  # the copy itself goes on
+                logger.exception("cannot write the ledger entry of %s", item)
 
     attempt = set(by_name)
     if target.ledger is not None and by_name:
@@ -192,7 +198,7 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample) ->
     elif policy.overwrite_if_exists or not storage.exists(spark, path):
         copy.staged_publish(spark, write, path, overwrite=True)
     return open_folder(
-        spark, table.name, path, table.frame.schema, table.partition_columns, table.stored_as
+        spark, table.name, path, table.frame.schema, table.partition_columns, table.storage
     )
 
 
@@ -201,11 +207,12 @@ def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
     short = table.name.rpartition(".")[2]
     schema = table.frame.schema
     register.create_database(spark, target.database)
+    # A whole copy registers every chosen partition, empty ones too; a sample what it has.
+    whole = bool(columns) and mode == FULL
     register.register_copy(
-        spark, f"{target.database}.{short}", schema, columns, done.location, table.stored_as
+        spark, f"{target.database}.{short}", schema, columns, done.location, table.storage, not whole
     )
-    if columns and mode == FULL:
-        # A whole copy registers every chosen partition, empty ones too.
+    if whole:
         register.add_partitions(spark, f"{target.database}.{short}", chosen, columns, done.location)
     if target.log is not None:
         logged = copied_partitions(spark, done, chosen, mode) if columns else spark.range(0).select(
@@ -213,7 +220,7 @@ def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
         )
         location = F.concat(F.lit(f"/{target.database}/{short}/"), F.col("name"))
         statements = register.table_statements(
-            logged, target.database, short, schema, columns, location, table.stored_as
+            logged, target.database, short, schema, columns, location, table.storage
         )
         register.append_log(statements, target.log)
 

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Hive storage clauses and the Spark data source that reads and writes them.
+# Hive storage clauses, input formats and row formats, and the Spark data
+# source that reads and writes the same files.
 HIVE_STORAGE = {
     "PARQUET": "parquet",
     "ORC": "orc",
     "TEXTFILE": "csv",
     "JSONFILE": "json",
 }
+HIVE_INPUT_FORMATS = {
+    "org.apache.hadoop.hive.ql.io.parquet.MapredParquetInputFormat": "parquet",
+    "org.apache.hadoop.hive.ql.io.orc.OrcInputFormat": "orc",
+    "org.apache.hadoop.mapred.TextInputFormat": "csv",
+}
+HIVE_SERDES = {
+    "org.apache.hadoop.hive.ql.io.parquet.serde.ParquetHiveSerDe": "parquet",
+    "org.apache.hadoop.hive.ql.io.orc.OrcSerde": "orc",
+    "org.apache.hadoop.hive.serde2.lazy.LazySimpleSerDe": "csv",
+    "org.apache.hadoop.hive.serde2.JsonSerDe": "json",
+    "org.apache.hive.hcatalog.data.JsonSerDe": "json",
+}
+# Properties of delimited row formats and the reader option each one is.
+HIVE_DELIMITERS = {
+    "field.delim": "sep",
+    "escape.delim": "escape",
+    "serialization.null.format": "nullValue",
+    "line.delim": "lineSep",
+}
 
 
 @dataclass(frozen=True)
@@ -24,9 +45,6 @@ class StorageFormat:
     source: str
     options: dict[str, str] = field(default_factory=dict)
 
-    def write(self, df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-        df.write.format(self.source).options(**self.options).mode(mode).save(path)
-
     def read(self, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.read.format(self.source).options(**self.options).schema(schema).load(path)
 
@@ -41,28 +59,91 @@ def delimited(
     escape: str = "\\",
     null: str = "\\N",
     line: str | None = None,
+    quote: str = '"',
 ) -> StorageFormat:
-    """A text table with a field delimiter, an escape, a null text and a line end."""
-    options = {
-        "sep": fields,
-        "escape": escape,
-        "nullValue": null,
-        "emptyValue": "",
-        "quote": "\x00",
-        "header": "false",
-    }
+    """A text table with a field delimiter, an escape, a null text and a line end.
+
+    Quotes are written where they are needed, which keeps empty text apart from null.
+    Files without quotes (``quote=""``) read empty text as null; where that matters use
+    :func:`unpack_lines`.
+    """
+    options = {"sep": fields, "escape": escape, "nullValue": null, "quote": quote, "header": "false"}
     if line is not None:
         options["lineSep"] = line
     return StorageFormat("csv", options)
 
 
+def pack_lines(df: DataFrame, fields: str = "\t", escape: str = "\\", null: str = "\\N") -> DataFrame:
+    """Rows as lines of unquoted text: delimiter, escape and line breaks are escaped."""
+    special = f"([{re.escape(fields)}{re.escape(escape)}])"
+
+    def spell(name: str):
+        text = F.regexp_replace(F.col(name).cast("string"), special, re.escape(escape) + "$1")
+        for char, letter in (("\n", "n"), ("\r", "r")):
+            text = F.replace(text, F.lit(char), F.lit(escape + letter))
+        return F.coalesce(text, F.lit(null))
+
+    return df.select(F.concat_ws(fields, *[spell(c) for c in df.columns]).alias("value"))
+
+
+def unpack_lines(
+    lines: DataFrame, schema: T.StructType, fields: str = "\t", escape: str = "\\", null: str = "\\N"
+) -> DataFrame:
+    """Inverse of :func:`pack_lines`; a field that does not fit its type is null."""
+    esc = re.escape(escape)
+    pieces = F.split("value", re.escape(fields))
+
+    def is_open(piece):
+        """Ends with an odd number of escapes: the delimiter after it is part of the text."""
+        return (F.length(piece) - F.length(F.rtrim(piece, F.lit(escape)))) % 2 == 1
+
+    def join_open(done, piece):
+        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
+        return F.when(
+            is_open(last),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(fields), piece))),
+        ).otherwise(F.concat(done, F.array(piece)))
+
+    joined = F.aggregate(pieces, F.array().cast("array<string>"), join_open)
+    parts = F.when(F.contains("value", F.lit(escape)), joined).otherwise(pieces)
+
+    def read(raw, kind: T.DataType):
+        text = raw
+        for letter, char in (("n", "\n"), ("r", "\r")):
+            text = F.regexp_replace(text, f"(?<!{esc})((?:{esc}{esc})*){esc}{letter}", f"$1{char}")
+        text = F.regexp_replace(text, f"{esc}(.)", "$1")
+        return F.when(raw != null, text).try_cast(kind)
+
+    split = lines.select(parts.alias("parts"))
+    return split.select(
+        *[read(F.get("parts", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(schema)]
+    )
+
+
+def _known(table: dict[str, str], name: str) -> StorageFormat:
+    if name not in table:
+        raise ValueError(f"no built-in data source for storage format {name}")
+    return delimited() if table[name] == "csv" else StorageFormat(table[name])
+
+
 def from_hive_clause(name: str) -> StorageFormat:
     """The format of a ``STORED AS`` word; a name without a built-in source is an error."""
-    try:
-        source = HIVE_STORAGE[name.upper()]
-    except KeyError:
-        raise ValueError(f"no built-in data source for storage format {name}") from None
-    return delimited() if source == "csv" else StorageFormat(source)
+    return _known(HIVE_STORAGE, name.upper())
+
+
+def from_input_format(class_name: str) -> StorageFormat:
+    """The format of a ``STORED AS INPUTFORMAT`` class."""
+    return _known(HIVE_INPUT_FORMATS, class_name)
+
+
+def from_serde(class_name: str, properties: dict[str, str] | None = None) -> StorageFormat:
+    """The format of a ``ROW FORMAT SERDE`` class with its delimiter properties."""
+    storage = _known(HIVE_SERDES, class_name)
+    if storage.source != "csv":
+        return storage
+    storage = delimited(quote="")
+    given = {HIVE_DELIMITERS[k]: v for k, v in (properties or {}).items() if k in HIVE_DELIMITERS}
+    return StorageFormat("csv", {**storage.options, **given})
 
 
 def pack_collections(df: DataFrame, items: str = ",", keys: str = ":") -> DataFrame:

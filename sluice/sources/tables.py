@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from sluice.functions import paths
 from sluice.model import SUMMARY_SCHEMA, PartitionSpec, UnresolvedRequest
 from sluice.session import local_rows
 from sluice.sources import files
+from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.layouts import Layout
 
 
@@ -28,7 +30,7 @@ class SourceTable:
     partition_columns: tuple[str, ...] = ()
     location: str | None = None
     layout: Layout | None = None
-    stored_as: str = "parquet"
+    storage: StorageFormat = PARQUET
     registered: bool = False
 
     @property
@@ -57,29 +59,31 @@ def open_folder(
     path: str,
     schema: T.StructType,
     partition_columns: tuple[str, ...] = (),
-    source: str = "parquet",
+    storage: StorageFormat = PARQUET,
 ) -> SourceTable:
     """A ``col=value`` folder tree.
 
     The schema is declared, so partition values stay as they are spelled (``hour=00``)
     and no file is opened to infer anything.
     """
-    frame = spark.read.format(source).schema(schema).option("basePath", path).load(path)
-    return SourceTable(name, frame, tuple(partition_columns), location=path, stored_as=source)
+    reader = spark.read.format(storage.source).options(**storage.options).option("basePath", path)
+    frame = reader.schema(schema).load(path)
+    return SourceTable(name, frame, tuple(partition_columns), location=path, storage=storage)
 
 
 def open_catalog(spark: SparkSession, name: str) -> SourceTable:
     """A registered table."""
     if not spark.catalog.tableExists(name):
         raise UnresolvedRequest(f"table not found: {name}")
-    columns = tuple(c.name for c in spark.catalog.listColumns(name) if c.isPartition)
-    details = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    details = json.loads(spark.sql(f"DESCRIBE EXTENDED {name} AS JSON").first()[0])
     return SourceTable(
         name,
         spark.table(name),
-        columns,
-        location=details.get("Location"),
-        stored_as=details.get("Provider", "parquet").lower(),
+        tuple(details.get("partition_columns", ())),
+        location=details.get("location"),
+        storage=StorageFormat(
+            details.get("provider", "parquet").lower(), details.get("storage_properties", {})
+        ),
         registered=True,
     )
 

@@ -8,6 +8,7 @@ from sluice import storage
 from sluice.operators import copy, hooks, select
 from sluice.session import new_scratch, pin
 from sluice.sources import files
+from sluice.sources.formats import ORC
 from sluice.sources.tables import SourceTable, folder_partitions, list_partitions, open_folder
 
 
@@ -27,10 +28,10 @@ def test_full_copy_equals_source(spark, monthly):
 
 def test_copy_keeps_the_storage_format(spark, monthly):
     path = new_scratch(spark, "orc")
-    copy.write_partitioned(monthly.frame, path, ["month", "day"], source="orc")
-    source = open_folder(spark, "t", path, monthly.frame.schema, ("month", "day"), "orc")
+    copy.write_partitioned(monthly.frame, path, ["month", "day"], storage=ORC)
+    source = open_folder(spark, "t", path, monthly.frame.schema, ("month", "day"), ORC)
     done = copy.sample_copy(spark, source, new_scratch(spark, "t"), 0.999999, ("name",))
-    assert done.stored_as == "orc"
+    assert done.storage == ORC
     assert files.list_files(spark, done.location, "*.orc").count() > 0
     assert same(done.frame, monthly.frame)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import clock, paths, tags
+from sluice.sources import formats
 
 
 def one(spark, *columns):
@@ -76,6 +77,16 @@ def test_csv_items(spark):
     assert one(spark, paths.csv_items(F.lit("a, b ,c")))[0] == ["a", "b", "c"]
 
 
+def test_text_lines(spark):
+    rows = [(1, "a|b"), (2, ""), (3, None), (4, "back\\slash|"), (5, "two\nlines\r"), (6, "\\n"), (7, "\\N")]
+    for sep, esc, null in (("|", "\\", "\\N"), ("\t", "!", "~"), (";", "^", "NULL")):
+        frame = spark.createDataFrame(rows, "i int, t string")
+        lines = formats.pack_lines(frame, sep, esc, null)
+        assert not any("\n" in r[0] for r in lines.collect())
+        back = formats.unpack_lines(lines, frame.schema, sep, esc, null)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
 def test_elapsed(spark):
     assert list(one(spark, *[clock.elapsed_text(F.lit(s)) for s in (0, 59, 3600, 90061)])) == [
         "0:00:00",

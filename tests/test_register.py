@@ -8,6 +8,7 @@ from sluice.model import UnresolvedRequest
 from sluice.operators import copy, register
 from sluice.session import local_rows, new_scratch
 from sluice.sources import files
+from sluice.sources.formats import PARQUET, delimited, from_hive_clause, from_input_format, from_serde
 from sluice.sources.tables import (
     catalog_partitions,
     folder_partitions,
@@ -34,7 +35,7 @@ def test_register_is_repeatable(spark, monthly, database):
         assert spark.table(name).count() == 12
     table = open_catalog(spark, name)
     assert table.partition_columns == ("month", "day")
-    assert table.stored_as == "parquet"
+    assert table.storage == PARQUET
     assert table.location.endswith(monthly.location.rpartition("/")[2])
     assert "PARTITIONED BY (month, day)" in table_definition(spark, name)
     assert names(catalog_partitions(spark, name, {"month": "2"})) == ["month=2/day=1", "month=2/day=2"]
@@ -78,6 +79,39 @@ def test_padded_folders_of_a_number_column(spark, database):
     assert rows[2]["location"].endswith("month=02") and rows[2]["bytes"] > 0
 
 
+def test_delimited_table_keeps_its_options(spark, database):
+    """A copy of a text table is written and registered with the source's delimiters."""
+    kind = delimited(fields=";", escape="!", null="~")
+    schema = spark.createDataFrame([], "name string, n int, month string").schema
+    schema["name"].metadata["comment"] = "who's who"
+    frame = spark.createDataFrame([("a;b", 1, "01"), (None, None, "02"), ("", 3, "02")], schema)
+    path, target = new_scratch(spark, "text"), new_scratch(spark, "copy")
+    copy.write_partitioned(frame, path, ["month"], storage=kind)
+    register.register_copy(spark, f"{database}.a", schema, ("month",), path, kind)
+    source = open_catalog(spark, f"{database}.a")
+    assert source.storage == kind
+    done = copy.full_copy(spark, source, target)
+    register.register_copy(spark, f"{database}.b", source.frame.schema, ("month",), target, done.storage)
+    assert sorted(map(tuple, spark.table(f"{database}.b").collect()), key=str) == sorted(
+        map(tuple, frame.collect()), key=str
+    )
+    assert spark.table(f"{database}.b").schema["name"].metadata["comment"] == "who's who"
+
+
+def test_hive_format_names():
+    assert from_hive_clause("orc").source == "orc"
+    assert from_input_format("org.apache.hadoop.hive.ql.io.orc.OrcInputFormat").source == "orc"
+    lazy = from_serde(
+        "org.apache.hadoop.hive.serde2.lazy.LazySimpleSerDe",
+        {"field.delim": "\t", "escape.delim": ";", "line.delim": "c", "serialization.null.format": "' '"},
+    )
+    assert lazy.source == "csv"
+    assert [lazy.options[k] for k in ("sep", "escape", "lineSep", "nullValue")] == ["\t", ";", "c", "' '"]
+    for unknown in (from_hive_clause, from_input_format, from_serde):
+        with pytest.raises(ValueError, match="RCFILE"):
+            unknown("RCFILE")
+
+
 def test_create_like(spark, monthly, database):
     register.register_copy(
         spark, f"{database}.a", monthly.frame.schema, ("month", "day"), monthly.location
