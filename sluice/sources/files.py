@@ -56,10 +56,14 @@ def uri_opener() -> Callable:
 _WALK_SCHEMA = "path string, relative string, folder boolean, length long"
 
 
-def _lister(pattern: str | None, batch: int = 10_000) -> Callable:
+def _lister(pattern: str | None, budget: int = 10_000, batch: int = 10_000) -> Callable:
+    """Lists folders, and folders below them until ``budget`` names are found.
+
+    What is left then is handed back as folders, to be spread over tasks.
+    """
     open_uri = uri_opener()
 
-    def list_folder(path: str, relative: str) -> Iterator[tuple]:
+    def list_below(path: str, relative: str) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, place = open_uri(path)
@@ -69,19 +73,28 @@ def _lister(pattern: str | None, batch: int = 10_000) -> Callable:
         if info.is_file:
             yield path, relative or info.base_name, False, info.size
             return
-        for item in system.get_file_info(fs.FileSelector(place)):
-            name, folder = item.base_name, item.type == fs.FileType.Directory
-            # Checksum side files belong to the local file system, not to the data.
-            checksum = name.startswith(".") and name.endswith(".crc")
-            if folder or (not checksum and (pattern is None or fnmatch.fnmatchcase(name, pattern))):
-                yield f"{path}/{name}", f"{relative}/{name}".lstrip("/"), folder, item.size or 0
+        waiting, seen = [(path, place, relative)], 0
+        while waiting and seen < budget:
+            at, inner, below = waiting.pop()
+            for item in system.get_file_info(fs.FileSelector(inner)):
+                seen += 1
+                name = item.base_name
+                here = (f"{at}/{name}", f"{below}/{name}".lstrip("/"))
+                # Checksum side files belong to the local file system, not to the data.
+                checksum = name.startswith(".") and name.endswith(".crc")
+                if item.type == fs.FileType.Directory:
+                    waiting.append((here[0], f"{inner}/{name}", here[1]))
+                elif not checksum and (pattern is None or fnmatch.fnmatchcase(name, pattern)):
+                    yield *here, False, item.size or 0
+        for at, _, below in waiting:
+            yield at, below, True, 0
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "relative", "folder", "length"]
         rows: list[tuple] = []
         for frame in frames:
             for path, relative in zip(frame["path"], frame["relative"]):
-                for row in list_folder(path, relative):
+                for row in list_below(path, relative):
                     rows.append(row)
                     if len(rows) >= batch:
                         yield pd.DataFrame(rows, columns=names)
@@ -98,18 +111,18 @@ def walk_files(spark: SparkSession, base: str, pattern: str | None = None) -> Da
     return walk_folders(start, pattern)
 
 
-def walk_folders(level: DataFrame, pattern: str | None = None) -> DataFrame:
+def walk_folders(level: DataFrame, pattern: str | None = None, budget: int = 10_000) -> DataFrame:
     """The same below many folders, each given as ``path`` and its ``relative`` place.
 
-    Executors list one level of folders at a time, so the driver never holds the names
-    and a tree is as deep in jobs as it is in folders.
+    Executors list, so the driver never holds the names. A small tree takes one job; of
+    a large one each task hands back the folders it did not get to, for the next job.
     """
     spark = level.sparkSession
     nothing = spark.createDataFrame([], "path string, relative string, length long")
     found, folders = [nothing], level.count()
     while folders:
         tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
-        listed = pin(level.repartition(tasks, "path").mapInPandas(_lister(pattern), _WALK_SCHEMA), "walk")
+        listed = pin(level.repartition(tasks, "path").mapInPandas(_lister(pattern, budget), _WALK_SCHEMA), "walk")
         found.append(listed.where(~F.col("folder")).select("path", "relative", "length"))
         level = listed.where("folder").select("path", "relative")
         folders = level.count()

@@ -145,6 +145,22 @@ def test_byte_copy(spark, tmp_path):
     assert not [p for p in target.rglob(".*") if not p.name.endswith(".crc")]
 
 
+@pytest.mark.parametrize("budget", [1, 5, 10_000])
+def test_walk_finds_all_files(spark, tmp_path, budget):
+    expected = set()
+    for i in range(30):
+        folder = tmp_path / f"a{i % 3}" / f"b{i % 7}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{i}").write_text("x" * i)
+        expected.add((f"a{i % 3}/b{i % 7}/f{i}", i))
+    (tmp_path / "hollow" / "deep").mkdir(parents=True)
+    start = spark.createDataFrame([(f"file:{tmp_path}", "")], "path string, relative string")
+    found = files.walk_folders(start, budget=budget)
+    assert sorted((r["relative"], r["length"]) for r in found.collect()) == sorted(expected)
+    assert files.walk_folders(start.limit(0)).isEmpty()
+    assert files.walk_files(spark, f"file:{tmp_path}", "f1*").count() == 11
+
+
 def test_full_copy_of_bytes_keeps_the_layout(spark, monthly):
     chosen = pin(select.last_n(folder_partitions(spark, monthly), 3))
     done = copy.full_copy_bytes(spark, monthly, new_scratch(spark, "t"), chosen)
