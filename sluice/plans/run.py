@@ -41,6 +41,9 @@ from sluice.sources.tables import (
 
 logger = logging.getLogger(__name__)
 
+# Marks a whole copy; scans skip names that start with an underscore.
+COMPLETE = "_copied"
+
 
 @dataclass(frozen=True)
 class RunTarget:
@@ -188,15 +191,23 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample) ->
         write = lambda to: copy.sample_copy(
             spark, table, to, decision["probability"], keys, chosen, method, before_sample=before_sample
         )
-    if table.partition_columns and storage.exists(spark, path):
+    marker = f"{path}/{COMPLETE}"
+    done = storage.exists(spark, marker)
+    if done and table.partition_columns:
         # A repeated run brings new partitions only and leaves the others as they are.
         p = 1.0 if decision["mode"] == FULL else decision["probability"]
         keys = policy.sample_keys.get(table.name, ())
-        copy.incremental_copy(
-            spark, table, path, chosen, p, keys, policy.sample_method if keys else "rand"
-        )
-    elif policy.overwrite_if_exists or not storage.exists(spark, path):
-        copy.staged_publish(spark, write, path, overwrite=True)
+        method = policy.sample_method if keys else "rand"
+        copy.incremental_copy(spark, table, path, chosen, p, keys, method)
+    elif policy.overwrite_if_exists or not done:
+        if storage.renames_in_place(spark, path):
+            copy.staged_publish(spark, write, path, overwrite=True)
+        else:
+            # Moving the folder would copy it a second time. Without its marker a broken
+            # copy is not taken for a whole one, and the next run starts it again.
+            storage.remove(spark, path)
+            write(path)
+        storage.touch(spark, marker)
     return open_folder(
         spark, table.name, path, table.frame.schema, table.partition_columns, table.storage
     )

@@ -55,6 +55,21 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+# Stores where renaming a folder copies every object in it.
+_COPYING_RENAME = ("s3", "s3a", "s3n", "gs", "oss", "cosn", "wasb", "wasbs", "swift")
+
+
+def renames_in_place(spark: SparkSession, path: str) -> bool:
+    """Whether moving a folder costs the same whatever it holds."""
+    return qualify(spark, path).split(":", 1)[0] not in _COPYING_RENAME
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, jpath = _resolve(spark, path)
+    fs.create(jpath, True).close()
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder, hidden ones left out."""
     fs, jpath = _resolve(spark, path)

@@ -92,6 +92,32 @@ def test_a_repeated_run_adds_newer_partitions(spark, monthly, target):
     assert spark.table(name).count() == 13
 
 
+@pytest.mark.parametrize("in_place", [True, False])
+def test_a_broken_copy_is_made_again(spark, monthly, target, monkeypatch, in_place):
+    """With and without a cheap rename, half a copy is never taken for a whole one."""
+    monkeypatch.setattr(storage, "renames_in_place", lambda spark, path: in_place)
+    bare = RunTarget(target.folder, target.database)
+    path = bare.table_path("lake.monthly")
+    copy.write_partitioned(monthly.frame.where("month = 1"), path, ["month", "day"])
+    copy_tables(spark, {"lake.monthly": monthly}, [TableSpec("lake.monthly")], bare)
+    assert spark.table(f"{target.database}.monthly").count() == 12
+    assert storage.exists(spark, f"{path}/_copied")
+    again = copy_tables(spark, {"lake.monthly": monthly}, [TableSpec("lake.monthly")], bare)
+    assert again.errors == {} and again.tables["lake.monthly"].frame.count() == 12
+
+
+def test_existing_plain_copy_stays_without_overwrite(spark, target):
+    bare = RunTarget(target.folder, target.database)
+    policy = CopyPolicy(overwrite_if_exists=False)
+    for rows, expected in ((10, 10), (20, 10)):
+        source = SourceTable("lake.plain", spark.range(rows).toDF("id"))
+        copy_tables(spark, {"lake.plain": source}, [TableSpec("lake.plain")], bare, policy)
+        assert spark.read.parquet(bare.table_path("lake.plain")).count() == expected
+    source = SourceTable("lake.plain", spark.range(20).toDF("id"))
+    copy_tables(spark, {"lake.plain": source}, [TableSpec("lake.plain")], bare)
+    assert spark.read.parquet(bare.table_path("lake.plain")).count() == 20
+
+
 def test_sample_sizes_count_selected_partitions_only(spark, target):
     """A size target over the whole selection is a full copy, over a part of it a sample."""
     source = lay_out(spark, [(f"n{i}", i % 4 + 1, 1) for i in range(4000)], name="lake.big")
