@@ -21,6 +21,22 @@ from sluice.sources.tables import SourceTable, folder_partitions, open_folder
 STAGING_HINT = "__staging_"
 
 
+# Tasks that share one partition's rows when AQE is off and cannot split by size.
+_SPLITS = 16
+
+
+def _clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *columns)
+    data = [
+        f.name
+        for f in df.schema
+        if f.name not in columns and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
+    ]
+    salt = F.pmod(F.xxhash64(*data), F.lit(_SPLITS)) if data else F.lit(0)
+    return df.repartition(*columns, salt)
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,
@@ -34,11 +50,11 @@ def write_partitioned(
 
     ``cluster`` brings a partition's rows together with a rebalance, so that not every
     task writes a small file to every partition. AQE splits a hot partition into several
-    tasks and merges small ones. A source that is already laid out this way needs no
+    tasks and merges small ones; without AQE a salt of the row splits it. A source that is already laid out this way needs no
     shuffle: each of its files belongs to one partition.
     """
     if cluster and columns:
-        df = df.hint("rebalance", *columns)
+        df = _clustered(df, columns)
     writer = df.write.format(storage.source).mode(mode).options(**storage.options, **(options or {}))
     if columns:
         writer = writer.partitionBy(*columns)

@@ -12,12 +12,18 @@ from pyspark.sql import types as T
 from sluice.model import FULL, SAMPLE, CopyPolicy, TableSpec
 from sluice.session import local_rows
 
-_SPACE = 2**32
+# Below this, 32 bits of a digest would be too coarse.
+_SMALL = 2**-16
 
 
 def threshold_hex(p: float) -> str:
-    """First 8 hex digits that a key's md5 must stay below; ``0 < p < 1``."""
-    return f"{math.floor(p * _SPACE):08x}"
+    """Leading hex digits that a key's md5 must stay below; ``0 < p < 1``.
+
+    Eight digits, or sixteen for a small ``p``. The kept rows of a smaller ``p`` are a
+    subset of those of a larger one across both.
+    """
+    digits = 8 if p >= _SMALL else 16
+    return f"{math.floor(p * 16**digits):0{digits}x}"
 
 
 def sampled(p: float, keys: Sequence[str], method: str = "md5", seed: int = 0) -> Column:
@@ -38,9 +44,10 @@ def sampled(p: float, keys: Sequence[str], method: str = "md5", seed: int = 0) -
         raise ValueError("a repeatable sample needs key columns")
     if method == "md5":
         text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        return F.substring(F.md5(text), 1, 8) < threshold_hex(p)
+        limit = threshold_hex(p)
+        return F.substring(F.md5(text), 1, len(limit)) < limit
     if method == "xxhash64":
-        return F.pmod(F.xxhash64(*keys), F.lit(_SPACE)) < math.floor(p * _SPACE)
+        return F.shiftrightunsigned(F.xxhash64(*keys), 1) < F.lit(math.floor(p * 2**63)).cast("long")
     raise ValueError(f"unknown sample method {method}")
 
 

@@ -274,7 +274,7 @@ def statements() -> dict[str, str]:
         CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {ORDERS} GROUP BY ALL"""
     event_sample = _sampled("0.1", "event_id")
     sql["incremental_copy"] = f"""SELECT event_id, day, hour, {_arrival()} AS arrived
-        FROM {EVENTS} WHERE {event_sample}"""
+        FROM {EVENTS} WHERE {_sampled('0.03', 'event_id')}"""
     sql["stream_incremental_copy"] = f"SELECT event_id, day FROM {EVENTS} WHERE {event_sample}"
     sql["staged_publish"] = f"""SELECT 'day=' || day AS name, count(*) AS row_count,
         CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {event_sample} GROUP BY ALL"""

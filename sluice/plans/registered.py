@@ -430,8 +430,8 @@ def q_incremental_copy(spark, folder):
     path = new_scratch(spark, "incremental")
     listed = list_partitions(source).select(*columns, "name")
     early = pin(listed.where(F.col("day") <= FIRST_DAYS_END))
-    copy.sample_copy(spark, source, path, 0.1, ("event_id",), early)
-    arrived = copy.incremental_copy(spark, source, path, listed, 0.1, ("event_id",))
+    copy.sample_copy(spark, source, path, 0.03, ("event_id",), early)
+    arrived = copy.incremental_copy(spark, source, path, listed, 0.03, ("event_id",))
     copied = open_folder(spark, "events", path, source.frame.schema, tuple(columns)).frame
     second = arrived.select(*columns).withColumn("arrived", F.lit("second"))
     return copied.join(second, columns, "left").select(

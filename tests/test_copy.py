@@ -103,6 +103,18 @@ def test_hot_partition_is_written_by_many_tasks(spark):
     assert spark.read.parquet(path).count() == 200_000
 
 
+def test_hot_partition_without_adaptive_execution(spark):
+    frame = spark.range(5_000).select("id", F.lit("hot").alias("day"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = new_scratch(spark, "hot")
+        copy.write_partitioned(frame, path, ["day"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert files.list_files(spark, path).count() > 1
+    assert spark.read.parquet(path).select("id").distinct().count() == 5_000
+
+
 def test_publish_is_all_or_nothing(spark, monthly):
     root = new_scratch(spark, "publish")
     target = f"{root}/t"

@@ -31,10 +31,21 @@ def test_edges(spark, method):
 
 def test_threshold_text():
     assert sample.threshold_hex(0.5) == "80000000"
-    assert sample.threshold_hex(1 / 2**32) == "00000001"
+    assert sample.threshold_hex(1 / 2**32) == "0000000100000000"
+    assert sample.threshold_hex(2**-16) == "00010000"
+    assert int(sample.threshold_hex(1e-12), 16) > 0
     assert sample.threshold_hex(0.9999999999999999) == "ffffffff"
 
 
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_small_probabilities(spark, method):
+    df = spark.range(3_000_000)
+    kept = _ids(sample.bernoulli_sample(df, 1e-5, ["id"], method))
+    assert abs(len(kept) - 30) <= 5 * 30**0.5
+    assert kept <= _ids(sample.bernoulli_sample(df, 2e-5, ["id"], method))
+    assert _ids(sample.bernoulli_sample(df, 1e-6, ["id"], method)) <= kept
+
+
 def test_bad_methods(spark):
     with pytest.raises(ValueError):
         sample.sampled(0.5, [])
