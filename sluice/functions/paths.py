@@ -14,6 +14,9 @@ LOCATION_VARIABLE = "$LOCATION"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED_CHARACTERS = "\"#%'*/:=?\\{[]^"
 
+# Types whose literals need no quotes.
+BARE_TYPES = ("tinyint", "smallint", "int", "integer", "bigint", "float", "double", "boolean")
+
 
 def strip_authority(path: Column) -> Column:
     """Drop ``hdfs://authority``."""
@@ -113,7 +116,7 @@ def partition_value(name: Column, column: str) -> Column:
 
 
 def spec_text(pairs: Column, types: Mapping[str, str], separator: str = ", ") -> Column:
-    """Pairs as a statement's partition spec; only ``string`` columns get quotes.
+    """Pairs as a statement's partition spec; numbers and null stand bare, the rest in quotes.
 
     A column that the table does not have raises an error.
     """
@@ -121,13 +124,18 @@ def spec_text(pairs: Column, types: Mapping[str, str], separator: str = ", ") ->
 
     def render(pair: Column) -> Column:
         kind = F.try_element_at(type_of, F.lower(pair["column"]))
+        escaped = F.regexp_replace(pair["value"], r"(['\\])", r"\\$1")
         return (
             F.when(
                 kind.isNull(),
                 F.raise_error(F.concat(F.lit("invalid column: "), pair["column"])).cast("string"),
             )
-            .when(kind == "string", F.concat(pair["column"], F.lit("='"), pair["value"], F.lit("'")))
-            .otherwise(F.concat(pair["column"], F.lit("="), pair["value"]))
+            .when(pair["value"].isNull(), F.concat(pair["column"], F.lit("=null")))
+            .when(
+                kind.isin(*BARE_TYPES) | F.startswith(kind, F.lit("decimal")),
+                F.concat(pair["column"], F.lit("="), pair["value"]),
+            )
+            .otherwise(F.concat(pair["column"], F.lit("='"), escaped, F.lit("'")))
         )
 
     return F.array_join(F.transform(pairs, render), separator)

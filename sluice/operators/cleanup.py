@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice import storage
+from sluice.functions.ddl import partition_clause, quoted_name
 from sluice.model import CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import select
-from sluice.operators.register import _literal, _quoted
 from sluice.session import pin
 from sluice.sources.tables import catalog_partitions, open_catalog
 
@@ -28,10 +28,8 @@ def drop_partitions(
     rows = partitions.select(*columns, "name").toLocalIterator()
     dropped = 0
     while batch := list(itertools.islice(rows, _BATCH)):
-        clauses = [
-            "PARTITION (" + ", ".join(f"`{c}`={_literal(row[c])}" for c in columns) + ")" for row in batch
-        ]
-        spark.sql(f"ALTER TABLE {_quoted(name)} DROP IF EXISTS {', '.join(clauses)}")
+        clauses = [partition_clause({c: row[c] for c in columns}) for row in batch]
+        spark.sql(f"ALTER TABLE {quoted_name(name)} DROP IF EXISTS {', '.join(clauses)}")
         storage.remove_all(spark, [f"{location}/{row['name']}" for row in batch])
         dropped += len(batch)
     return dropped
@@ -71,7 +69,7 @@ def cleanup(
                 dropped = drop_partitions(spark, spec.name, chosen, columns, table.location)
                 outcome[spec.name] = f"dropped {dropped} partitions"
             if dropped == 0 and (not columns or allow_drop_table):
-                spark.sql(f"DROP TABLE IF EXISTS {_quoted(spec.name)}")
+                spark.sql(f"DROP TABLE IF EXISTS {quoted_name(spec.name)}")
                 if table.location:
                     storage.remove(spark, table.location)
                 outcome[spec.name] = "dropped table"

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sluice import storage as folders
 from sluice.functions import clock, paths
+from sluice.functions.ddl import literal, partition_clause, quoted_name
 from sluice.model import LOG_SCHEMA
 from sluice.sources.formats import PARQUET, StorageFormat
 
@@ -25,22 +26,18 @@ DATABASE, USE, TABLE, PARTITION = range(4)
 _BATCH = 200
 
 
-def _quoted(name: str) -> str:
-    return ".".join(f"`{part}`" for part in name.split("."))
-
-
 def _columns_ddl(schema: T.StructType) -> str:
     def column(f: T.StructField) -> str:
         comment = f.metadata.get("comment")
-        note = f" COMMENT {_literal(comment)}" if comment else ""
+        note = f" COMMENT {literal(comment)}" if comment else ""
         return f"`{f.name}` {f.dataType.simpleString()}{note}"
 
     return ", ".join(column(f) for f in schema)
 
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)}{where}")
+    where = f" LOCATION {literal(location)}" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted_name(database)}{where}")
 
 
 def create_table_statement(
@@ -50,12 +47,12 @@ def create_table_statement(
     location: str,
     storage: StorageFormat = PARQUET,
 ) -> str:
-    options = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in sorted(storage.options.items()))
+    options = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in sorted(storage.options.items()))
     with_options = f" OPTIONS ({options})" if options else ""
     partitioned = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in columns)})" if columns else ""
     return (
-        f"CREATE TABLE IF NOT EXISTS {_quoted(name)} ({_columns_ddl(schema)})"
-        f" USING {storage.source}{with_options}{partitioned} LOCATION '{location}'"
+        f"CREATE TABLE IF NOT EXISTS {quoted_name(name)} ({_columns_ddl(schema)})"
+        f" USING {storage.source}{with_options}{partitioned} LOCATION {literal(location)}"
     )
 
 
@@ -75,7 +72,7 @@ def register_copy(
     folders.make_dir(spark, location)
     spark.sql(create_table_statement(name, schema, columns, location, storage))
     if columns and discover:
-        spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
+        spark.sql(f"MSCK REPAIR TABLE {quoted_name(name)}")
 
 
 def add_partitions(
@@ -88,28 +85,19 @@ def add_partitions(
     rows = partitions.select(*columns, "name").toLocalIterator()
     added = 0
     while batch := list(itertools.islice(rows, _BATCH)):
-        clauses = []
-        for row in batch:
-            spec = ", ".join(f"`{c}`={_literal(row[c])}" for c in columns)
-            clauses.append(f"PARTITION ({spec}) LOCATION '{location}/{row['name']}'")
-        spark.sql(f"ALTER TABLE {_quoted(name)} ADD IF NOT EXISTS {' '.join(clauses)}")
+        clauses = [
+            f"{partition_clause({c: row[c] for c in columns})} LOCATION {literal(location + '/' + row['name'])}"
+            for row in batch
+        ]
+        spark.sql(f"ALTER TABLE {quoted_name(name)} ADD IF NOT EXISTS {' '.join(clauses)}")
         added += len(batch)
     return added
 
 
-def _literal(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, (int, float)):
-        return str(value)
-    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{text}'"
-
-
 def create_like(spark: SparkSession, target: str, source: str, location: str) -> None:
     """An empty table with the columns and partitioning of another, in a place of its own."""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {_quoted(target)} LIKE {_quoted(source)} LOCATION '{location}'"
+        f"CREATE TABLE IF NOT EXISTS {quoted_name(target)} LIKE {quoted_name(source)} LOCATION {literal(location)}"
     )
 
 
@@ -258,7 +246,7 @@ def attach(spark: SparkSession, log: DataFrame, base: str, database: str | None
                     create_database(spark, database)
                     continue
                 if ordinal == USE:
-                    text = f"use {_quoted(database)}"
+                    text = f"use {quoted_name(database)}"
             spark.sql(text)
             done += 1
     finally:

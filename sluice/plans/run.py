@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -118,14 +118,24 @@ def copy_tables(
     result = RunResult()
     by_name = {spec.name: spec for spec in specs}
 
-    def note(item: str, state: str, seconds: float = 0, message: str | None = None) -> None:
-        row = (item, state, ledger.now(), int(seconds), message)
-        result.ledger_rows.append(row)
-        if target.ledger is not None:
+    def note(*states: tuple[str, str, float, str | None]) -> None:
+        rows = [(item, state, ledger.now(), int(seconds), text) for item, state, seconds, text in states]
+        result.ledger_rows.extend(rows)
+        if target.ledger is not None and rows:
             try:
-                ledger.record(spark, target.ledger, [row])
+                ledger.record(spark, target.ledger, rows)
             except Exception:  # the copy itself goes on
-                logger.exception("cannot write the ledger entry of %s", item)
+                logger.exception("cannot write the ledger entry of %s", [row[0] for row in rows])
+
+    def side_by_side(work: Callable[[str], object], names: Sequence[str]) -> list:
+        """Run once per table, a few tables at a time, each in a scheduler pool of its own."""
+
+        def pooled(name: str) -> object:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            return work(name)
+
+        with ThreadPoolExecutor(max(1, policy.table_parallelism)) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(pooled), names))
 
     attempt = set(by_name)
     if target.ledger is not None and by_name:
@@ -133,29 +143,31 @@ def copy_tables(
         run = ledger.next_run(configured, ledger.open_ledger(spark, target.ledger))
         attempt = {row["item"] for row in ledger.attempts(run).collect()} & attempt
 
-    resolved: dict[str, DataFrame | None] = {}
-    sizes: list[tuple] = []
-    for name in by_name:
-        if name not in attempt:
-            continue
+    def resolve_one(name: str):
         try:
             if name not in sources:
                 raise UnresolvedRequest(f"table not found: {name}")
-            chosen, size = _resolve(spark, sources[name], by_name[name], policy)
+            return _resolve(spark, sources[name], by_name[name], policy)
         except UnresolvedRequest as error:
-            result.errors[name] = str(error)
-            note(name, INVALID, message=str(error))
-            continue
-        resolved[name] = chosen
-        sizes.append((name, size, None, None, None))
-        note(name, TODO)
+            return error
+        except Exception as error:  # a table that cannot be read is invalid, the run goes on
+            return UnresolvedRequest(f"{type(error).__name__}: {error}")
+
+    names = [name for name in by_name if name in attempt]
+    outcomes = dict(zip(names, side_by_side(resolve_one, names)))
+    result.errors.update({n: str(o) for n, o in outcomes.items() if isinstance(o, UnresolvedRequest)})
+    resolved = {n: o[0] for n, o in outcomes.items() if n not in result.errors}
+    sizes = [(n, outcomes[n][1], None, None, None) for n in resolved]
+    note(
+        *[(n, INVALID, 0, text) for n, text in result.errors.items()],
+        *[(n, TODO, 0, None) for n in resolved],
+    )
 
     summary = local_rows(spark, sizes, SUMMARY_SCHEMA)
     requests = sample.requests_frame(spark, [by_name[name] for name in resolved])
     decisions = {row["name"]: row for row in sample.resolve_policy(summary, requests, policy).collect()}
 
     def copy_one(name: str) -> None:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         started = time.monotonic()
         table, chosen, decision = sources[name], resolved[name], decisions[name]
         path = target.table_path(name)
@@ -167,14 +179,12 @@ def copy_tables(
             _register(spark, table, done, chosen, decision["mode"], target)
         except Exception as error:  # a table's failure is recorded, the run goes on
             result.errors[name] = f"{type(error).__name__}: {error}"
-            note(name, FAILED, time.monotonic() - started, str(error)[:500])
+            note((name, FAILED, time.monotonic() - started, str(error)))
             return
         result.tables[name], result.modes[name] = done, decision["mode"]
-        note(name, FINISHED, time.monotonic() - started)
-
-    with ThreadPoolExecutor(max(1, policy.table_parallelism)) as pool:
-        list(pool.map(inheritable_thread_target(spark)(copy_one), list(resolved)))
+        note((name, FINISHED, time.monotonic() - started, None))
 
+    side_by_side(copy_one, list(resolved))
     for source in loose_files:
         copy_loose(spark, source, target, policy.overwrite_if_exists)
     return result

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sluice import storage
 from sluice.functions import paths
+from sluice.functions.ddl import partition_clause, quoted_name
 from sluice.model import SUMMARY_SCHEMA, PartitionSpec, UnresolvedRequest
 from sluice.session import local_rows
 from sluice.sources import files
@@ -75,7 +76,7 @@ def open_catalog(spark: SparkSession, name: str) -> SourceTable:
     """A registered table."""
     if not spark.catalog.tableExists(name):
         raise UnresolvedRequest(f"table not found: {name}")
-    details = json.loads(spark.sql(f"DESCRIBE EXTENDED {name} AS JSON").first()[0])
+    details = json.loads(spark.sql(f"DESCRIBE EXTENDED {quoted_name(name)} AS JSON").first()[0])
     return SourceTable(
         name,
         spark.table(name),
@@ -90,7 +91,7 @@ def open_catalog(spark: SparkSession, name: str) -> SourceTable:
 
 def table_definition(spark: SparkSession, name: str) -> str:
     """The statement that creates a registered table."""
-    return spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
+    return spark.sql(f"SHOW CREATE TABLE {quoted_name(name)}").first()[0]
 
 
 def column_definitions(schema: T.StructType) -> list[tuple[int, str, str, bool]]:
@@ -121,8 +122,8 @@ def catalog_partitions(spark: SparkSession, name: str, spec: PartitionSpec | Non
     table = open_catalog(spark, name)
     clause = ""
     if spec:
-        clause = " PARTITION (" + ", ".join(f"{c}='{v}'" for c, v in spec.items()) + ")"
-    listed = spark.sql(f"SHOW PARTITIONS {name}{clause}").withColumnRenamed("partition", "name")
+        clause = " " + partition_clause(spec)
+    listed = spark.sql(f"SHOW PARTITIONS {quoted_name(name)}{clause}").withColumnRenamed("partition", "name")
     if spec and listed.isEmpty():
         raise UnresolvedRequest(f"no partition of {name} matches {dict(spec)}")
     return listed.select(
@@ -163,8 +164,7 @@ def folder_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
 
 def partition_location(spark: SparkSession, name: str, spec: PartitionSpec) -> str:
     """Where the catalog says one partition lies."""
-    clause = ", ".join(f"{c}='{v}'" for c, v in spec.items())
-    rows = spark.sql(f"DESCRIBE EXTENDED {name} PARTITION ({clause})").collect()
+    rows = spark.sql(f"DESCRIBE EXTENDED {quoted_name(name)} {partition_clause(spec)}").collect()
     return next(r["data_type"] for r in rows if r["col_name"] == "Location")
 
 

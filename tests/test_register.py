@@ -157,6 +157,26 @@ def test_log_and_attach(spark, monthly, database):
     assert spark.catalog.currentDatabase() == "default"
 
 
+def test_awkward_partition_values_survive_the_log(spark, database):
+    values = ["it's", "back\\slash", "a=b/c", "50%", None]
+    frame = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)], "i int, k string, n int")
+    root = new_scratch(spark, "shared")
+    folder = f"{root}/lake/t"
+    copy.write_partitioned(frame, folder, ["k", "n"])
+    shared = open_folder(spark, "t", folder, frame.schema, ("k", "n"))
+    statements = register.table_statements(
+        folder_partitions(spark, shared), "lake", "t", frame.schema, ["k", "n"],
+        F.concat(F.lit("/lake/t/"), F.col("name")),
+    )
+    register.append_log(statements, f"{root}/copy-log")
+    register.attach(spark, register.read_log(spark, f"{root}/copy-log"), root, database)
+    assert sorted(map(tuple, spark.table(f"{database}.t").collect())) == sorted(map(tuple, frame.collect()))
+    listed = catalog_partitions(spark, f"{database}.t")
+    register.add_partitions(spark, f"{database}.t", listed, ["k", "n"], folder)
+    assert listed.count() == 5
+    assert {r["k"] for r in listed.collect()} == set(values)
+
+
 def test_log_order_is_time_not_text(spark):
     log = new_scratch(spark, "log")
     one = spark.createDataFrame([("f",)], "relative string")
