@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -75,7 +76,8 @@ def escape_value(value: Column) -> Column:
     """
     text = value.cast("string")
     codes = [ord(c) for c in ESCAPED_CHARACTERS] + [*range(1, 32), 127]
-    escaped = F.create_map(*[F.lit(x) for code in codes for x in (chr(code), f"%{code:02X}")])
+    table = json.dumps({chr(code): f"%{code:02X}" for code in codes})
+    escaped = F.from_json(F.lit(table), "map<string,string>")
     spelled = F.array_join(
         F.transform(F.split(text, ""), lambda char: F.coalesce(F.try_element_at(escaped, char), char)), ""
     )

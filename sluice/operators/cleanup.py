@@ -12,25 +12,25 @@ from sluice.functions.ddl import partition_clause, quoted_name
 from sluice.model import CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import select
 from sluice.session import pin
-from sluice.sources.tables import catalog_partitions, open_catalog
+from sluice.sources.tables import located_partitions, open_catalog
 
 _BATCH = 200
 
 
 def drop_partitions(
-    spark: SparkSession, name: str, partitions: DataFrame, columns: Sequence[str], location: str
+    spark: SparkSession, name: str, partitions: DataFrame, columns: Sequence[str]
 ) -> int:
-    """Drop listed partitions from the catalog and delete their folders.
+    """Drop listed partitions from the catalog and delete the folders at their ``location``.
 
     The catalog keeps the files of a table with a location of its own, so folders go in
     a second step, concurrently, per batch.
     """
-    rows = partitions.select(*columns, "name").toLocalIterator()
+    rows = partitions.select(*columns, "location").toLocalIterator()
     dropped = 0
     while batch := list(itertools.islice(rows, _BATCH)):
         clauses = [partition_clause({c: row[c] for c in columns}) for row in batch]
         spark.sql(f"ALTER TABLE {quoted_name(name)} DROP IF EXISTS {', '.join(clauses)}")
-        storage.remove_all(spark, [f"{location}/{row['name']}" for row in batch])
+        storage.remove_all(spark, [row["location"] for row in batch])
         dropped += len(batch)
     return dropped
 
@@ -59,14 +59,14 @@ def cleanup(
             if columns:
                 chosen = pin(
                     select.resolve(
-                        catalog_partitions(spark, spec.name),
+                        located_partitions(spark, table),
                         spec.partitions,
                         policy.partition_count(spec),
                         spec.top_level_count or -1,
                     ),
                     "cleanup",
                 )
-                dropped = drop_partitions(spark, spec.name, chosen, columns, table.location)
+                dropped = drop_partitions(spark, spec.name, chosen, columns)
                 outcome[spec.name] = f"dropped {dropped} partitions"
             if dropped == 0 and (not columns or allow_drop_table):
                 spark.sql(f"DROP TABLE IF EXISTS {quoted_name(spec.name)}")

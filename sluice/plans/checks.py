@@ -325,7 +325,7 @@ def statements() -> dict[str, str]:
         FROM {_LEDGER})"""
     sql["resume_ledger"] = f"""
         WITH wanted AS (
-          SELECT name AS item FROM {EVENT_PARTS} WHERE substring(md5(name), 2, 1) <> 'f'
+          SELECT name AS item FROM {EVENT_PARTS} WHERE hour >= '06'
           UNION SELECT name FROM {ORDER_PARTS}),
         known AS (SELECT name AS item, state FROM {_LEDGER} WHERE day < '2024-01-26')
         SELECT item, coalesce(state, 'new') AS before,

@@ -707,10 +707,11 @@ def q_run_totals(spark, folder):
 
 
 def q_resume_ledger(spark, folder):
-    """The ledger knows the event partitions of January 1-25; months of orders are new."""
+    """The ledger knows the event hours of January 1-25; nights are no longer configured,
+    later days and the months of orders are new."""
     known = _ledger_rows(spark, folder).where(F.col("updated") < F.lit("2024-01-26").cast("timestamp_ntz"))
     events = _pinned_partitions(spark, folder, "events")
-    wanted = events.where(F.substring(F.md5("name"), 2, 1) != "f").select(F.col("name").alias("item"))
+    wanted = events.where(F.col("hour") >= "06").select(F.col("name").alias("item"))
     months = list_partitions(table(spark, folder, "orders")).select(F.col("name").alias("item"))
     return ledger.next_run(wanted.unionByName(months), known)
 

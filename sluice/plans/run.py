@@ -169,13 +169,19 @@ def copy_tables(
 
     def copy_one(name: str) -> None:
         started = time.monotonic()
-        table, chosen, decision = sources[name], resolved[name], decisions[name]
+        # From here on the table goes by its requested name.
+        table = replace(sources[name], name=name, registered=False)
+        chosen, decision = resolved[name], decisions[name]
         path = target.table_path(name)
         try:
             done = _copy_table(spark, table, path, chosen, decision, policy, before_sample)
             context = CopyContext(spark, table, done, decision["mode"])
             for hook in after_copy:
                 hook(context)
+            moved = policy.byte_copy and table.location is not None
+            if chosen is not None and not moved:
+                # Folders of written rows are named after the typed values.
+                chosen = chosen.withColumn("name", paths.partition_name(table.partition_columns))
             _register(spark, table, done, chosen, decision["mode"], target)
         except Exception as error:  # a table's failure is recorded, the run goes on
             result.errors[name] = f"{type(error).__name__}: {error}"

@@ -220,6 +220,9 @@ def logical_bytes(schema: T.StructType) -> Column:
             return F.when(column.isNull(), F.lit(0)).otherwise(F.lit(16))
         if isinstance(kind, (T.StringType, T.BinaryType)):
             return F.coalesce(F.octet_length(column), F.lit(0))
+        if isinstance(kind, T.ArrayType) and kind.elementType.simpleString() in _FIXED_WIDTHS:
+            each = _FIXED_WIDTHS[kind.elementType.simpleString()]
+            return F.when(column.isNull(), F.lit(0)).otherwise(F.size(column) * each)
         if isinstance(kind, T.ArrayType):
             return F.coalesce(
                 F.aggregate(column, F.lit(0), lambda acc, x: acc + width(x, kind.elementType)), F.lit(0)

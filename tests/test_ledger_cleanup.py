@@ -106,6 +106,17 @@ def test_cleanup_deletes_folders_and_keeps_others(spark, copies):
     assert storage.exists(spark, f"{location}/month=2/day=2")
 
 
+def test_cleanup_finds_padded_folders(spark, copies):
+    frame = spark.createDataFrame([("a", "02"), ("b", "10")], "name string, month string")
+    path = new_scratch(spark, "padded")
+    copy.write_partitioned(frame, path, ["month"])
+    schema = spark.createDataFrame([], "name string, month int").schema
+    register.register_copy(spark, f"{copies}.padded", schema, ("month",), path)
+    spec = TableSpec(f"{copies}.padded", partitions=({"month": "2"},))
+    assert cleanup.cleanup(spark, [spec], CopyPolicy())[spec.name] == "dropped 1 partitions"
+    assert storage.child_names(spark, path) == ["month=10"]
+
+
 def test_whole_table_drop_needs_a_flag(spark, copies):
     name = f"{copies}.a"
     assert cleanup.cleanup(spark, [TableSpec(name)], CopyPolicy())[name] == "dropped 6 partitions"

@@ -8,7 +8,7 @@ from sluice.model import CopyPolicy, TableSpec
 from sluice.operators import copy, ledger, register
 from sluice.plans.run import RunTarget, copy_tables
 from sluice.session import new_scratch
-from sluice.sources.tables import SourceTable, catalog_partitions, open_folder
+from sluice.sources.tables import SourceTable, catalog_partitions, open_catalog, open_folder
 
 
 @pytest.fixture
@@ -118,6 +118,25 @@ def test_existing_plain_copy_stays_without_overwrite(spark, target):
     assert spark.read.parquet(bare.table_path("lake.plain")).count() == 20
 
 
+@pytest.mark.parametrize("byte_copy", [True, False])
+@pytest.mark.parametrize("registered", [True, False])
+def test_padded_folders_of_a_number_column(spark, target, byte_copy, registered):
+    frame = spark.createDataFrame([("a", "02"), ("b", "10")], "name string, month string")
+    path = new_scratch(spark, "padded")
+    copy.write_partitioned(frame, path, ["month"])
+    schema = spark.createDataFrame([], "name string, month int").schema
+    source = open_folder(spark, "lake.padded", path, schema, ("month",))
+    if registered:
+        register.register_copy(spark, f"{target.database}.source", schema, ("month",), path)
+        source = open_catalog(spark, f"{target.database}.source")
+    result = copy_tables(
+        spark, {"lake.padded": source}, [TableSpec("lake.padded")], target, CopyPolicy(byte_copy=byte_copy)
+    )
+    assert result.errors == {}
+    rows = spark.table(f"{target.database}.padded").collect()
+    assert sorted(map(tuple, rows)) == [("a", 2), ("b", 10)]
+
+
 def test_sample_sizes_count_selected_partitions_only(spark, target):
     """A size target over the whole selection is a full copy, over a part of it a sample."""
     source = lay_out(spark, [(f"n{i}", i % 4 + 1, 1) for i in range(4000)], name="lake.big")
