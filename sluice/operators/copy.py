@@ -130,7 +130,9 @@ def incremental_copy(
     """Copy the partitions that the target lacks; returns them (pinned).
 
     Existing partitions are not touched. New ones are written with dynamic partition
-    overwrite, so a rerun after a broken run replaces half-written folders.
+    overwrite, which moves each one into place whole. Object stores cannot move folders
+    and their committers refuse that mode; there the new partitions are appended, and
+    appear when the store's committer commits the job.
     """
     columns = list(table.partition_columns)
     target = SourceTable(table.name, table.frame, table.partition_columns, location=path)
@@ -142,14 +144,15 @@ def incremental_copy(
     if missing.isEmpty():
         return missing
     rows = sample.bernoulli_sample(select.rows_of(table.frame, missing, columns), p, keys, method)
+    moves = folders.renames_in_place(spark, path)
     write_partitioned(
         rows,
         path,
         columns,
-        mode="overwrite",
+        mode="overwrite" if moves else "append",
         cluster=table.location is None or p < 1,
         storage=table.storage,
-        options={"partitionOverwriteMode": "dynamic"},
+        options={"partitionOverwriteMode": "dynamic"} if moves else None,
     )
     return missing
 

@@ -472,28 +472,20 @@ def q_copy_with_hooks(spark, folder):
     """A hook masks a column before the write; another copies side files after it."""
     source = table(spark, folder, "customer")
     plain = _laid_out(spark, source)
-    source.frame.groupBy("c_mktsegment").count().select(
-        F.concat_ws("=", "c_mktsegment", "count").alias("line")
-    ).coalesce(1).write.mode("append").text(f"{plain.location}/notes.meta")
-    masked = []
+    segments = source.frame.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    notes = segments.select(F.concat_ws("=", "c_mktsegment", "n").alias("line")).coalesce(1)
+    copy.write_partitioned(notes, f"{plain.location}/notes.meta", [], storage=TEXT)
 
     def mask(rows: DataFrame) -> DataFrame:
-        masked.append(True)
         return rows.withColumn("c_name", F.regexp_replace("c_name", "[0-9]", "#"))
 
+    rows_only = formats.StorageFormat("parquet", {"pathGlobFilter": "*.parquet"})
+    data = open_folder(spark, "customer", plain.location, source.frame.schema, storage=rows_only)
     path = new_scratch(spark, "hooked")
-    inner = open_folder(spark, "customer", plain.location, source.frame.schema)
-    data = SourceTable(
-        "customer",
-        spark.read.schema(source.frame.schema).option("pathGlobFilter", "*.parquet").parquet(plain.location),
-        location=plain.location,
-    )
     done = copy.sample_copy(spark, data, path, 0.5, ("c_custkey",), before_sample=[mask])
-    context = hooks.CopyContext(spark, inner, done, "sample")
-    hooks.copy_side_files("*.txt")(context)
-    notes = spark.read.text(f"{path}/notes.meta").agg(F.count("*").alias("side_lines"))
-    kept = spark.read.schema(source.frame.schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    return _with_scalar(kept.select("c_custkey", "c_name", "c_mktsegment"), notes)
+    hooks.copy_side_files("*.txt")(hooks.CopyContext(spark, data, done, "sample"))
+    copied = spark.read.text(f"{path}/notes.meta").agg(F.count("*").alias("side_lines"))
+    return _with_scalar(done.frame.select("c_custkey", "c_name", "c_mktsegment"), copied)
 
 
 def q_format_roundtrip(spark, folder):

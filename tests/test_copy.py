@@ -68,6 +68,16 @@ def test_incremental_copy_brings_only_what_is_new(spark, monthly):
     assert {r["path"] for r in files.list_files(spark, path).collect()} == after
 
 
+def test_incremental_copy_on_an_object_store(spark, monthly, monkeypatch):
+    path = new_scratch(spark, "t")
+    listed = folder_partitions(spark, monthly)
+    copy.full_copy(spark, monthly, path, pin(listed.where("month < 3")))
+    monkeypatch.setattr(storage, "renames_in_place", lambda spark, path: False)
+    assert len(names(copy.incremental_copy(spark, monthly, path, listed))) == 2
+    done = open_folder(spark, "t", path, monthly.frame.schema, ("month", "day"))
+    assert same(done.frame, monthly.frame)
+
+
 def test_incremental_copy_with_null_partition(spark):
     source = lay_out(spark, [("a", None, 1), ("b", 1, None), ("c", 1, 1)])
     path = new_scratch(spark, "t")
