@@ -237,7 +237,8 @@ def statements() -> dict[str, str]:
         count(*) FILTER (error IS NOT NULL) AS invalid, CAST(sum(bytes) AS BIGINT) AS bytes FROM {_summary()}"""
     line_bytes = f"strlen(concat_ws('|', {', '.join(LINE_KEYS)}, l_returnflag, l_linestatus)) + 1"
     sql["partition_bytes"] = (
-        f"SELECT {LINE_NAME} AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes FROM {LINES} GROUP BY ALL"
+        f"SELECT {LINE_NAME} AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes, true AS below_table "
+        f"FROM {LINES} GROUP BY ALL"
     )
     sql["source_summary_folders"] = f"""SELECT 'lineitem' AS name, CAST(sum({line_bytes}) AS BIGINT) AS bytes,
         count(DISTINCT {LINE_NAME}) AS files, count(DISTINCT {LINE_NAME}) AS partitions,

@@ -221,8 +221,14 @@ def _text_copy(spark, folder) -> SourceTable:
 
 
 def q_partition_bytes(spark, folder):
-    """Bytes per partition from the file listing; no file is opened."""
-    return folder_partitions(spark, _text_copy(spark, folder)).select("name", "bytes")
+    """Location and bytes per partition from the file listing; no file is opened."""
+    laid = _text_copy(spark, folder)
+    place = F.lit(laid.location.rpartition("/")[2])
+    return folder_partitions(spark, laid).select(
+        "name",
+        "bytes",
+        F.endswith("location", F.concat(place, F.lit("/"), F.col("name"))).alias("below_table"),
+    )
 
 
 def q_source_summary_folders(spark, folder):
