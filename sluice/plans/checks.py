@@ -289,7 +289,8 @@ def statements() -> dict[str, str]:
     sql["nested_text_roundtrip"] = "SELECT event_id, event_type, props ->> 'k' AS k FROM events"
 
     sql["schema_clone"] = " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS name, '{t}' AS type, count({c}) AS filled FROM lineitem"
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS name, '{t}' AS type, true AS nullable, "
+        f"count({c}) AS filled FROM lineitem"
         for i, (c, t) in enumerate(_LINE_TYPES)
     )
     sql["copy_log"] = f"""

@@ -24,6 +24,7 @@ from sluice.sources.layouts import EVENT_DAY, EVENT_HOUR, ORDER_MONTH, SHIP_MONT
 from sluice.sources.tables import (
     SourceTable,
     catalog_partitions,
+    column_definitions,
     export_summary,
     folder_partitions,
     list_partitions,
@@ -556,9 +557,14 @@ def q_schema_clone(spark, folder):
     clone = open_catalog(spark, f"{database}.clone").frame
     counted = clone.agg(*[F.count(c).alias(c) for c in clone.columns])
     items = [
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),
-                 F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("filled"))
-        for i, f in enumerate(clone.schema)
+        F.struct(
+            F.lit(position).alias("position"),
+            F.lit(name).alias("name"),
+            F.lit(kind).alias("type"),
+            F.lit(nullable).alias("nullable"),
+            F.col(name).alias("filled"),
+        )
+        for position, name, kind, nullable in column_definitions(clone.schema)
     ]
     return counted.select(F.inline(F.array(*items)))
 
