@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import free_name
-
 #: Bytes worked on at a time, and what a worker remembers at most.
 SLICE_BYTES = 1 << 21
 MEMO_ENTRIES = 1_500_000
@@ -350,7 +348,6 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: bool =
     if ids:
         new += [("ids", pa.list_(pa.int64())), ("decoded", pa.string())]
     kept = [c for c in docs.columns if c != text and c.lower() not in {n for n, _ in new}]
-    carried = free_name(docs, "text_in")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     schema = ", ".join(x for x in (schema, DIGESTS + (", ids array<long>, decoded string" if ids else "")) if x)
 
@@ -372,4 +369,5 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: bool =
             arrays += [pa.array(columns[n], kind) for n, kind in new]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(n for n, _ in new)])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(carried)).mapInArrow(run, schema)
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*kept, text])]
+    return docs.select(*carried).mapInArrow(run, schema)

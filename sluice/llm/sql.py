@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+WORD_WINDOWS = r"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+grams AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS width,
+        unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+            lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS gram
+    FROM item_words WHERE len(w) > 0),
+widths AS (SELECT DISTINCT width FROM grams),
+spans AS (
+    SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS i, w
+    FROM doc_words, widths WHERE len(w) >= width),
+hits AS (
+    SELECT doc_id, s.width, i, item_id
+    FROM spans s JOIN grams g ON s.width = g.width AND array_to_string(w[i:i + s.width - 1], ' ') = gram),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT spot) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + width)) AS spot FROM hits) GROUP BY doc_id),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL)
+    GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": WORD_WINDOWS}

@@ -55,10 +55,11 @@ LOCATED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 class ShardWriter:
     """Writes one shard; ``add`` takes documents in order, ``close`` ends the file."""
 
-    def __init__(self, stream, dtype):
+    def __init__(self, stream, dtype, frame_ids: int = FRAME_IDS):
         import zstandard
 
         self.stream, self.dtype = stream, np.dtype(dtype).newbyteorder("<")
+        self.frame_ids = frame_ids
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
         self.waiting: list[np.ndarray] = []
         self.held = self.total = self.size = 0
@@ -73,11 +74,11 @@ class ShardWriter:
         self.lengths.append(len(ids))
         self.total += len(ids)
         while len(ids):
-            some = ids[: FRAME_IDS - self.held]
+            some = ids[: self.frame_ids - self.held]
             self.waiting.append(some)
             self.held += len(some)
             ids = ids[len(some) :]
-            if self.held == FRAME_IDS:
+            if self.held == self.frame_ids:
                 self._frame()
 
     def _frame(self) -> None:
@@ -156,7 +157,7 @@ class ShardReader:
             k += 1
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode ``doc_id, text`` and write shards below ``folder``; returns the manifest.
 
     Documents are dealt into ranges of their ids and sorted there, so shard numbers, and
@@ -178,7 +179,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                     if writer is None:
                         fs.create_dir(path.rpartition("/")[0], recursive=True)
                         stream = fs.open_output_stream(path + ".part")
-                        writer = ShardWriter(stream, own.dtype)
+                        writer = ShardWriter(stream, own.dtype, frame_ids)
                     ids = found[low:high]
                     writer.add(doc, ids if end_id is None else np.append(ids, np.array(end_id, own.dtype)))
             if writer is None:
@@ -287,7 +288,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     return chosen.repartition("path").sortWithinPartitions("path", "place").mapInArrow(fetch, "doc_id long, ids array<long>")
 
 
-def store_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def store_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
     """Write the shards to ``folder`` (fresh below the shared folder if none), then read them back."""
     folder = storage.qualify(spark, folder or new_scratch(spark, "tokens"))
-    return read_shards(spark, write_shards(docs, tokenizer, folder))
+    return read_shards(spark, write_shards(docs, tokenizer, folder, **options))
