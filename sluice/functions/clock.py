@@ -61,12 +61,13 @@ def is_expired(running: Column, expires: Column, now: datetime | Column) -> Colu
     return running & F.coalesce(parse_readable(expires) < _moment(now), F.lit(True))
 
 
-def extended_expiry(expires: Column, now: datetime | Column) -> Column:
+def extended_expiry(expires: Column, now: datetime | Column, reset: bool = False) -> Column:
     """Expiry (or now, if there is none) plus the extension; null when past the limit.
 
-    An unreadable expiry cannot be extended and gives null too.
+    An unreadable expiry cannot be extended and gives null too. ``reset`` starts again
+    from now, whatever the expiry says.
     """
-    current = F.when(expires.isNull(), _moment(now)).otherwise(parse_readable(expires))
+    current = F.when(expires.isNull() | F.lit(reset), _moment(now)).otherwise(parse_readable(expires))
     extended = current + F.expr(f"INTERVAL {EXTENSION_DAYS} DAYS")
     limit = _moment(now) + F.expr(f"INTERVAL {LONGEST_EXTENSION_DAYS} DAYS")
     return F.when(extended <= limit, extended)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 
 def quoted_name(name: str) -> str:
-    """``db.table`` with each part in backquotes."""
-    return ".".join(f"`{part}`" for part in name.split("."))
+    """``db.table`` with each part in backquotes; parts that have them already stay."""
+    parts = re.findall(r"`[^`]*`|[^.`]+", name)
+    return ".".join(part if part.startswith("`") else f"`{part}`" for part in parts)
 
 
 def literal(value) -> str:

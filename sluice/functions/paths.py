@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -19,6 +20,10 @@ ESCAPED_CHARACTERS = "\"#%'*/:=?\\{[]^"
 BARE_TYPES = ("tinyint", "smallint", "int", "integer", "bigint", "float", "double", "boolean")
 
 
+# The spelling of URIs, location texts and request texts below is fixed by the data they
+# must be able to read.
+
+
 def strip_authority(path: Column) -> Column:
     """Drop ``hdfs://authority``."""
     return F.regexp_replace(path, "^(hdfs://)[^/]*", "")
@@ -113,31 +118,36 @@ def partition_map(name: Column) -> Column:
 
 def partition_value(name: Column, column: str) -> Column:
     """One partition column's value out of a path or partition name; null when absent."""
-    raw = F.regexp_extract(name, f"(?:^|/){column}=([^/]*)", 1)
+    raw = F.regexp_extract(name, f"(?:^|/){re.escape(column)}=([^/]*)", 1)
     return F.when(raw != "", unescape_value(raw))
 
 
-def spec_text(pairs: Column, types: Mapping[str, str], separator: str = ", ") -> Column:
+def spec_text(
+    pairs: Column, types: Mapping[str, str], separator: str = ", ", quoted: bool = False
+) -> Column:
     """Pairs as a statement's partition spec; numbers and null stand bare, the rest in quotes.
 
-    A column that the table does not have raises an error.
+    ``quoted`` puts the names in backquotes. A column that the table does not have raises an
+    error.
     """
+    tick = F.lit("`" if quoted else "")
     type_of = F.create_map(*[F.lit(x) for name, t in types.items() for x in (name.lower(), t.lower())])
 
     def render(pair: Column) -> Column:
         kind = F.try_element_at(type_of, F.lower(pair["column"]))
         escaped = F.regexp_replace(pair["value"], r"(['\\])", r"\\$1")
+        name = F.concat(tick, pair["column"], tick)
         return (
             F.when(
                 kind.isNull(),
                 F.raise_error(F.concat(F.lit("invalid column: "), pair["column"])).cast("string"),
             )
-            .when(pair["value"].isNull(), F.concat(pair["column"], F.lit("=null")))
+            .when(pair["value"].isNull(), F.concat(name, F.lit("=null")))
             .when(
                 kind.isin(*BARE_TYPES) | F.startswith(kind, F.lit("decimal")),
-                F.concat(pair["column"], F.lit("="), pair["value"]),
+                F.concat(name, F.lit("="), pair["value"]),
             )
-            .otherwise(F.concat(pair["column"], F.lit("='"), escaped, F.lit("'")))
+            .otherwise(F.concat(name, F.lit("='"), escaped, F.lit("'")))
         )
 
     return F.array_join(F.transform(pairs, render), separator)
@@ -155,8 +165,8 @@ def csv_items(text: Column) -> Column:
 
 def request_table(text: Column) -> Column:
     """``db.table`` of a request text ``db.table (a='1', b=2) (a='3')``; null if it has none."""
-    name = F.regexp_extract(text, r"^(\S*\.\S*)\s*(.*)$", 1)
-    return F.when(name != "", name)
+    name = F.rtrim(F.substring_index(text, "(", 1))
+    return F.when(F.contains(name, F.lit(".")) & ~F.contains(name, F.lit(" ")), name)
 
 
 def request_specs(text: Column) -> Column:

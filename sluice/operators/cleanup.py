@@ -12,7 +12,7 @@ from sluice.functions.ddl import partition_clause, quoted_name
 from sluice.model import CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import select
 from sluice.session import pin
-from sluice.sources.tables import located_partitions, open_catalog
+from sluice.sources.tables import catalog_partitions, located_partitions, open_catalog
 
 _BATCH = 200
 
@@ -45,7 +45,8 @@ def cleanup(
 
     Selection runs against the copy's own partitions, so a cap of N drops its last N.
     A plain table is dropped whole; a partitioned one without any selected partition
-    only with ``allow_drop_table``. Returns what happened per table.
+    only with ``allow_drop_table``. Partitions go where the catalog says they lie. Returns
+    what happened per table; a failure is told there and does not stop the others.
     """
     outcome: dict[str, str] = {}
     for spec in specs:
@@ -59,13 +60,14 @@ def cleanup(
             if columns:
                 chosen = pin(
                     select.resolve(
-                        located_partitions(spark, table),
+                        catalog_partitions(spark, spec.name),
                         spec.partitions,
                         policy.partition_count(spec),
                         spec.top_level_count or -1,
                     ),
                     "cleanup",
                 )
+                chosen = located_partitions(spark, table, chosen)
                 dropped = drop_partitions(spark, spec.name, chosen, columns)
                 outcome[spec.name] = f"dropped {dropped} partitions"
             if dropped == 0 and (not columns or allow_drop_table):
@@ -75,4 +77,6 @@ def cleanup(
                 outcome[spec.name] = "dropped table"
         except UnresolvedRequest as error:
             outcome[spec.name] = f"invalid: {error}"
+        except Exception as error:  # one table's failure does not keep the others
+            outcome[spec.name] = f"failed: {type(error).__name__}: {error}"
     return outcome

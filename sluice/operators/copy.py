@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from sluice import storage as folders
 from sluice.functions import paths
 from sluice.operators import sample, select
-from sluice.session import new_scratch, pin
+from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files
 from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.tables import SourceTable, folder_partitions, open_folder
@@ -27,14 +27,14 @@ _SPLITS = 16
 
 def _clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        return df.hint("rebalance", *columns)
+        return df.hint("rebalance", *[F.col(f"`{c}`") for c in columns])
     data = [
         f.name
         for f in df.schema
         if f.name not in columns and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
     ]
     salt = F.pmod(F.xxhash64(*data), F.lit(_SPLITS)) if data else F.lit(0)
-    return df.repartition(*columns, salt)
+    return df.repartition(*[F.col(f"`{c}`") for c in columns], salt)
 
 
 def write_partitioned(
@@ -75,7 +75,7 @@ def full_copy(
     """All rows of the chosen partitions (pinned), or of the whole table."""
     rows = table.frame
     if chosen is not None and table.partition_columns:
-        rows = select.rows_of(rows, chosen, table.partition_columns)
+        rows = select.rows_of(rows, chosen, table.partition_columns, table.layout)
     storage = storage or table.storage
     write_partitioned(rows, path, table.partition_columns, cluster=table.location is None, storage=storage)
     return _result(spark, table, path, storage)
@@ -101,7 +101,7 @@ def sample_copy(
     storage = storage or table.storage
     rows = table.frame
     if chosen is not None and table.partition_columns:
-        rows = select.rows_of(rows, chosen, table.partition_columns)
+        rows = select.rows_of(rows, chosen, table.partition_columns, table.layout)
     rows = sample.bernoulli_sample(rows, p, keys, method, seed)
     for hook in before_sample:
         rows = hook(rows)
@@ -118,6 +118,24 @@ def new_partitions(
     return source_partitions.join(present, on, "left_anti")
 
 
+# Names of the partitions that a copy has taken in, also those without a sampled row. Scans
+# skip names that start with an underscore.
+RECORD = "_partitions"
+
+
+def record_partitions(spark: SparkSession, path: str, partitions: DataFrame) -> None:
+    """Note partitions (``name``) as taken into the copy at ``path``."""
+    partitions.select("name").write.parquet(f"{path}/{RECORD}/entry-{uuid.uuid4().hex}")
+
+
+def recorded_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the partitions that the copy at ``path`` has taken in."""
+    if not folders.exists(spark, f"{path}/{RECORD}"):
+        return spark.createDataFrame([], "name string")
+    entries = [f"{path}/{RECORD}/{name}" for name in folders.child_names(spark, f"{path}/{RECORD}")]
+    return spark.read.schema("name string").parquet(*entries).distinct()
+
+
 def incremental_copy(
     spark: SparkSession,
     table: SourceTable,
@@ -126,24 +144,30 @@ def incremental_copy(
     p: float = 1.0,
     keys: Sequence[str] = (),
     method: str = "md5",
+    before_sample: Sequence[Callable[[DataFrame], DataFrame]] = (),
 ) -> DataFrame:
-    """Copy the partitions that the target lacks; returns them (pinned).
+    """Copy the partitions (with ``name``) that the target has not taken in yet; returns them (pinned).
 
-    Existing partitions are not touched. New ones are written with dynamic partition
+    A partition counts as taken in when it is recorded, so one whose sample is empty is not
+    scanned again, or when its folder is there. Existing partitions are not touched. New ones are written with dynamic partition
     overwrite, which moves each one into place whole. Object stores cannot move folders
     and their committers refuse that mode; there the new partitions are appended, and
     appear when the store's committer commits the job.
     """
     columns = list(table.partition_columns)
     target = SourceTable(table.name, table.frame, table.partition_columns, location=path)
+    missing = source_partitions
     if folders.exists(spark, path):
-        missing = new_partitions(source_partitions, folder_partitions(spark, target), columns)
-    else:
-        missing = source_partitions
-    missing = pin(missing, "missing")
+        missing = missing.join(recorded_partitions(spark, path), "name", "left_anti")
+        missing = new_partitions(missing, folder_partitions(spark, target), columns)
+    missing = pin(missing.select(*source_partitions.columns), "missing")
     if missing.isEmpty():
         return missing
-    rows = sample.bernoulli_sample(select.rows_of(table.frame, missing, columns), p, keys, method)
+    rows = select.rows_of(table.frame, missing, columns, table.layout)
+    rows = sample.bernoulli_sample(rows, p, keys, method)
+    for hook in before_sample:
+        rows = hook(rows)
+    rows = rows.select(*table.frame.columns)
     moves = folders.renames_in_place(spark, path)
     write_partitioned(
         rows,
@@ -154,6 +178,7 @@ def incremental_copy(
         storage=table.storage,
         options={"partitionOverwriteMode": "dynamic"} if moves else None,
     )
+    record_partitions(spark, path, missing)
     return missing
 
 
@@ -173,15 +198,26 @@ def drop_staging(spark: SparkSession, path: str) -> None:
 def staged_publish(
     spark: SparkSession, write: Callable[[str], object], target: str, overwrite: bool = False
 ) -> None:
-    """Write to a staging folder, then move it to the target; readers never see half a copy."""
-    staging = staging_path(target)
+    """Write to a staging folder, then move it to the target; readers never see half a copy.
+
+    An old copy is moved aside and deleted only when the new one is in place; if that
+    fails, it is put back.
+    """
+    staging, aside = staging_path(target), staging_path(target)
     try:
         write(staging)
-        if folders.exists(spark, target):
-            if not overwrite:
-                raise FileExistsError(target)
-            folders.remove(spark, target)
-        folders.rename(spark, staging, target)
+        if not folders.exists(spark, target):
+            folders.rename(spark, staging, target)
+            return
+        if not overwrite:
+            raise FileExistsError(target)
+        folders.rename(spark, target, aside)
+        try:
+            folders.rename(spark, staging, target)
+        except BaseException:
+            folders.rename(spark, aside, target)
+            raise
+        drop_staging(spark, aside)
     finally:
         drop_staging(spark, staging)
 
@@ -301,13 +337,12 @@ def full_copy_bytes(
     if chosen is None or not table.partition_columns:
         report = copy_files(spark, table.location, path)
     else:
-        starts = chosen.select(F.col("location").alias("path"), F.col("name").alias("relative"))
-        present = files.list_files(spark, table.location).select(paths.parent(F.col("path")).alias("path"))
-        starts = starts.join(present.distinct(), "path", "left_semi")
+        # A registered partition without a folder is an empty one.
+        starts = [(r["location"], r["name"]) for r in chosen.select("location", "name").toLocalIterator()]
+        there = set(folders.existing(spark, [path for path, _ in starts]))
+        starts = local_rows(spark, [s for s in starts if s[0] in there], "path string, relative string")
         report = copy_listed(spark, files.walk_folders(starts), path)
-    bad = incomplete(report).count()
-    if bad:
-        raise OSError(f"{bad} files of {table.name} are incomplete")
+    whole(report, table.name)
     folders.make_dir(spark, path)
     return _result(spark, table, path, table.storage)
 
@@ -316,8 +351,8 @@ def copy_through(spark: SparkSession, source_base: str, via: str, target_base: s
     """Two hops over a temporary place that both sides can reach; it is removed after."""
     staging = staging_path(f"{via.rstrip('/')}/hop")
     try:
-        copy_files(spark, source_base, staging)
-        return copy_files(spark, staging, target_base)
+        whole(copy_files(spark, source_base, staging), source_base)
+        return whole(copy_files(spark, staging, target_base), source_base)
     finally:
         drop_staging(spark, staging)
 
@@ -327,6 +362,14 @@ def incomplete(report: DataFrame) -> DataFrame:
     return report.where(F.col("copied") != F.col("expected"))
 
 
+def whole(report: DataFrame, name: str) -> DataFrame:
+    """The report of a copy, or an error if a file did not arrive whole."""
+    bad = incomplete(report).count()
+    if bad:
+        raise OSError(f"{bad} files of {name} are incomplete")
+    return report
+
+
 def common_location(listing: DataFrame, base: str) -> DataFrame:
     """Guard: every listed path must lie below the base, else an error."""
     return listing.where(

@@ -6,7 +6,7 @@ import getpass
 import itertools
 import time
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from sluice import storage as folders
 from sluice.functions import clock, paths
 from sluice.functions.ddl import literal, partition_clause, quoted_name
 from sluice.model import LOG_SCHEMA
+from sluice.session import local_rows
 from sluice.sources.formats import PARQUET, StorageFormat
 
 HIVE, FILES = "hive", "hdfs"
@@ -24,6 +25,7 @@ HIVE, FILES = "hive", "hdfs"
 DATABASE, USE, TABLE, PARTITION = range(4)
 
 _BATCH = 200
+_LOG_FILES = 8
 
 
 def _columns_ddl(schema: T.StructType) -> str:
@@ -46,13 +48,18 @@ def create_table_statement(
     columns: Sequence[str],
     location: str,
     storage: StorageFormat = PARQUET,
+    comment: str | None = None,
+    properties: Mapping[str, str] | None = None,
 ) -> str:
     options = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in sorted(storage.options.items()))
     with_options = f" OPTIONS ({options})" if options else ""
+    note = f" COMMENT {literal(comment)}" if comment else ""
+    kept = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in sorted((properties or {}).items()))
+    with_properties = f" TBLPROPERTIES ({kept})" if kept else ""
     partitioned = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in columns)})" if columns else ""
     return (
         f"CREATE TABLE IF NOT EXISTS {quoted_name(name)} ({_columns_ddl(schema)})"
-        f" USING {storage.source}{with_options}{partitioned} LOCATION {literal(location)}"
+        f" USING {storage.source}{with_options}{partitioned} LOCATION {literal(location)}{note}{with_properties}"
     )
 
 
@@ -64,13 +71,15 @@ def register_copy(
     location: str,
     storage: StorageFormat = PARQUET,
     discover: bool = True,
+    comment: str | None = None,
+    properties: Mapping[str, str] | None = None,
 ) -> None:
     """Make a copy queryable. Safe to repeat; what exists is not overridden.
 
     With ``discover`` partitions are found by a distributed listing and added in batches.
     """
     folders.make_dir(spark, location)
-    spark.sql(create_table_statement(name, schema, columns, location, storage))
+    spark.sql(create_table_statement(name, schema, columns, location, storage, comment, properties))
     if columns and discover:
         spark.sql(f"MSCK REPAIR TABLE {quoted_name(name)}")
 
@@ -118,6 +127,8 @@ def table_statements(
     columns: Sequence[str],
     location: Column,
     storage: StorageFormat = PARQUET,
+    comment: str | None = None,
+    properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Replayable statements of a copied table: database, use, table, one per partition.
 
@@ -126,20 +137,20 @@ def table_statements(
     """
     spark = partitions.sparkSession
     types = {f.name: f.dataType.simpleString() for f in schema if f.name in columns}
-    one = spark.range(1)
     root = f"{paths.LOCATION_VARIABLE}/{database}/{table}"
-    head = (
-        _entries(one, DATABASE, F.lit(""), F.lit(f"create database if not exists {database};"))
-        .unionByName(_entries(one, USE, F.lit(""), F.lit(f"use {database};")))
-        .unionByName(
-            _entries(
-                one, TABLE, F.lit(""), F.lit(create_table_statement(table, schema, columns, root, storage) + ";")
-            )
-        )
+    created = create_table_statement(f"`{table}`", schema, columns, root, storage, comment, properties)
+    head = local_rows(
+        spark,
+        [
+            (DATABASE, "", f"create database if not exists `{database}`;"),
+            (USE, "", f"use `{database}`;"),
+            (TABLE, "", f"{created};"),
+        ],
+        "ordinal int, item string, statement string",
     )
     statement = F.concat(
-        F.lit(f"alter table {table} add if not exists partition ("),
-        paths.spec_text(paths.partition_pairs(F.col("name")), types),
+        F.lit(f"alter table `{table}` add if not exists partition ("),
+        paths.spec_text(paths.partition_pairs(F.col("name")), types, quoted=True),
         F.lit(") location '"),
         paths.to_location_variable(location),
         F.lit("';"),
@@ -164,11 +175,12 @@ def append_log(
     """Append one block to the log, stamped with UTC time, writer and data type.
 
     A block is a folder of its own, so tables that finish at the same time do not meet.
+    Its few small parts are merged before the write.
     """
     block = f"{time.time_ns() // 1_000_000:015d}-{uuid.uuid4().hex}"
     stamp = clock.sortable_text(clock.utc_now() if written_at is None else written_at)
     (
-        statements.select(
+        statements.coalesce(_LOG_FILES).select(
             stamp.alias("written_at"),
             F.lit(block).alias("block"),
             F.lit(writer or getpass.getuser()).alias("writer"),

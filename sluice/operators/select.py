@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from sluice.functions import paths
 from sluice.model import PartitionSpec, UnresolvedRequest
 from sluice.session import local_rows, pin
+from sluice.sources.layouts import Layout
 from sluice.sources.tables import SourceTable
 
 # Up to this many specs are one OR-of-AND predicate; more become a join, because a very
@@ -57,7 +58,8 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 def spec_predicate(spec: PartitionSpec, types: Mapping[str, T.DataType]) -> Column:
     """AND of typed equalities. A spec may bind some of the partition columns only.
 
-    The value None stands for the null partition.
+    Values are taken as text, whatever they come as, so that short and long lists of specs
+    agree. The value None stands for the null partition.
     """
     terms = []
     for name, value in spec.items():
@@ -67,7 +69,7 @@ def spec_predicate(spec: PartitionSpec, types: Mapping[str, T.DataType]) -> Colu
         if value is None:
             terms.append(F.col(name).isNull())
             continue
-        literal = F.lit(value) if isinstance(kind, T.StringType) else F.lit(str(value)).cast(kind)
+        literal = F.lit(_text(value)).cast(kind)
         terms.append(F.col(name) == literal)
     return functools.reduce(lambda a, b: a & b, terms, F.lit(True))
 
@@ -229,13 +231,16 @@ def resolve(
 # --- rows of selected partitions --------------------------------------------------------
 
 
-def rows_of(df: DataFrame, chosen: DataFrame, columns: Sequence[str]) -> DataFrame:
+def rows_of(
+    df: DataFrame, chosen: DataFrame, columns: Sequence[str], layout: Layout | None = None
+) -> DataFrame:
     """Rows of ``df`` in the partitions of a pinned frame ``chosen``.
 
     ``chosen`` must come from :func:`sluice.session.pin`: its file size tells Catalyst
     whether it may be broadcast, and AQE splits a hot partition otherwise. The value
     range of the first column is a static partition filter and makes the other columns
-    prune dynamically. Null partition values match each other.
+    prune dynamically. With the layout that the columns derive from, that range is one on
+    the time column, which reaches the scan. Null partition values match each other.
     """
     first = columns[0]
     some_null = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
@@ -251,7 +256,9 @@ def rows_of(df: DataFrame, chosen: DataFrame, columns: Sequence[str]) -> DataFra
     if found["nulls"]:
         return _join_specs(df, keys, columns, "left_semi")
     inside = F.col(first).between(found["low"], found["high"])
-    return df.where(inside).join(keys.where(inside), list(columns), "left_semi")
+    times = None if layout is None else layout.time_bounds([{first: found["low"]}, {first: found["high"]}])
+    rows = df.where(inside) if times is None else df.where(times)
+    return rows.join(keys.where(inside), list(columns), "left_semi")
 
 
 def rows_of_specs(table: SourceTable, specs: Sequence[PartitionSpec]) -> DataFrame:
@@ -264,6 +271,9 @@ def rows_of_specs(table: SourceTable, specs: Sequence[PartitionSpec]) -> DataFra
         ranges = table.layout.time_filter(specs)
         if ranges is not None:
             return table.frame.where(ranges)
+        bounds = table.layout.time_bounds(specs)
+        if bounds is not None:
+            return matching(table.frame.where(bounds), specs)
     return matching(table.frame, specs)
 
 

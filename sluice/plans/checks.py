@@ -184,7 +184,7 @@ _EXPIRING = f"""(SELECT o_orderkey AS copy_id, o_orderstatus <> 'F' AS running,
 
 _PARSED_EXPIRY = "try_strptime(expires, '%d/%b/%Y %H:%M:%S')"
 
-_FORMATS = ("parquet", "orc", "json", "textfile", "delimited", "lines")
+_FORMATS = ("parquet", "orc", "json", "textfile", "delimited")
 
 _LINE_TYPES = [
     ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
@@ -252,6 +252,8 @@ def statements() -> dict[str, str]:
     )
     sql["bernoulli_sample_band"] = f"""SELECT ship_year, count(*) AS row_count, true AS md5_in_band,
         true AS xxhash64_in_band, true AS rand_in_band FROM {LINES} GROUP BY ALL"""
+    sql["bernoulli_sample_rand"] = f"""SELECT ship_year, count(*) AS row_count, CAST(0 AS BIGINT) AS too_many,
+        true AS in_band FROM {LINES} GROUP BY ALL"""
     share = f"100000 / (SELECT CAST({_bytes('lineitem')} AS DOUBLE) FROM {LINES} WHERE ship_year = '1997')"
     sql["size_target_sample"] = f"""SELECT {LINE_OUT} FROM {LINES} WHERE ship_year = '1997'
         AND (({share}) >= 1 OR {_sampled(f'least({share}, 0.5)', *LINE_KEYS)})"""
@@ -277,6 +279,21 @@ def statements() -> dict[str, str]:
     sql["incremental_copy"] = f"""SELECT event_id, day, hour, {_arrival()} AS arrived
         FROM {EVENTS} WHERE {_sampled('0.03', 'event_id')}"""
     sql["stream_incremental_copy"] = f"SELECT event_id, day FROM {EVENTS} WHERE {event_sample}"
+    sql["stream_late_files"] = f"SELECT event_id, day FROM {EVENTS}"
+    sql["rerun_sample_then_full"] = f"SELECT day, hour, row_count, 'full' AS mode FROM {EVENT_PARTS}"
+    sql["rerun_with_hook"] = f"""SELECT event_id, '#' AS event_type, day, hour FROM {EVENTS}
+        WHERE {_sampled('0.5', 'event_id')}"""
+    sql["rerun_adds_nothing"] = f"""SELECT day, hour, count(*) AS row_count,
+        (SELECT count(*) FROM {EVENT_PARTS}) AS taken_in, CAST(0 AS BIGINT) AS added
+        FROM {EVENTS} WHERE {_sampled('0.03', 'event_id')} GROUP BY ALL"""
+    sql["moved_partition"] = (
+        f"SELECT order_month, row_count, true AS has_bytes, true AS folder_gone FROM {ORDER_PARTS}"
+    )
+    sql["copy_run_two_databases"] = """
+        SELECT 'orders' AS name, count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders
+        UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer"""
+    sql["copy_local_attach"] = f"""SELECT name, row_count, true AS is_local FROM {LINE_PARTS}
+        UNION ALL SELECT name, row_count, true FROM {ORDER_PARTS}"""
     sql["staged_publish"] = f"""SELECT 'day=' || day AS name, count(*) AS row_count,
         CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {event_sample} GROUP BY ALL"""
     sql["copy_with_hooks"] = f"""SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS c_name,
@@ -285,7 +302,7 @@ def statements() -> dict[str, str]:
     sql["format_roundtrip"] = " UNION ALL ".join(
         f"SELECT *, '{kind}' AS stored_as FROM part" for kind in _FORMATS
     )
-    sql["text_lines_roundtrip"] = "SELECT doc_id, md5(text) AS digest, source FROM documents"
+    sql["text_lines_roundtrip"] = "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents"
     sql["nested_text_roundtrip"] = "SELECT event_id, event_type, props ->> 'k' AS k FROM events"
 
     sql["schema_clone"] = " UNION ALL ".join(
@@ -295,12 +312,12 @@ def statements() -> dict[str, str]:
     )
     sql["copy_log"] = f"""
         SELECT 'tester' AS writer, {_log_time('events')} AS written, 'hive' AS data_type, name AS item,
-          'alter table events add if not exists partition (day=''' || day || ''', hour=''' || hour || ''') ' AS line
+          'alter table `events` add if not exists partition (`day`=''' || day || ''', `hour`=''' || hour || ''') ' AS line
         FROM {EVENT_PARTS}
         UNION ALL SELECT 'tester', {_log_time('events')}, 'hive', '',
           'CREATE TABLE IF NOT EXISTS `events` ({_EVENT_TYPES}) USING parquet PARTITIONED BY (`day`, `hour`) '
         UNION ALL SELECT 'tester', {_log_time('orders')}, 'hive', name,
-          'alter table orders add if not exists partition (order_month=''' || order_month || ''') '
+          'alter table `orders` add if not exists partition (`order_month`=''' || order_month || ''') '
         FROM {ORDER_PARTS}
         UNION ALL SELECT 'tester', {_log_time('orders')}, 'hive', '',
           'CREATE TABLE IF NOT EXISTS `orders` ({_ORDER_TYPES}) USING parquet PARTITIONED BY (`order_month`) '
@@ -327,9 +344,9 @@ def statements() -> dict[str, str]:
         FROM {_LEDGER})"""
     sql["resume_ledger"] = f"""
         WITH wanted AS (
-          SELECT name AS item FROM {EVENT_PARTS} WHERE hour >= '06'
+          SELECT name AS item FROM {EVENT_PARTS} WHERE substring(md5(reverse(name)), 1, 1) < 'c'
           UNION SELECT name FROM {ORDER_PARTS}),
-        known AS (SELECT name AS item, state FROM {_LEDGER} WHERE day < '2024-01-26')
+        known AS (SELECT name AS item, state FROM {_LEDGER})
         SELECT item, coalesce(state, 'new') AS before,
                CASE WHEN state IN ('finished', 'invalid') THEN state ELSE 'todo' END AS state,
                coalesce(state NOT IN ('finished', 'invalid'), true) AS attempt
@@ -361,16 +378,19 @@ def statements() -> dict[str, str]:
         FROM {LINES} WHERE ship_year LIKE '199%'"""
 
     sql["parent_child_rollup"] = """
-        WITH known AS (SELECT o_orderkey AS parent, true AS known FROM orders WHERE o_orderstatus = 'F'),
-        reduced AS (SELECT l_orderkey AS parent, count(*) AS n, count(DISTINCT l_partkey) AS members,
-                    min(l_partkey) AS first_child, max(l_partkey) AS last_child FROM lineitem GROUP BY 1)
-        SELECT parent, CASE WHEN known IS NULL THEN 'orphan' WHEN n IS NULL THEN 'childless'
+        WITH known AS (SELECT 'orders' AS of, c_custkey AS parent, true AS known FROM customer
+                       UNION ALL SELECT 'documents', doc_id, true FROM labels),
+        reduced AS (SELECT 'orders' AS of, o_custkey AS parent, count(*) AS n, count(DISTINCT o_orderkey) AS members,
+                    min(o_orderkey) AS first_child, max(o_orderkey) AS last_child FROM orders GROUP BY ALL
+                    UNION ALL SELECT 'documents', doc_id, count(*), count(DISTINCT n_chars), min(n_chars), max(n_chars)
+                    FROM documents GROUP BY ALL)
+        SELECT of, parent, CASE WHEN known IS NULL THEN 'orphan' WHEN n IS NULL THEN 'childless'
                ELSE 'matched' END AS kind,
                coalesce(n, 0) AS children, coalesce(members, 0) AS members, first_child, last_child
-        FROM known FULL JOIN reduced USING (parent)"""
+        FROM known FULL JOIN reduced USING (of, parent)"""
     sql["parent_child_members"] = """
         SELECT DISTINCT l_orderkey AS parent, l_partkey AS child FROM lineitem
-        WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
+        WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
     sql["orphans"] = """SELECT conv_id, turn, role FROM conversations
         WHERE conv_id NOT IN (SELECT doc_id FROM labels)"""
     sql["expired_copies"] = f"""SELECT copy_id, running, expires FROM {_EXPIRING}
@@ -380,7 +400,8 @@ def statements() -> dict[str, str]:
     allowed = f"{extended} <= TIMESTAMP '{NOW}' + INTERVAL 6 DAY"
     sql["extend_expiry"] = f"""SELECT copy_id,
         CASE WHEN {allowed} THEN {_readable(extended)} END AS extended,
-        NOT coalesce({allowed}, false) AS refused
+        NOT coalesce({allowed}, false) AS refused,
+        {_readable(f"(TIMESTAMP '{NOW}' + INTERVAL 3 DAY)")} AS reset
         FROM {_EXPIRING} WHERE running"""
     sql["tag_lookup"] = """SELECT event_id, CAST(user_id AS VARCHAR) AS owner FROM events
         WHERE json_extract_string(props, '$.k') = '69'"""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice import storage
 from sluice.functions import clock, paths, tags
 from sluice.model import LEDGER_SCHEMA, SUMMARY_SCHEMA, CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import cleanup as cleaning
@@ -28,6 +29,7 @@ from sluice.sources.tables import (
     export_summary,
     folder_partitions,
     list_partitions,
+    located_partitions,
     open_catalog,
     open_flat,
     open_folder,
@@ -270,8 +272,30 @@ def q_bernoulli_sample(spark, folder):
 
 
 def q_bernoulli_sample_rand(spark, folder):
+    """A ``rand`` sample holds rows of the table only, none more often than the table, and
+    its share of every ship year."""
     lines = table(spark, folder, "lineitem").frame
-    return sample.bernoulli_sample(lines, 0.1, method="rand", seed=7).select(*LINE_KEYS, "l_quantity")
+    kept = pin(sample.bernoulli_sample(lines, 0.1, method="rand", seed=7), "rand")
+    every = [c for c in lines.columns]
+    there = lines.groupBy(*every).agg(F.count("*").alias("n"))
+    drawn = kept.groupBy(*every).agg(F.count("*").alias("k"))
+    on = [there[c].eqNullSafe(drawn[c]) for c in every]
+    both = there.join(drawn, on, "full_outer").select(
+        F.coalesce(there["ship_year"], drawn["ship_year"]).alias("ship_year"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("k", F.lit(0)).alias("k"),
+    )
+    years = both.groupBy("ship_year").agg(
+        F.sum("n").alias("row_count"),
+        F.sum("k").alias("kept"),
+        F.count_if(F.col("k") > F.col("n")).alias("too_many"),
+    )
+    return years.select(
+        "ship_year",
+        "row_count",
+        "too_many",
+        sample.in_sigma_band(F.col("row_count"), F.col("kept"), 0.1).alias("in_band"),
+    )
 
 
 def q_bernoulli_sample_band(spark, folder):
@@ -461,6 +485,152 @@ def q_stream_incremental_copy(spark, folder):
     return open_folder(spark, "events", target, schema, tuple(columns)).frame.select("event_id", "day")
 
 
+def q_stream_late_files(spark, folder):
+    """The second batch's files are a year older than the first one's, as copies that keep
+    file times are; nothing is lost."""
+    source = open_flat(spark, folder, "events", EVENT_DAY)
+    columns = list(source.partition_columns)
+    landing, target, state = (new_scratch(spark, x) for x in ("landing", "streamed", "state"))
+    schema = source.frame.schema
+    early = source.frame.where(F.col("day") <= FIRST_DAYS_END)
+    late = source.frame.where(F.col("day") > FIRST_DAYS_END)
+    year = 365 * 86_400_000
+    for part, age in ((early, 0), (late, year)):
+        before = {r["path"] for r in files.list_files(spark, landing).collect()} if age else set()
+        copy.write_partitioned(part, landing, columns, mode="append")
+        if age:
+            for row in files.list_files(spark, landing).collect():
+                if row["path"] not in before:
+                    storage.set_age(spark, row["path"], age)
+        stream_copy(spark, landing, schema, columns, target, state)
+    return open_folder(spark, "events", target, schema, tuple(columns)).frame.select("event_id", "day")
+
+
+def _rerun(spark, folder, first: dict, second: dict, hook=None):
+    """Two runs over the event hours into one target: the copy, its target and the second run."""
+    root = new_scratch(spark, "rerun")
+    database = _database(spark)
+    target = runs.RunTarget(f"{root}/data", database)
+    source = table(spark, folder, "events")
+    policy = CopyPolicy(sample_threshold=0, sample_keys=KEYS)
+    result = None
+    for request in (first, second):
+        spec = TableSpec("events", **request)
+        result = runs.copy_tables(
+            spark, {"events": source}, [spec], target, policy, before_sample=[hook] if hook else []
+        )
+        if result.errors:
+            raise RuntimeError(str(result.errors))
+    return spark.table(f"{database}.events"), target, result
+
+
+def q_rerun_sample_then_full(spark, folder):
+    """A tenth first, then everything: the copy is whole, not a mix."""
+    copied, _, result = _rerun(spark, folder, {"sample_prob": 0.1}, {"sample_prob": 1.0})
+    mode = F.lit(result.modes["events"])
+    return copied.groupBy("day", "hour").agg(F.count("*").alias("row_count")).withColumn("mode", mode)
+
+
+def q_rerun_with_hook(spark, folder):
+    """The hook masks rows of the second run too."""
+
+    def mask(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("event_type", F.lit("#"))
+
+    days = tuple({"day": f"2024-01-{d:02d}"} for d in range(1, 11))
+    first = {"sample_prob": 0.5, "partitions": days}
+    copied, _, _ = _rerun(spark, folder, first, {"sample_prob": 0.5}, mask)
+    return copied.select("event_id", "event_type", "day", "hour")
+
+
+def q_rerun_adds_nothing(spark, folder):
+    """A thin sample again: no partition is taken in twice and no row comes on top."""
+    copied, target, _ = _rerun(spark, folder, {"sample_prob": 0.03}, {"sample_prob": 0.03})
+    path = target.table_path("events")
+    listed = list_partitions(table(spark, folder, "events"))
+    source = table(spark, folder, "events")
+    again = copy.incremental_copy(spark, source, path, listed.select("day", "hour", "name"), 0.03, KEYS["events"])
+    recorded = copy.recorded_partitions(spark, path).agg(F.count("*").alias("taken_in"))
+    counted = _with_scalar(copied.groupBy("day", "hour").agg(F.count("*").alias("row_count")), recorded)
+    return _with_scalar(counted, again.agg(F.count("*").alias("added")))
+
+
+def q_moved_partition(spark, folder):
+    """A registered table with one partition elsewhere: sizes, byte copy and cleanup see it."""
+    laid = _laid_out(spark, table(spark, folder, "orders"))
+    columns = list(laid.partition_columns)
+    name = f"{_database(spark)}.orders"
+    register.register_copy(spark, name, laid.frame.schema, columns, laid.location)
+    first = catalog_partitions(spark, name).agg(F.min("order_month")).first()[0]
+    away = new_scratch(spark, "away")
+    storage.rename(spark, f"{laid.location}/order_month={first}", away)
+    spark.sql(f"ALTER TABLE {name} PARTITION (order_month = '{first}') SET LOCATION '{away}'")
+    source = open_catalog(spark, name)
+    sizes = pin(located_partitions(spark, source))
+    target = runs.RunTarget(new_scratch(spark, "moved"), _database(spark))
+    runs.copy_tables(spark, {name: source}, [TableSpec(name, sample_prob=1.0)], target, CopyPolicy(byte_copy=True))
+    counts = spark.table(f"{target.database}.orders").groupBy("order_month").agg(F.count("*").alias("row_count"))
+    cleaning.cleanup(spark, [TableSpec(name)], CopyPolicy())
+    gone = F.lit(not storage.exists(spark, away))
+    return counts.join(sizes, "order_month").select(
+        "order_month", "row_count", (F.col("bytes") > 0).alias("has_bytes"), gone.alias("folder_gone")
+    )
+
+
+def q_copy_run_two_databases(spark, folder):
+    """Two tables of one short name in two databases stay two tables."""
+    names = {}
+    for kind in ("orders", "customer"):
+        laid = _laid_out(spark, table(spark, folder, kind))
+        database = _database(spark)
+        register.register_copy(
+            spark, f"{database}.t", laid.frame.schema, laid.partition_columns, laid.location
+        )
+        names[kind] = f"{database}.t"
+    root = new_scratch(spark, "two")
+    target = runs.RunTarget(f"{root}/data", log=f"{root}/data/copy-log")
+    sources = {name: open_catalog(spark, name) for name in names.values()}
+    specs = [TableSpec(name, sample_prob=1.0) for name in names.values()]
+    result = runs.copy_tables(spark, sources, specs, target)
+    counted = [
+        result.tables[names[kind]].frame.agg(F.count("*").alias("row_count"), F.sum(key).alias("keys")).withColumn(
+            "name", F.lit(kind)
+        )
+        for kind, key in (("orders", "o_orderkey"), ("customer", "c_custkey"))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+def q_copy_local_attach(spark, folder):
+    """Copies in a shared place are fetched; tables over the local files alone count the rows."""
+    root, local = new_scratch(spark, "shared"), new_scratch(spark, "local")
+    target = runs.RunTarget(root, "lake", log=f"{root}/copy-log")
+    for name in ("lineitem", "orders"):
+        source = table(spark, folder, name)
+        done = copy.full_copy(spark, source, f"{root}/lake/{name}")
+        listed = folder_partitions(spark, done).select("name")
+        register.append_log(
+            register.table_statements(
+                listed, "lake", name, source.frame.schema, source.partition_columns,
+                F.concat(F.lit(f"/lake/{name}/"), F.col("name")),
+            ),
+            target.log,
+        )
+    database = _database(spark)
+    runs.copy_and_attach(spark, root, local, database=database)
+    storage.remove(spark, f"{root}/lake")
+    counts = [
+        spark.table(f"{database}.{name}")
+        .groupBy(paths.partition_name(LAYOUTS[name].columns).alias("name"))
+        .agg(
+            F.count("*").alias("row_count"),
+            F.min(F.contains(F.input_file_name(), F.lit(local))).alias("is_local"),
+        )
+        for name in ("lineitem", "orders")
+    ]
+    return counts[0].unionByName(counts[1])
+
+
 def q_staged_publish(spark, folder):
     """Only the published copy is left; its staging folder is gone."""
     source = open_flat(spark, folder, "events", EVENT_DAY)
@@ -511,19 +681,17 @@ def q_format_roundtrip(spark, folder):
         copy.write_partitioned(part, path, [], storage=kind)
         rows = kind.read(spark, path, part.schema).withColumn("stored_as", F.lit(name))
         result = rows if result is None else result.unionByName(rows)
-    path = new_scratch(spark, "lines")
-    copy.write_partitioned(formats.pack_lines(part, "|"), path, [], storage=TEXT)
-    rows = formats.unpack_lines(spark.read.text(path), part.schema, "|")
-    return result.unionByName(rows.withColumn("stored_as", F.lit("lines")))
+    return result
 
 
 def q_text_lines_roundtrip(spark, folder):
-    """Whole documents, line breaks and all, through unquoted text lines."""
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    """Whole documents, line breaks and all, through delimited text."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     path = new_scratch(spark, "lines")
-    copy.write_partitioned(formats.pack_lines(documents), path, [], storage=TEXT)
-    back = formats.unpack_lines(spark.read.text(path), documents.schema)
-    return back.select("doc_id", F.md5("text").alias("digest"), "source")
+    kind = formats.delimited(escape='"', multiline=True)
+    copy.write_partitioned(documents, path, [], storage=kind)
+    back = kind.read(spark, path, documents.schema)
+    return back.withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
 
 
 def q_nested_text_roundtrip(spark, folder):
@@ -711,11 +879,11 @@ def q_run_totals(spark, folder):
 
 
 def q_resume_ledger(spark, folder):
-    """The ledger knows the event hours of January 1-25; nights are no longer configured,
-    later days and the months of orders are new."""
-    known = _ledger_rows(spark, folder).where(F.col("updated") < F.lit("2024-01-26").cast("timestamp_ntz"))
+    """The ledger knows all event hours; the months of orders are new, and of the hours only
+    those that a digest picks are still configured."""
+    known = _ledger_rows(spark, folder)
     events = _pinned_partitions(spark, folder, "events")
-    wanted = events.where(F.col("hour") >= "06").select(F.col("name").alias("item"))
+    wanted = events.where(F.substring(F.md5(F.reverse("name")), 1, 1) < "c").select(F.col("name").alias("item"))
     months = list_partitions(table(spark, folder, "orders")).select(F.col("name").alias("item"))
     return ledger.next_run(wanted.unionByName(months), known)
 
@@ -795,14 +963,20 @@ def q_first_level_dirs(spark, folder):
 
 
 def q_parent_child_rollup(spark, folder):
-    """Finished orders and all lines; lines of other orders are orphans."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet").where(F.col("o_orderstatus") == "F")
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    return registry.rollup_children(orders, lines, "o_orderkey", "l_orderkey", "l_partkey")
+    """Customers and their orders, some without any; labels and documents, some not labelled."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    both = [
+        registry.rollup_children(customers, orders, "c_custkey", "o_custkey", "o_orderkey"),
+        registry.rollup_children(labels, documents, "doc_id", "doc_id", "n_chars"),
+    ]
+    return both[0].withColumn("of", F.lit("orders")).unionByName(both[1].withColumn("of", F.lit("documents")))
 
 
 def q_parent_child_members(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet").where(F.col("o_orderstatus") == "F")
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     return registry.child_members(orders, lines, "o_orderkey", "l_orderkey", "l_partkey")
 
@@ -844,6 +1018,7 @@ def q_extend_expiry(spark, folder):
         "copy_id",
         clock.readable_text(extended).alias("extended"),
         extended.isNull().alias("refused"),
+        clock.readable_text(clock.extended_expiry(F.col("expires"), now, reset=True)).alias("reset"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable, Mapping, Sequence
@@ -11,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice import storage
 from sluice.functions import paths
@@ -20,6 +22,7 @@ from sluice.model import (
     FULL,
     INVALID,
     LEDGER_SCHEMA,
+    SAMPLE,
     SUMMARY_SCHEMA,
     TODO,
     CopyPolicy,
@@ -32,6 +35,7 @@ from sluice.session import local_rows, pin
 from sluice.sources import files
 from sluice.sources.tables import (
     SourceTable,
+    catalog_partitions,
     list_partitions,
     located_partitions,
     logical_bytes,
@@ -41,21 +45,31 @@ from sluice.sources.tables import (
 
 logger = logging.getLogger(__name__)
 
-# Marks a whole copy; scans skip names that start with an underscore.
+# Marks a whole copy and says what it was made by; scans skip names that start with an underscore.
 COMPLETE = "_copied"
 
 
 @dataclass(frozen=True)
 class RunTarget:
-    """Where a run puts its copies, and under which database they are registered."""
+    """Where a run puts its copies, and under which database they are registered.
+
+    Without a database each table keeps that of its source.
+    """
 
     folder: str
-    database: str
+    database: str | None = None
     ledger: str | None = None
     log: str | None = None
 
+    def database_of(self, name: str) -> str:
+        return self.database or name.rpartition(".")[0].rpartition(".")[2] or "default"
+
+    def table_of(self, name: str) -> str:
+        """The name under which the copy is registered."""
+        return f"{self.database_of(name)}.{name.rpartition('.')[2]}"
+
     def table_path(self, name: str) -> str:
-        return f"{self.folder.rstrip('/')}/{self.database}/{name.rpartition('.')[2]}"
+        return f"{self.folder.rstrip('/')}/{self.table_of(name).replace('.', '/')}"
 
 
 @dataclass
@@ -81,16 +95,23 @@ def _resolve(spark: SparkSession, table: SourceTable, spec: TableSpec, policy: C
     if not columns:
         return None, _total(size_by_partition(spark, table))
     sized = table.location is not None
-    listed = located_partitions(spark, table) if sized else list_partitions(table)
+    if not sized:
+        listed = list_partitions(table)
+    elif table.registered:
+        listed = catalog_partitions(spark, table.name)
+    else:
+        listed = located_partitions(spark, table)
     chosen = pin(
         select.resolve(
             listed, spec.partitions, policy.partition_count(spec), spec.top_level_count or -1
         ),
         "chosen",
     )
+    if sized and table.registered:
+        chosen = pin(located_partitions(spark, table, chosen), "located")
     if sized:
         return chosen, _total(chosen)
-    rows = replace(table, frame=select.rows_of(table.frame, chosen, columns))
+    rows = replace(table, frame=select.rows_of(table.frame, chosen, columns, table.layout))
     return chosen, _total(size_by_partition(spark, rows))
 
 
@@ -117,6 +138,13 @@ def copy_tables(
         raise ValueError("no source tables or files configured")
     result = RunResult()
     by_name = {spec.name: spec for spec in specs}
+    if len(by_name) < len(specs):
+        raise ValueError("two requests for one table: put their specs into one")
+    owners: dict[str, str] = {}
+    for name in by_name:
+        other = owners.setdefault(target.table_path(name).lower(), name)
+        if other != name:
+            raise ValueError(f"{other} and {name} would be one copy: keep their databases or name folders of their own")
 
     def note(*states: tuple[str, str, float, str | None]) -> None:
         rows = [(item, state, ledger.now(), int(seconds), text) for item, state, seconds, text in states]
@@ -192,38 +220,82 @@ def copy_tables(
 
     side_by_side(copy_one, list(resolved))
     for source in loose_files:
-        copy_loose(spark, source, target, policy.overwrite_if_exists)
+        started = time.monotonic()
+        try:
+            copy_loose(spark, source, target, policy.overwrite_if_exists)
+        except Exception as error:  # the tables are done; what is missing is recorded
+            result.errors[source] = f"{type(error).__name__}: {error}"
+            note((source, FAILED, time.monotonic() - started, str(error)))
     return result
 
 
+def _request(table: SourceTable, decision, policy: CopyPolicy) -> dict:
+    """What makes the rows of a copy: two runs with another one do not mix.
+
+    A sample without key columns takes all columns with comparable text as the key, so it
+    too is the same in every run; ``rand`` is taken only when asked for.
+    """
+    if decision["mode"] == FULL:
+        return {"mode": FULL, "p": 1.0, "keys": [], "method": ""}
+    keys = list(policy.sample_keys.get(table.name, ()))
+    if not keys and policy.sample_method != "rand":
+        keys = [f.name for f in table.frame.schema if isinstance(f.dataType, T.AtomicType)]
+    return {"mode": SAMPLE, "p": decision["probability"], "keys": keys, "method": policy.sample_method}
+
+
+def _earlier_request(spark, marker: str) -> dict | None:
+    text = storage.read_text(spark, marker)
+    return json.loads(text) if text else None
+
+
 def _copy_table(spark, table, path, chosen, decision, policy, before_sample) -> SourceTable:
+    """Make, replace or complete the copy of one table.
+
+    A repeated run brings new partitions only and leaves the others as they are. One with
+    another mode, probability, key or method replaces the copy if overwriting is on, and is
+    an error otherwise.
+    """
+    request = _request(table, decision, policy)
     if decision["mode"] == FULL and policy.byte_copy and table.location is not None:
         write = lambda to: copy.full_copy_bytes(spark, table, to, chosen)
     elif decision["mode"] == FULL:
         write = lambda to: copy.full_copy(spark, table, to, chosen)
     else:
-        keys = policy.sample_keys.get(table.name, ())
-        method = policy.sample_method if keys else "rand"
         write = lambda to: copy.sample_copy(
-            spark, table, to, decision["probability"], keys, chosen, method, before_sample=before_sample
+            spark,
+            table,
+            to,
+            request["p"],
+            request["keys"],
+            chosen,
+            request["method"],
+            before_sample=before_sample,
         )
+
+    def publish(to: str) -> None:
+        write(to)
+        if chosen is not None:
+            copy.record_partitions(spark, to, chosen)
+        storage.write_text(spark, f"{to}/{COMPLETE}", json.dumps(request))
+
     marker = f"{path}/{COMPLETE}"
     done = storage.exists(spark, marker)
-    if done and table.partition_columns:
-        # A repeated run brings new partitions only and leaves the others as they are.
-        p = 1.0 if decision["mode"] == FULL else decision["probability"]
-        keys = policy.sample_keys.get(table.name, ())
-        method = policy.sample_method if keys else "rand"
-        copy.incremental_copy(spark, table, path, chosen, p, keys, method)
+    same = done and _earlier_request(spark, marker) == request
+    if done and not same and not policy.overwrite_if_exists:
+        raise ValueError(f"{path} holds a copy by another request; it stays as overwriting is off")
+    if same and table.partition_columns:
+        hooks = before_sample if decision["mode"] == SAMPLE else ()
+        copy.incremental_copy(
+            spark, table, path, chosen, request["p"], request["keys"], request["method"] or "md5", hooks
+        )
     elif policy.overwrite_if_exists or not done:
         if storage.renames_in_place(spark, path):
-            copy.staged_publish(spark, write, path, overwrite=True)
+            copy.staged_publish(spark, publish, path, overwrite=True)
         else:
             # Moving the folder would copy it a second time. Without its marker a broken
             # copy is not taken for a whole one, and the next run starts it again.
             storage.remove(spark, path)
-            write(path)
-        storage.touch(spark, marker)
+            publish(path)
     return open_folder(
         spark, table.name, path, table.frame.schema, table.partition_columns, table.storage
     )
@@ -231,23 +303,23 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample) ->
 
 def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
     columns = list(table.partition_columns)
-    short = table.name.rpartition(".")[2]
+    database, _, short = target.table_of(table.name).partition(".")
     schema = table.frame.schema
-    register.create_database(spark, target.database)
+    register.create_database(spark, database)
     # A whole copy registers every chosen partition, empty ones too; a sample what it has.
     whole = bool(columns) and mode == FULL
+    definition = {"comment": table.comment, "properties": table.properties}
     register.register_copy(
-        spark, f"{target.database}.{short}", schema, columns, done.location, table.storage, not whole
+        spark, f"{database}.{short}", schema, columns, done.location, table.storage, not whole, **definition
     )
     if whole:
-        register.add_partitions(spark, f"{target.database}.{short}", chosen, columns, done.location)
+        register.add_partitions(spark, f"{database}.{short}", chosen, columns, done.location)
     if target.log is not None:
-        logged = copied_partitions(spark, done, chosen, mode) if columns else spark.range(0).select(
-            F.lit("").alias("name")
-        )
-        location = F.concat(F.lit(f"/{target.database}/{short}/"), F.col("name"))
+        nothing = local_rows(spark, [], "name string")
+        logged = copied_partitions(spark, done, chosen, mode) if columns else nothing
+        location = F.concat(F.lit(f"/{database}/{short}/"), F.col("name"))
         statements = register.table_statements(
-            logged, target.database, short, schema, columns, location, table.storage
+            logged, database, short, schema, columns, location, table.storage, **definition
         )
         register.append_log(statements, target.log)
 
@@ -262,12 +334,11 @@ def copied_partitions(spark, done: SourceTable, chosen: DataFrame, mode: str) ->
 
 def copy_loose(spark: SparkSession, source: str, target: RunTarget, overwrite: bool) -> DataFrame:
     """Copy one loose file or folder below the target's folder, keeping its relative path."""
-    qualified = storage.qualify(spark, source)
-    relative = qualified.split("://", 1)[-1].split(":", 1)[-1].strip("/")
+    relative = storage.path_of(spark, source).strip("/")
     place = f"{target.folder.rstrip('/')}/{relative}"
     if storage.is_file(spark, source):
         place = place.rpartition("/")[0]
-    report = copy.copy_files(spark, source, place, overwrite=overwrite)
+    report = copy.whole(copy.copy_files(spark, source, place, overwrite=overwrite), source)
     if target.log is not None:
         base = storage.qualify(spark, target.folder)
         listing = report.select(paths.path_below(F.col("target"), base).alias("relative"))
@@ -275,6 +346,21 @@ def copy_loose(spark: SparkSession, source: str, target: RunTarget, overwrite: b
     return report
 
 
+def copy_and_attach(
+    spark: SparkSession, shared: str, local: str, log: str = "copy-log", database: str | None = None
+) -> int:
+    """Copy what others left below ``shared`` to ``local`` and register it from there.
+
+    Everything but the log is copied byte for byte; the log's statements then run with the
+    local folder as their base. Returns how many statements ran.
+    """
+    listing = files.walk_files(spark, shared).where(F.substring_index("relative", "/", 1) != log)
+    copy.whole(copy.copy_listed(spark, listing, local), shared)
+    return register.attach(
+        spark, register.read_log(spark, f"{shared.rstrip('/')}/{log}"), storage.qualify(spark, local), database
+    )
+
+
 def selected_bytes(table: SourceTable, specs) -> int:
     """Row-width size of the rows that specs select, for a size-target sample."""
     data = table.frame.select(*[c for c in table.frame.columns if c not in table.partition_columns]).schema

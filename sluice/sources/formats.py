@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,66 +59,22 @@ def delimited(
     null: str = "\\N",
     line: str | None = None,
     quote: str = '"',
+    multiline: bool = False,
 ) -> StorageFormat:
     """A text table with a field delimiter, an escape, a null text and a line end.
 
     Quotes are written where they are needed, which keeps empty text apart from null.
-    Files without quotes (``quote=""``) read empty text as null; where that matters use
-    :func:`unpack_lines`.
+    Files without quotes (``quote=""``) read empty text as null. Text with line breaks needs
+    ``multiline``, which costs that a file is read by one task.
     """
     options = {"sep": fields, "escape": escape, "nullValue": null, "quote": quote, "header": "false"}
     if line is not None:
         options["lineSep"] = line
+    if multiline:
+        options["multiLine"] = "true"
     return StorageFormat("csv", options)
 
 
-def pack_lines(df: DataFrame, fields: str = "\t", escape: str = "\\", null: str = "\\N") -> DataFrame:
-    """Rows as lines of unquoted text: delimiter, escape and line breaks are escaped."""
-    special = f"([{re.escape(fields)}{re.escape(escape)}])"
-
-    def spell(name: str):
-        text = F.regexp_replace(F.col(name).cast("string"), special, re.escape(escape) + "$1")
-        for char, letter in (("\n", "n"), ("\r", "r")):
-            text = F.replace(text, F.lit(char), F.lit(escape + letter))
-        return F.coalesce(text, F.lit(null))
-
-    return df.select(F.concat_ws(fields, *[spell(c) for c in df.columns]).alias("value"))
-
-
-def unpack_lines(
-    lines: DataFrame, schema: T.StructType, fields: str = "\t", escape: str = "\\", null: str = "\\N"
-) -> DataFrame:
-    """Inverse of :func:`pack_lines`; a field that does not fit its type is null."""
-    esc = re.escape(escape)
-    pieces = F.split("value", re.escape(fields))
-
-    def is_open(piece):
-        """Ends with an odd number of escapes: the delimiter after it is part of the text."""
-        return (F.length(piece) - F.length(F.rtrim(piece, F.lit(escape)))) % 2 == 1
-
-    def join_open(done, piece):
-        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
-        return F.when(
-            is_open(last),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(fields), piece))),
-        ).otherwise(F.concat(done, F.array(piece)))
-
-    joined = F.aggregate(pieces, F.array().cast("array<string>"), join_open)
-    parts = F.when(F.contains("value", F.lit(escape)), joined).otherwise(pieces)
-
-    def read(raw, kind: T.DataType):
-        text = raw
-        for letter, char in (("n", "\n"), ("r", "\r")):
-            text = F.regexp_replace(text, f"(?<!{esc})((?:{esc}{esc})*){esc}{letter}", f"$1{char}")
-        text = F.regexp_replace(text, f"{esc}(.)", "$1")
-        return F.when(raw != null, text).try_cast(kind)
-
-    split = lines.select(parts.alias("parts"))
-    return split.select(
-        *[read(F.get("parts", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(schema)]
-    )
-
-
 def _known(table: dict[str, str], name: str) -> StorageFormat:
     if name not in table:
         raise ValueError(f"no built-in data source for storage format {name}")

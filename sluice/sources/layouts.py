@@ -25,7 +25,7 @@ _EXPRESSIONS = {
     "HH": lambda c: F.lpad(F.hour(c).cast("string"), 2, "0"),
 }
 
-# Up to this many ranges are one filter.
+# Up to this many ranges are one filter; more are one range around them all, and the text.
 RANGE_LIMIT = 64
 
 _PARSE = {4: "%Y", 7: "%Y-%m", 10: "%Y-%m-%d", 13: "%Y-%m-%d %H"}
@@ -101,13 +101,19 @@ class Layout:
                 merged.append([start, end])
         if len(merged) > RANGE_LIMIT:
             return None
+        return functools.reduce(lambda a, b: a | b, [self._within(start, end) for start, end in merged])
+
+    def time_bounds(self, specs: Sequence[PartitionSpec]) -> Column | None:
+        """One range around all specs, to prune a scan by; None where a spec has no range."""
+        ranges = [self.time_range(spec) for spec in specs]
+        if not ranges or any(r is None for r in ranges):
+            return None
+        return self._within(min(start for start, _ in ranges), max(end for _, end in ranges))
+
+    def _within(self, start: datetime, end: datetime) -> Column:
         source = F.col(self.time_column)
-        terms = [
-            (source >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
-            & (source < F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz"))
-            for start, end in merged
-        ]
-        return functools.reduce(lambda a, b: a | b, terms)
+        low, high = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in (start, end))
+        return (source >= low) & (source < high)
 
 
 SHIP_MONTH = Layout("l_shipdate", (TimeLevel("ship_year", "yyyy"), TimeLevel("ship_month", "MM", "-")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,8 @@ class SourceTable:
     layout: Layout | None = None
     storage: StorageFormat = PARQUET
     registered: bool = False
+    comment: str | None = None
+    properties: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def types(self) -> dict[str, T.DataType]:
@@ -86,19 +90,26 @@ def open_catalog(spark: SparkSession, name: str) -> SourceTable:
             details.get("provider", "parquet").lower(), details.get("storage_properties", {})
         ),
         registered=True,
+        comment=details.get("comment"),
+        properties={
+            k: v
+            for k, v in details.get("table_properties", {}).items()
+            if not k.startswith(("spark.sql.", "transient_"))
+        },
     )
 
 
-def table_definition(spark: SparkSession, name: str) -> str:
-    """The statement that creates a registered table."""
-    return spark.sql(f"SHOW CREATE TABLE {quoted_name(name)}").first()[0]
-
-
 def column_definitions(schema: T.StructType) -> list[tuple[int, str, str, bool]]:
     """``(position, name, type, nullable)`` of a declared schema."""
     return [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema)]
 
 
+def _partition_text(column: str, kind: T.DataType) -> Column:
+    """A partition value as a folder keeps it: empty text is null."""
+    value = F.col(f"`{column}`")
+    return F.when(value != "", value).alias(column) if isinstance(kind, T.StringType) else value
+
+
 def list_partitions(table: SourceTable) -> DataFrame:
     """Partition columns, ``name`` and ``row_count`` of every partition that has rows.
 
@@ -107,8 +118,9 @@ def list_partitions(table: SourceTable) -> DataFrame:
     filtering on ``name``: the optimizer would move that filter down to the table's rows.
     """
     columns = list(table.partition_columns)
+    values = [_partition_text(c, table.types[c]) for c in columns]
     return (
-        table.frame.groupBy(*columns)
+        table.frame.groupBy(*values)
         .agg(F.count("*").alias("row_count"))
         .select(*columns, paths.partition_name(columns).alias("name"), "row_count")
     )
@@ -168,28 +180,54 @@ def partition_location(spark: SparkSession, name: str, spec: PartitionSpec) -> s
     return next(r["data_type"] for r in rows if r["col_name"] == "Location")
 
 
-def located_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
-    """Partitions of a laid-out table with ``location`` and ``bytes``.
+_CATALOG_THREADS = 16
+
 
-    For a registered table these are the catalog's, so partitions without files count;
-    for a folder tree those that the listing shows.
+def located_partitions(
+    spark: SparkSession, table: SourceTable, chosen: DataFrame | None = None
+) -> DataFrame:
+    """Partitions of a laid-out table, or the chosen ones, with ``location`` and ``bytes``.
+
+    For a registered table these are the catalog's, wherever they lie, so partitions without
+    files count; only places and sizes of the chosen ones are asked for. For a folder tree
+    they are those that the listing shows.
     """
-    folders = folder_partitions(spark, table)
     if not (table.registered and table.partition_columns):
-        return folders.drop("files")
-    listed = catalog_partitions(spark, table.name)
-    found = folders.select(
-        *[F.col(c).alias(f"__{c}") for c in table.partition_columns],
-        F.col("location").alias("__at"),
-        "bytes",
-    )
-    on = [listed[c].eqNullSafe(found[f"__{c}"]) for c in table.partition_columns]
-    at = F.concat(F.lit(storage.qualify(spark, table.location) + "/"), F.col("name"))
-    return listed.join(found, on, "left").select(
-        *listed.columns,
-        F.coalesce("__at", at).alias("location"),
-        F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"),
-    )
+        folders = folder_partitions(spark, table).drop("files")
+        return folders if chosen is None else folders.join(chosen.select("name"), "name", "left_semi")
+    columns = list(table.partition_columns)
+    listed = catalog_partitions(spark, table.name) if chosen is None else chosen
+    listed = listed.select(*columns, "name")
+
+    def place(row) -> tuple:
+        spec = dict(zip(columns, _values_of(row["name"])))
+        values = [row[c] for c in columns]
+        try:
+            location = partition_location(spark, table.name, spec)
+        except AnalysisException as error:
+            if error.getCondition() != "PARTITIONS_NOT_FOUND":
+                raise
+            return (*values, row["name"], None, 0)
+        return (*values, row["name"], location, storage.total_bytes(spark, location))
+
+    with ThreadPoolExecutor(_CATALOG_THREADS) as pool:
+        rows = list(pool.map(place, listed.collect()))
+    if any(row[-2] is None for row in rows):
+        # Folders spelled otherwise than the catalog shows their values (``month=02`` for 2).
+        at = {tuple(f[c] for c in columns): (f["location"], f["bytes"]) for f in folder_partitions(spark, table).collect()}
+        base = storage.qualify(spark, table.location)
+        rows = [
+            row if row[-2] is not None else (*row[:-2], *at.get(row[: len(columns)], (f"{base}/{row[-3]}", 0)))
+            for row in rows
+        ]
+    schema = T.StructType([*listed.schema.fields, T.StructField("location", T.StringType()), T.StructField("bytes", T.LongType())])
+    return local_rows(spark, rows, schema)
+
+
+def _values_of(name: str) -> list[str | None]:
+    """The values in a partition name."""
+    texts = [part.partition("=")[2] for part in name.split("/")]
+    return [None if text == paths.NULL_PARTITION else unquote(text) for text in texts]
 
 
 _FIXED_WIDTHS = {
@@ -255,11 +293,9 @@ def size_by_partition(spark: SparkSession, table: SourceTable) -> DataFrame:
     )
 
 
-def summary_row(spark: SparkSession, table: SourceTable, partitions: DataFrame | None = None) -> DataFrame:
+def summary_row(spark: SparkSession, table: SourceTable) -> DataFrame:
     """One summary row. ``files`` counts locations: partitions, or 1 for a plain table."""
     sized = size_by_partition(spark, table)
-    if partitions is not None and table.partition_columns:
-        sized = sized.join(partitions.select("name"), "name", "left_semi")
     count = F.count("*").cast("long") if table.partition_columns else F.lit(0).cast("long")
     return sized.agg(
         F.lit(table.name).alias("name"),
@@ -273,11 +309,17 @@ def summary_row(spark: SparkSession, table: SourceTable, partitions: DataFrame |
 def source_summary(
     spark: SparkSession, tables: Mapping[str, SourceTable], errors: Mapping[str, str]
 ) -> DataFrame:
-    """Valid tables with their size, invalid ones with their error."""
+    """Valid tables with their size, invalid ones with their error; a table that cannot be
+    sized is invalid and does not stop the others."""
+    errors, rows = dict(errors), []
+    for name, table in tables.items():
+        try:
+            rows.append(summary_row(spark, table))
+        except Exception as error:  # noqa: BLE001
+            errors[name] = str(error)
     invalid = local_rows(
         spark, [(name, None, None, None, message) for name, message in errors.items()], SUMMARY_SCHEMA
     )
-    rows = [summary_row(spark, table) for table in tables.values()]
     return functools.reduce(DataFrame.unionByName, rows, invalid)
 
 

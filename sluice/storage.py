@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,6 +20,12 @@ def qualify(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(jpath).toString().rstrip("/")
 
 
+def path_of(spark: SparkSession, path: str) -> str:
+    """The path alone, without scheme, host and port."""
+    fs, jpath = _resolve(spark, path)
+    return fs.makeQualified(jpath).toUri().getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = _resolve(spark, path)
     return fs.exists(jpath)
@@ -64,10 +71,41 @@ def renames_in_place(spark: SparkSession, path: str) -> bool:
     return qualify(spark, path).split(":", 1)[0] not in _COPYING_RENAME
 
 
-def touch(spark: SparkSession, path: str) -> None:
-    """An empty file."""
+def existing(spark: SparkSession, paths: Iterable[str], threads: int = 16) -> list[str]:
+    """Those of the paths that exist, asked for concurrently."""
+    paths = list(paths)
+    with ThreadPoolExecutor(threads) as pool:
+        return [p for p, there in zip(paths, pool.map(lambda p: exists(spark, p), paths)) if there]
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path; 0 if there is nothing."""
+    fs, jpath = _resolve(spark, path)
+    return fs.getContentSummary(jpath).getLength() if fs.exists(jpath) else 0
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, jpath = _resolve(spark, path)
+    stream = fs.create(jpath, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = _resolve(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def set_age(spark: SparkSession, path: str, millis: int) -> None:
+    """Date a file back from now."""
     fs, jpath = _resolve(spark, path)
-    fs.create(jpath, True).close()
+    fs.setTimes(jpath, int(time.time() * 1000) - millis, -1)
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:

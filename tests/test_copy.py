@@ -266,3 +266,31 @@ def test_rows_of_prunes_folders(spark, monthly):
     located = select.rows_of(located, chosen, ["month", "day"]).select("file_path").distinct()
     read = {r[0].rpartition("/")[0] for r in located.collect()}
     assert len(read) == 1 and read.pop().endswith("month=3/day=2")
+
+
+def test_a_failed_publish_keeps_the_old_copy(spark, monthly, monkeypatch):
+    target = f"{new_scratch(spark, 'publish')}/t"
+    copy.staged_publish(spark, lambda path: copy.full_copy(spark, monthly, path), target)
+    rename = storage.rename
+
+    def refuse(spark, source, to):
+        if to == target and copy.STAGING_HINT in source and not refused:
+            refused.append(source)
+            raise OSError("no")
+        rename(spark, source, to)
+
+    refused = []
+    monkeypatch.setattr(copy.folders, "rename", refuse)
+    with pytest.raises(OSError):
+        copy.staged_publish(spark, lambda path: copy.full_copy(spark, monthly, path), target, overwrite=True)
+    assert spark.read.parquet(target).count() == 12
+    assert storage.child_names(spark, target.rpartition("/")[0]) == ["t"]
+
+
+def test_empty_samples_are_taken_in_once(spark, monthly):
+    path = new_scratch(spark, "t")
+    listed = pin(list_partitions(monthly))
+    first = copy.incremental_copy(spark, monthly, path, listed, 0.001, ["name"])
+    assert first.count() == 6
+    assert copy.recorded_partitions(spark, path).count() == 6
+    assert copy.incremental_copy(spark, monthly, path, listed, 0.001, ["name"]).isEmpty()

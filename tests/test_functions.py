@@ -77,13 +77,13 @@ def test_csv_items(spark):
     assert one(spark, paths.csv_items(F.lit("a, b ,c")))[0] == ["a", "b", "c"]
 
 
-def test_text_lines(spark):
-    rows = [(1, "a|b"), (2, ""), (3, None), (4, "back\\slash|"), (5, "two\nlines\r"), (6, "\\n"), (7, "\\N")]
-    for sep, esc, null in (("|", "\\", "\\N"), ("\t", "!", "~"), (";", "^", "NULL")):
-        frame = spark.createDataFrame(rows, "i int, t string")
-        lines = formats.pack_lines(frame, sep, esc, null)
-        assert not any("\n" in r[0] for r in lines.collect())
-        back = formats.unpack_lines(lines, frame.schema, sep, esc, null)
+def test_text_lines(spark, tmp_path):
+    rows = [(1, "a|b"), (2, ""), (3, None), (4, "back\\slash|"), (5, "two\nlines"), (6, "\\n"), (7, 'say "so"')]
+    frame = spark.createDataFrame(rows, "i int, t string")
+    for i, sep in enumerate(("|", "\t", ";")):
+        kind = formats.delimited(sep, escape='"', multiline=True)
+        frame.write.format(kind.source).options(**kind.options).save(f"file:{tmp_path}/{i}")
+        back = kind.read(spark, f"file:{tmp_path}/{i}", frame.schema)
         assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
@@ -115,7 +115,9 @@ def test_expiry(spark):
         clock.is_expired(F.lit(True), F.col("t"), now).alias("gone"),
         clock.is_expired(F.lit(False), F.col("t"), now).alias("stopped"),
         clock.readable_text(clock.extended_expiry(F.col("t"), now)).alias("more"),
+        clock.readable_text(clock.extended_expiry(F.col("t"), now, reset=True)).alias("fresh"),
     ).collect()
+    assert {r["fresh"] for r in rows} == {"13/Jan/2020 00:00:00"}
     assert [r["gone"] for r in rows] == [True, False, True, True, False]
     assert not any(r["stopped"] for r in rows)
     assert [r["more"] for r in rows] == [

@@ -138,3 +138,14 @@ def test_parents_and_children(spark):
     members = registry.child_members(parents, children, "id", "p", "c").collect()
     assert sorted(tuple(r) for r in members) == [("p1", "c1"), ("p1", "c2")]
     assert [r["c"] for r in registry.orphans(parents, children, "id", "p").collect()] == ["c3"]
+
+
+def test_one_failure_does_not_stop_cleanup(spark, monthly):
+    database = f"db_{uuid.uuid4().hex}"
+    register.create_database(spark, database, new_scratch(spark, "db"))
+    spark.sql(f"CREATE VIEW {database}.view AS SELECT 1 AS x")
+    register.register_copy(spark, f"{database}.monthly", monthly.frame.schema, ("month", "day"), monthly.location)
+    done = cleanup.cleanup(spark, [TableSpec(f"{database}.view"), TableSpec(f"{database}.monthly")], CopyPolicy())
+    assert done[f"{database}.view"].startswith(("failed", "invalid"))
+    assert done[f"{database}.monthly"] == "dropped 6 partitions"
+    spark.sql(f"DROP DATABASE {database} CASCADE")

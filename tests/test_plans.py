@@ -129,5 +129,23 @@ def test_children_are_reduced_before_the_join(spark):
     assert row["children"] == row["members"] == 1000
 
 
-def test_every_query_but_the_random_one_has_sql():
-    assert set(registered.registered()) - set(checks.statements()) == {"bernoulli_sample_rand"}
+def test_every_query_has_sql():
+    assert set(registered.registered()) == set(checks.statements())
+
+
+def test_a_capped_copy_of_a_flat_table_prunes_its_scan(spark):
+    events = registered.table(spark, FOLDER, "events")
+    chosen = pin(select.last_n(list_partitions(events), 48))
+    text = plan(select.rows_of(events.frame, chosen, ["day", "hour"], events.layout))
+    pushed = text.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
+
+
+def test_many_ranges_keep_the_one_around_them(spark):
+    events = registered.table(spark, FOLDER, "events")
+    specs = [{"day": f"2024-01-{d:02d}", "hour": f"{h:02d}"} for d in range(3, 12) for h in range(0, 24, 2)]
+    rows = select.rows_of_specs(events, specs)
+    pushed = plan(rows).split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts,2024-01-03" in pushed and "LessThan(ts,2024-01-11" in pushed
+    assert rows.exceptAll(select.matching(events.frame, specs)).isEmpty()
+    assert rows.count() == select.matching(events.frame, specs).count()

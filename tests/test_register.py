@@ -16,7 +16,6 @@ from sluice.sources.tables import (
     open_catalog,
     open_folder,
     partition_location,
-    table_definition,
 )
 
 
@@ -37,7 +36,7 @@ def test_register_is_repeatable(spark, monthly, database):
     assert table.partition_columns == ("month", "day")
     assert table.storage == PARQUET
     assert table.location.endswith(monthly.location.rpartition("/")[2])
-    assert "PARTITIONED BY (month, day)" in table_definition(spark, name)
+    assert "PARTITIONED BY (month, day)" in spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
     assert names(catalog_partitions(spark, name, {"month": "2"})) == ["month=2/day=1", "month=2/day=2"]
     with pytest.raises(UnresolvedRequest):
         catalog_partitions(spark, name, {"month": "9"})
@@ -144,7 +143,7 @@ def test_log_and_attach(spark, monthly, database):
     rows = described.collect()
     assert [r["data_type"] for r in rows] == ["hive"] * 5 + ["hdfs"]
     assert rows[0]["line"].startswith("CREATE TABLE IF NOT EXISTS `monthly`")
-    assert rows[1]["line"] == "alter table monthly add if not exists partition (month=2, day=1) "
+    assert rows[1]["line"] == "alter table `monthly` add if not exists partition (`month`=2, `day`=1) "
     assert rows[5]["line"] == "s3a://shared/tmp/testfile"
     assert not any("ocation" in r["line"] for r in rows)
 

@@ -8,7 +8,13 @@ from sluice.model import CopyPolicy, TableSpec
 from sluice.operators import copy, ledger, register
 from sluice.plans.run import RunTarget, copy_tables
 from sluice.session import new_scratch
-from sluice.sources.tables import SourceTable, catalog_partitions, open_catalog, open_folder
+from sluice.sources.tables import (
+    SourceTable,
+    catalog_partitions,
+    list_partitions,
+    open_catalog,
+    open_folder,
+)
 
 
 @pytest.fixture
@@ -168,3 +174,91 @@ def test_loose_files(spark, target, tmp_path):
     lines = register.describe_log(register.read_log(spark, target.log)).collect()
     assert [r["data_type"] for r in lines] == ["hdfs", "hdfs"]
     assert all(r["line"].endswith(f"{tmp_path}/d/testfile") for r in lines)
+
+
+def test_loose_files_that_fail_are_recorded(spark, monthly, target, tmp_path):
+    """A missing loose source does not lose what the run has done."""
+    result = copy_tables(
+        spark, {"lake.monthly": monthly}, [TableSpec("lake.monthly")], target, loose_files=[f"file:{tmp_path}/gone"]
+    )
+    assert set(result.tables) == {"lake.monthly"} and set(result.errors) == {f"file:{tmp_path}/gone"}
+    assert _states(spark, target) == {"lake.monthly": "finished", f"file:{tmp_path}/gone": "failed"}
+
+
+def test_place_of_a_name_node_is_not_part_of_the_path(spark):
+    for path in ("hdfs://nn:8020/data/x", "hdfs://nn/data/x", "file:/data/x", "/data/x"):
+        spark.sparkContext._jsc.hadoopConfiguration().set("dfs.client.retry.max.attempts", "0")
+        if path.startswith("hdfs") and "DistributedFileSystem" not in str(_file_system(spark, path)):
+            continue
+        assert storage.path_of(spark, path) == "/data/x"
+
+
+def _file_system(spark, path):
+    try:
+        return storage._resolve(spark, path)[0]
+    except Exception:  # no client for this scheme here
+        return None
+
+
+def test_two_requests_or_two_sources_for_one_copy_are_refused(spark, monthly, target):
+    sources = {"a.t": monthly, "b.t": monthly}
+    with pytest.raises(ValueError, match="two requests"):
+        copy_tables(spark, sources, [TableSpec("a.t"), TableSpec("a.t", partition_count=1)], target)
+    with pytest.raises(ValueError, match="would be one copy"):
+        copy_tables(spark, sources, [TableSpec("a.t"), TableSpec("b.t")], target)
+    assert not storage.exists(spark, target.folder)
+
+
+def test_a_changed_request_without_overwriting_is_an_error(spark, monthly, target):
+    bare = RunTarget(target.folder, target.database)
+    policy = CopyPolicy(sample_threshold=0, overwrite_if_exists=False)
+    sources = {"lake.monthly": monthly}
+    first = copy_tables(spark, sources, [TableSpec("lake.monthly", sample_prob=0.5)], bare, policy)
+    kept = sorted(map(tuple, first.tables["lake.monthly"].frame.collect()))
+    again = copy_tables(spark, sources, [TableSpec("lake.monthly", sample_prob=1.0)], bare, policy)
+    assert "another request" in again.errors["lake.monthly"]
+    assert sorted(map(tuple, first.tables["lake.monthly"].frame.collect())) == kept
+    same = copy_tables(spark, sources, [TableSpec("lake.monthly", sample_prob=0.5)], bare, policy)
+    assert same.errors == {} and sorted(map(tuple, same.tables["lake.monthly"].frame.collect())) == kept
+
+
+def test_a_sample_without_keys_is_the_same_in_every_run(spark, target):
+    source = lay_out(spark, [(f"n{i}", i % 20, 1) for i in range(2000)], name="lake.big")
+    policy = CopyPolicy(sample_threshold=0)
+    rows = []
+    for folder in ("x", "y"):
+        bare = RunTarget(f"{target.folder}/{folder}", target.database)
+        spec = [TableSpec("lake.big", sample_prob=0.1)]
+        rows.append(sorted(map(tuple, copy_tables(spark, {"lake.big": source}, spec, bare, policy).tables["lake.big"].frame.collect())))
+    assert rows[0] == rows[1] and 100 < len(rows[0]) < 320
+
+
+def test_definition_goes_with_the_copy(spark, monthly, target):
+    name = f"{target.database}.source"
+    register.register_copy(
+        spark, name, monthly.frame.schema, ("month", "day"), monthly.location, comment="it's", properties={"team": "us"}
+    )
+    copied = RunTarget(target.folder, target.database)
+    copy_tables(spark, {"lake.copied": open_catalog(spark, name)}, [TableSpec("lake.copied")], copied)
+    made = open_catalog(spark, f"{target.database}.copied")
+    assert made.comment == "it's" and made.properties["team"] == "us"
+
+
+def test_names_that_need_quotes(spark, target):
+    frame = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, `order-id` string")
+    path = new_scratch(spark, "odd")
+    copy.write_partitioned(frame, path, ["order-id"])
+    source = open_folder(spark, "lake.odd_name", path, frame.schema, ("order-id",))
+    result = copy_tables(spark, {"lake.odd_name": source}, [TableSpec("lake.odd_name")], target)
+    assert result.errors == {}
+    other = f"db_{uuid.uuid4().hex}"
+    base = storage.qualify(spark, target.folder)
+    register.attach(spark, register.read_log(spark, target.log), base, other)
+    assert spark.table(f"{other}.`odd_name`").count() == 2
+    spark.sql(f"DROP DATABASE {other} CASCADE")
+
+
+def test_empty_text_is_the_null_partition(spark, target):
+    frame = spark.createDataFrame([("a", ""), ("b", None), ("c", "x")], "name string, k string")
+    listed = list_partitions(SourceTable("t", frame, ("k",)))
+    assert sorted((r["name"], r["row_count"]) for r in listed.collect()) == [("k=__HIVE_DEFAULT_PARTITION__", 2), ("k=x", 1)]
