@@ -621,11 +621,9 @@ def q_copy_local_attach(spark, folder):
     storage.remove(spark, f"{root}/lake")
     counts = [
         spark.table(f"{database}.{name}")
+        .withColumn("is_local", F.contains(F.input_file_name(), F.lit(local)))
         .groupBy(paths.partition_name(LAYOUTS[name].columns).alias("name"))
-        .agg(
-            F.count("*").alias("row_count"),
-            F.min(F.contains(F.input_file_name(), F.lit(local))).alias("is_local"),
-        )
+        .agg(F.count("*").alias("row_count"), F.bool_and("is_local").alias("is_local"))
         for name in ("lineitem", "orders")
     ]
     return counts[0].unionByName(counts[1])
