@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def split_words(text: Column, separators: str = SPACE_RUN, trim: str = SPACES) -
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of steps that are written and done.
+
+    The cleaner acts when the driver's collector finds their plans unused, which on an
+    idle driver may take long while the disks of the executors fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(frame: DataFrame, wish: str) -> str:
     """A column name that ``frame`` does not have yet."""
     taken = {c.lower() for c in frame.columns}

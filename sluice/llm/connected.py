@@ -28,21 +28,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    marks = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), marks).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges lead straight to the least node: one per node, and none from a head."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    onward = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return several.union(onward).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``a, b`` links; the component is its least node."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = pin(edges, "links")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         edges = pin(_small_star(pin(_large_star(edges), "large-star")), "small-star")
-        after = _mark(edges)
-        if after == mark:
-            break
-        mark = after
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pin(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads), "components")
