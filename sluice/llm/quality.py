@@ -54,8 +54,8 @@ class QualityRules:
     max_repeat_percent: int = 50
     class_distance: float = 0.25
     class_min_chars: int = 200
-    word_distance: float = 0.45
-    word_min_words: int = 100
+    word_distance: float = 0.23
+    word_min_words: int = 150
 
 
 def repeated_words(words: Column) -> Column:
