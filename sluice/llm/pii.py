@@ -7,7 +7,8 @@ network permutes the ranks, walking on while it lands outside, so equal values g
 pseudonyms in every document, different values of a format get different ones, a pseudonym
 is valid again (check digits are recomputed), and whoever has the key can reverse it. Mail
 addresses and secrets (access keys, values of ``password=``, ``token =`` and the like) are
-permuted letter by letter class, mail addresses under their top-level domain.
+permuted letter by letter class, mail addresses under their top-level domain. Numbers in the
+format of a card or a phone that are not valid are permuted among those that are not.
 
 Each row is worked on by itself, without a shuffle. Null texts stay null, empty ones empty,
 repeated rows get equal results; other columns are carried along where the caller asks for
@@ -133,7 +134,7 @@ _UPPER = _LOWER.upper()
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 #: First parts of addresses that belong to no one in particular stay as they are.
-_OPEN_OCTETS = [n for n in range(1, 224) if n not in (10, 127)]
+_OPEN_OCTETS = [n for n in range(1, 256) if n not in (10, 127)]
 
 
 class Pseudonyms:
@@ -175,10 +176,19 @@ class Pseudonyms:
         check = 98 - iban_rest(code[:2] + "00" + body)
         return _refill(text, f"{code[:2]}{check:02d}{body}")
 
+    def _walk(self, digits: str, inside: Callable[[str], bool], tweak: str) -> str:
+        """Digits permuted among those of the same length that ``inside`` holds for."""
+        size = 10 ** len(digits)
+        x = self.feistel.permute(int(digits), size, tweak, self.back)
+        while not inside(f"{x:0{len(digits)}d}"):
+            x = self.feistel.permute(x, size, tweak, self.back)
+        return f"{x:0{len(digits)}d}"
+
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
-        if digits[0] not in "23456" or luhn_digit(digits[:-1]) != digits[-1]:
-            return None
+        if luhn_digit(digits[:-1]) != digits[-1]:
+            # No card, but as long a number names someone too: among those that are none.
+            return _refill(text, self._walk(digits, lambda d: luhn_digit(d[:-1]) != d[-1], f"number|{len(digits)}"))
         middle = self._move([int(c) for c in digits[1:-1]], [10] * (len(digits) - 2), f"card|{digits[0]}|{len(digits)}")
         moved = digits[0] + "".join(map(str, middle))
         return _refill(text, moved + luhn_digit(moved))
@@ -195,7 +205,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         lead, own = digits[:-10], digits[-10:]
         if own[0] in "01" or own[3] in "01":
-            return None
+            return _refill(text, lead + self._walk(own, lambda d: d[0] in "01" or d[3] in "01", "no phone"))
         values = [int(c) - (2 if i in (0, 3) else 0) for i, c in enumerate(own)]
         moved = self._move(values, [8 if i in (0, 3) else 10 for i in range(10)], "phone")
         return _refill(text, lead + "".join(str(v + (2 if i in (0, 3) else 0)) for i, v in enumerate(moved)))
