@@ -133,8 +133,8 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
-#: First parts of addresses that belong to no one in particular stay as they are.
-_OPEN_OCTETS = [n for n in range(1, 256) if n not in (10, 127)]
+#: Addresses that are the same everywhere stay as they are.
+_NO_ONES = {"0.0.0.0", "127.0.0.1", "255.255.255.255"}
 
 
 class Pseudonyms:
@@ -219,10 +219,13 @@ class Pseudonyms:
 
     def ip(self, text: str) -> str | None:
         parts = [int(x) for x in text.split(".")]
-        if max(parts) > 255 or parts[0] not in _OPEN_OCTETS or any(p != str(int(p)) for p in text.split(".")):
+        if max(parts) > 255 or text in _NO_ONES or any(p != str(int(p)) for p in text.split(".")):
             return None
-        first, *rest = self._move([_OPEN_OCTETS.index(parts[0]), *parts[1:]], [len(_OPEN_OCTETS), 256, 256, 256], "ip")
-        return ".".join(map(str, [_OPEN_OCTETS[first], *rest]))
+        while True:
+            parts = self._move(parts, [256] * 4, "ip")
+            moved = ".".join(map(str, parts))
+            if moved not in _NO_ONES:
+                return moved
 
     def date(self, text: str) -> str | None:
         mark = re.search(r"\D", text)[0]
