@@ -41,6 +41,7 @@ class Training:
     per_language: int = 1000
     most_rows: int = 20_000
     passes: int = 3
+    least_steps: int = 400
     batch: int = 32
     alpha: float = 0.5
     beta: float = 1.0
@@ -180,7 +181,9 @@ def fit(texts: list[str], labels: list[str], calibrate: np.ndarray, rules: Train
     z, n, w = np.zeros((d, k)), np.zeros((d, k)), np.zeros((d, k))
     learn = np.flatnonzero(~calibrate)
     random = np.random.default_rng(1)
-    for _ in range(rules.passes):
+    # A small sample is gone through more often.
+    passes = max(rules.passes, -(-rules.least_steps * rules.batch // max(1, len(learn)))) if len(learn) else 0
+    for _ in range(passes):
         order = random.permutation(learn)
         for low in range(0, len(order), rules.batch):
             some = order[low : low + rules.batch]
