@@ -123,7 +123,7 @@ def word_counts(words: Column) -> Column:
 class Measured:
     """``docs`` with its counts, under names that the table does not have."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", windows: bool = True):
+    def __init__(self, docs: DataFrame, text: str = "text"):
         self.source = docs
         self.names: dict[str, str] = {}
         self.frame = docs
@@ -141,9 +141,8 @@ class Measured:
         self.add("classes", F.array(*sizes, left))
         self.add("common", word_counts(self["words"]))
         self.add("word_bins", F.concat(self["common"], F.array(self["n_words"] - self._sum(self["common"]))))
-        if windows:
-            self.add("n_repeat_words", repeated_words(self["words"]))
-            self.add("n_dup_lines", duplicate_lines(self["text"]))
+        self.add("n_repeat_words", repeated_words(self["words"]))
+        self.add("n_dup_lines", duplicate_lines(self["text"]))
 
     def add(self, name: str, value: Column) -> None:
         self.names[name] = free_name(self.frame, f"measured_{name}")
@@ -163,16 +162,22 @@ class Measured:
 BINS = {"classes": len(CLASSES) + 1, "word_bins": len(WORDS) + 1}
 
 
+def base_failed(m: Measured, rules: QualityRules) -> Column:
+    return (m["n_words"] < rules.min_words) | (
+        F.lit(100) * m["n_repeat_words"].cast("long") > rules.max_repeat_percent * m["n_words"].cast("long")
+    )
+
+
 def references(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str = "lang") -> dict:
     """Histogram sums of each known language over the whole table; at most a row per language."""
     few = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isin(list(COMMON_WORDS)))
-    measured = Measured(few, "text", windows=False)
+    measured = Measured(few, "text")
     sums = [
         F.sum(F.get(measured[kind], F.lit(i)).cast("long")).alias(f"{kind}_{i}")
         for kind, size in BINS.items()
         for i in range(size)
     ]
-    rows = measured.frame.where(measured["n_words"] >= rules.min_words).groupBy("lang").agg(*sums).collect()
+    rows = measured.frame.where(~base_failed(measured, rules)).groupBy("lang").agg(*sums).collect()
     return {
         kind: [[row[f"{kind}_{i}"] for i in range(size)] for row in sorted(rows, key=lambda r: r["lang"])]
         for kind, size in BINS.items()
@@ -209,11 +214,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     """``docs`` with counts, distances, ``base_failed`` and ``kept``."""
     known = references(docs, rules, text, lang)
     m = Measured(docs, text)
-    m.add(
-        "base_failed",
-        (m["n_words"] < rules.min_words)
-        | (F.lit(100) * m["n_repeat_words"].cast("long") > rules.max_repeat_percent * m["n_words"].cast("long")),
-    )
+    m.add("base_failed", base_failed(m, rules))
     m.add("class_distance", nearest_distance(m["classes"], known["classes"]))
     m.add("word_distance", nearest_distance(m["word_bins"], known["word_bins"]))
     odd_classes = (m["n_chars"] >= rules.class_min_chars) & (m["class_distance"] > rules.class_distance)

@@ -76,6 +76,16 @@ def test_distances_and_verdicts(spark, make_docs):
     assert not any(rows[n]["kept"] for n in (30, 31, 32))
 
 
+def test_repetitive_hot_source_does_not_feed_references(spark, make_docs):
+    texts = [prose(n, 300) for n in range(20)]
+    junk = ["BUY NOW 24/7 %% " * 2000 + str(n) for n in range(10)]
+    alone = {r["doc_id"]: r for r in quality.quality_report(make_docs(texts)).collect()}
+    rows = {r["doc_id"]: r for r in quality.quality_report(make_docs(texts + junk)).collect()}
+    for n in range(20):
+        assert rows[n]["kept"] and abs(rows[n]["word_distance"] - alone[n]["word_distance"]) < 1e-9
+    assert not any(rows[n]["kept"] for n in range(20, 30))
+
+
 def test_no_reference_no_rows_own_columns(spark, make_docs):
     docs = make_docs([sentence(1, 80, 10**6), None]).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "1 AS measured_kept")
     rows = {r["doc_id"]: r for r in quality.quality_report(docs).collect()}
