@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.llm import (
     bpe,
     decontaminate,
+    fill_in_middle,
     html_extract,
     language_id,
     line_dedup,
@@ -78,6 +79,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.main_text(read_table(spark, folder, "pages"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.fim_report(read_table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
