@@ -18,6 +18,7 @@ from sluice.llm import (
     setsketch,
     token_store,
     warc_zip,
+    whitening,
 )
 from sluice.llm.common import read_table
 
@@ -79,6 +80,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.main_text(read_table(spark, folder, "pages"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening_report(read_table(spark, folder, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.fim_report(read_table(spark, folder, "documents"))
 
