@@ -17,6 +17,7 @@ from sluice.llm import (
     quality,
     setsketch,
     token_store,
+    toxicity,
     warc_zip,
     whitening,
 )
@@ -84,6 +85,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitening_report(read_table(spark, folder, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.fim_report(read_table(spark, folder, "documents"))
 

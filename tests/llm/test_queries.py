@@ -30,7 +30,7 @@ def run(spark, name):
 
 def test_one_query_per_operator():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
     assert set(sql.statements()) <= set(QUERIES)
 
