@@ -8,8 +8,9 @@ text provably have a border. There both sides agree, so the ids are the library'
 
 A border that always holds for the byte-level pattern: a space followed by a character
 that is not white space. Fewer borders are only slower, so doubtful bytes count as none.
-Stretches between borders are remembered by content as well. All look-ups are sorted
-numpy arrays of 64-bit content hashes; memory is bounded by ``MEMO_ENTRIES``.
+Stretches between borders are remembered by content as well. Look-ups go by sorted numpy arrays
+of 64-bit content hashes, and what is found is compared byte for byte: another text with an
+equal hash is encoded on its own. Memory is bounded by ``MEMO_ENTRIES``.
 
 Null and empty texts give no ids. Rows are independent of each other: repeated rows give
 repeated results, an empty table an empty one. Very long texts are worked on in slices.
@@ -91,7 +92,10 @@ def chunk_edges(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of stretches of a slice, equal wherever equal bytes stand."""
+    """64-bit hashes of stretches of a slice, equal wherever equal bytes stand.
+
+    Different bytes can have equal hashes: there are texts made for that.
+    """
 
     def __init__(self):
         self.powers = self.inverse = np.ones(1, np.uint64)
@@ -114,8 +118,25 @@ def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return pool[np.repeat(start - before, count) + np.arange(int(count.sum()))]
 
 
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.empty(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin now."""
+        start, self.size = self.size, self.size + len(values)
+        if self.size > len(self.data):
+            wider = np.empty(2 * self.size, self.data.dtype)
+            wider[:start] = self.data[:start]
+            self.data = wider
+        self.data[start : self.size] = values
+        return start
+
+
 class Memo:
-    """Ids by content hash in sorted arrays; beyond ``limit`` entries it starts again."""
+    """Ids by content, found by hash and compared; beyond ``limit`` entries it starts again."""
 
     def __init__(self, dtype, limit: int):
         self.dtype, self.limit = dtype, limit
@@ -123,11 +144,13 @@ class Memo:
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.start = self.count = np.empty(0, np.int64)
-        self.pool = np.empty(0, self.dtype)
+        self.start = self.count = self.place = self.length = np.empty(0, np.int64)
+        self.ids, self.bytes = Pool(self.dtype), Pool(np.uint8)
 
-    def look_up(self, keys: np.ndarray, make: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each key in turn; ``make(positions)`` gives counts and ids of new ones."""
+    def look_up(
+        self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, make: Callable
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each stretch of ``data`` in turn; ``make(positions)`` gives counts and ids of new ones."""
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -135,18 +158,42 @@ class Memo:
         known[inside] = self.keys[at[inside]] == unique[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            counts, ids = make(first[new])
-            starts = len(self.pool) + np.cumsum(counts) - counts
-            self.pool = np.concatenate([self.pool, ids.astype(self.dtype)])
+            own = first[new]
+            counts, ids = make(own)
+            lengths = end[own] - begin[own]
+            starts = self.ids.add(ids.astype(self.dtype)) + np.cumsum(counts) - counts
+            places = self.bytes.add(gather(data, begin[own], lengths)) + np.cumsum(lengths) - lengths
             self.start = np.insert(self.start, at[new], starts)
             self.count = np.insert(self.count, at[new], counts)
+            self.place = np.insert(self.place, at[new], places)
+            self.length = np.insert(self.length, at[new], lengths)
             self.keys = np.insert(self.keys, at[new], unique[new])
             at = np.searchsorted(self.keys, unique)
-        count = self.count[at][inverse]
-        ids = gather(self.pool, self.start[at][inverse], count)
-        if len(self.keys) > self.limit or len(self.pool) > 8 * self.limit:
+        entry = at[inverse]
+        start, count = self.start[entry], self.count[entry]
+        odd = np.flatnonzero(~self._same(entry, data, begin, end))
+        pool = self.ids.data
+        if len(odd):
+            counts, ids = make(odd)
+            start[odd], count[odd] = self.ids.size + np.cumsum(counts) - counts, counts
+            pool = np.concatenate([pool[: self.ids.size], ids.astype(self.dtype)])
+        found = gather(pool, start, count)
+        if len(self.keys) > self.limit or self.ids.size > 8 * self.limit:
             self.clear()
-        return count, ids
+        return count, found
+
+    def _same(self, entry: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the stretches hold the very bytes of their entries."""
+        length = end - begin
+        same = self.length[entry] == length
+        some = np.flatnonzero(same & (length > 0))
+        length = length[some]
+        whole = len(some) and length.sum() == len(data) and np.array_equal(begin[some][1:], end[some][:-1])
+        want = data if whole else gather(data, begin[some], length)
+        differ = np.flatnonzero(gather(self.bytes.data, self.place[entry[some]], length) != want)
+        if len(differ):
+            same[some[np.searchsorted(np.cumsum(length), differ, "right")]] = False
+        return same
 
 
 class Encoder:
@@ -245,7 +292,7 @@ class Encoder:
             count, ids = self._stretches(data, starts, ends)
             return np.add.reduceat(count, np.cumsum(sizes) - sizes), ids
 
-        return self.chunks.look_up(keys, make)
+        return self.chunks.look_up(keys, data, begin, end, make)
 
     def _stretches(self, data, begin, end):
         raw = data.tobytes()
@@ -254,7 +301,7 @@ class Encoder:
             pieces = [raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())]
             return self._library(pieces)
 
-        return self.stretches.look_up(self.hash(data, begin, end), make)
+        return self.stretches.look_up(self.hash(data, begin, end), data, begin, end, make)
 
     def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of stretches; those that start at a border go in one call."""

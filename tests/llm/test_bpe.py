@@ -84,3 +84,26 @@ def test_round_trip(spark, make_docs, tokenizer, own):
         assert rows[n]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[n]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.round_trip(docs.limit(0), tokenizer).count() == 0
+
+
+def thue_morse(size, letters="ab"):
+    """Text and mirror whose sums modulo 2^64 are equal for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+@pytest.mark.parametrize("chunked", [True, False])
+def test_texts_with_equal_hashes(tokenizer, size, chunked):
+    own = bpe.Encoder(tokenizer)
+    one, two = thue_morse(size)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    ends = np.array([size, 2 * size])
+    assert len(set(own.hash(data, ends - size, ends).tolist())) == 1
+    texts = [one, two, f"Say {one} and", f"Say {two} and", two, one, f"{two} {one}\n{two}", f"{one} {two}\n{one}"]
+    for _ in range(2):  # new, then remembered
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
+        ids, bounds = own.encode(data, starts, chunked)
+        for n, text in enumerate(texts):
+            assert ids[bounds[n] : bounds[n + 1]].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids

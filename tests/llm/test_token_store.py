@@ -67,3 +67,12 @@ def test_only_the_wanted_frames_are_read(spark, make_docs, tokenizer):
     own = bpe.Encoder(tokenizer)
     assert set(got) == {3, 17}
     assert list(got[17]) == own.tokenizer.encode(sentence(17, 400), add_special_tokens=False).ids + [0]
+
+
+def test_texts_with_equal_hashes(spark, make_docs, tokenizer):
+    from llm.test_bpe import thue_morse
+
+    texts = [*thue_morse(1024), *thue_morse(4096), *(f"x {t} y" for t in thue_morse(1024))]
+    docs = make_docs(texts).coalesce(1)
+    got = sorted(map(tuple, token_store.store_tokens(spark, docs, tokenizer).collect()))
+    assert got == expected(texts, list(range(len(texts))), tokenizer)
