@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from sluice import storage as folders
 from sluice.functions import paths
 from sluice.operators import sample, select
-from sluice.session import local_rows, new_scratch, pin
+from sluice.session import new_scratch, pin
 from sluice.sources import files
 from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.tables import SourceTable, folder_partitions, open_folder
@@ -99,14 +102,29 @@ def sample_copy(
     in the copy.
     """
     storage = storage or table.storage
+    rows = copied_rows(table, p, keys, method, chosen, before_sample, seed)
+    write_partitioned(rows, path, table.partition_columns, storage=storage)
+    return _result(spark, table, path, storage)
+
+
+def copied_rows(
+    table: SourceTable,
+    p: float = 1.0,
+    keys: Sequence[str] = (),
+    method: str = "md5",
+    chosen: DataFrame | None = None,
+    before_sample: Sequence[Callable[[DataFrame], DataFrame]] = (),
+    seed: int = 0,
+) -> DataFrame:
+    """The rows that a copy of the chosen partitions holds."""
     rows = table.frame
     if chosen is not None and table.partition_columns:
         rows = select.rows_of(rows, chosen, table.partition_columns, table.layout)
-    rows = sample.bernoulli_sample(rows, p, keys, method, seed)
+    if p < 1:
+        rows = sample.bernoulli_sample(rows, p, keys, method or "md5", seed)
     for hook in before_sample:
         rows = hook(rows)
-    write_partitioned(rows.select(*table.frame.columns), path, table.partition_columns, storage=storage)
-    return _result(spark, table, path, storage)
+    return rows.select(*table.frame.columns)
 
 
 def new_partitions(
@@ -121,19 +139,24 @@ def new_partitions(
 # Names of the partitions that a copy has taken in, also those without a sampled row. Scans
 # skip names that start with an underscore.
 RECORD = "_partitions"
+_RECORDED = "name string, fingerprint string, taken long"
 
 
 def record_partitions(spark: SparkSession, path: str, partitions: DataFrame) -> None:
-    """Note partitions (``name``) as taken into the copy at ``path``."""
-    partitions.select("name").write.parquet(f"{path}/{RECORD}/entry-{uuid.uuid4().hex}")
+    """Note partitions (``name``, and their ``fingerprint`` if known) as taken into the copy at ``path``."""
+    known = F.col("fingerprint") if "fingerprint" in partitions.columns else F.lit(None)
+    rows = partitions.select("name", known.cast("string").alias("fingerprint"), F.lit(time.time_ns()).alias("taken"))
+    rows.write.parquet(f"{path}/{RECORD}/entry-{uuid.uuid4().hex}")
 
 
 def recorded_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the partitions that the copy at ``path`` has taken in."""
+    """``name, fingerprint`` of the partitions that the copy at ``path`` has taken in, as noted last."""
     if not folders.exists(spark, f"{path}/{RECORD}"):
-        return spark.createDataFrame([], "name string")
+        return spark.createDataFrame([], "name string, fingerprint string")
     entries = [f"{path}/{RECORD}/{name}" for name in folders.child_names(spark, f"{path}/{RECORD}")]
-    return spark.read.schema("name string").parquet(*entries).distinct()
+    noted = spark.read.schema(_RECORDED).parquet(*entries)
+    last = F.max(F.struct(F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "fingerprint")).alias("last")
+    return noted.groupBy("name").agg(last).select("name", "last.fingerprint")
 
 
 def incremental_copy(
@@ -158,16 +181,12 @@ def incremental_copy(
     target = SourceTable(table.name, table.frame, table.partition_columns, location=path)
     missing = source_partitions
     if folders.exists(spark, path):
-        missing = missing.join(recorded_partitions(spark, path), "name", "left_anti")
+        missing = missing.join(recorded_partitions(spark, path).select("name"), "name", "left_anti")
         missing = new_partitions(missing, folder_partitions(spark, target), columns)
     missing = pin(missing.select(*source_partitions.columns), "missing")
     if missing.isEmpty():
         return missing
-    rows = select.rows_of(table.frame, missing, columns, table.layout)
-    rows = sample.bernoulli_sample(rows, p, keys, method)
-    for hook in before_sample:
-        rows = hook(rows)
-    rows = rows.select(*table.frame.columns)
+    rows = copied_rows(table, p, keys, method, missing, before_sample)
     moves = folders.renames_in_place(spark, path)
     write_partitioned(
         rows,
@@ -182,6 +201,52 @@ def incremental_copy(
     return missing
 
 
+_SWAPPED = 1_000
+_SWAP_THREADS = 16
+
+
+def replace_partitions(
+    spark: SparkSession, path: str, partitions: DataFrame, write: Callable[[DataFrame, str], object]
+) -> None:
+    """Put new contents in place of some partitions (``name``) of a copy; no other one is touched.
+
+    ``write(partitions, folder)`` lays them out in a staging folder first. Each old folder is then
+    moved aside and its new one into its place; one that has no rows any more only goes. Names come
+    to the driver in batches, as moves are metadata calls. On object stores, which cannot move
+    folders, the old ones are deleted and the new ones written in place; as a partition is
+    recorded only after that, a run that broke off does it again.
+    """
+    names = (row["name"] for row in partitions.select("name").toLocalIterator())
+    if not folders.renames_in_place(spark, path):
+        while batch := list(itertools.islice(names, _SWAPPED)):
+            folders.remove_all(spark, [f"{path}/{name}" for name in batch])
+        write(partitions, path)
+        return
+    staging, aside = staging_path(path), staging_path(path)
+
+    def swap(name: str) -> None:
+        old, new = f"{path}/{name}", f"{staging}/{name}"
+        had = folders.exists(spark, old)
+        if had:
+            folders.rename(spark, old, f"{aside}/{name}")
+        if folders.exists(spark, new):
+            try:
+                folders.rename(spark, new, old)
+            except BaseException:
+                if had:
+                    folders.rename(spark, f"{aside}/{name}", old)
+                raise
+
+    try:
+        write(partitions, staging)
+        with ThreadPoolExecutor(_SWAP_THREADS) as pool:
+            while batch := list(itertools.islice(names, _SWAPPED)):
+                list(pool.map(swap, batch))
+    finally:
+        drop_staging(spark, staging)
+        drop_staging(spark, aside)
+
+
 def staging_path(target: str) -> str:
     """A staging folder next to the target, recognisable by its name."""
     head, _, tail = target.rstrip("/").rpartition("/")
@@ -337,11 +402,9 @@ def full_copy_bytes(
     if chosen is None or not table.partition_columns:
         report = copy_files(spark, table.location, path)
     else:
-        # A registered partition without a folder is an empty one.
-        starts = [(r["location"], r["name"]) for r in chosen.select("location", "name").toLocalIterator()]
-        there = set(folders.existing(spark, [path for path, _ in starts]))
-        starts = local_rows(spark, [s for s in starts if s[0] in there], "path string, relative string")
-        report = copy_listed(spark, files.walk_folders(starts), path)
+        # A registered partition without a folder is an empty one: nothing is listed there.
+        starts = chosen.select(F.col("location").alias("path"), F.col("name").alias("relative"))
+        report = copy_listed(spark, files.walk_folders(starts, missing_ok=True), path)
     whole(report, table.name)
     folders.make_dir(spark, path)
     return _result(spark, table, path, table.storage)

@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,88 @@ def register_copy(
         spark.sql(f"MSCK REPAIR TABLE {quoted_name(name)}")
 
 
+# --- definitions that changed -------------------------------------------------------------
+
+# Each type reads what was written as one before it in its row.
+_WIDER = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+
+
+class DefinitionDrift(ValueError):
+    """A source whose columns changed in a way that its copy cannot follow."""
+
+
+def _widens(old: T.DataType, new: T.DataType) -> bool:
+    if isinstance(old, T.DecimalType) and isinstance(new, T.DecimalType):
+        return new.scale == old.scale and new.precision > old.precision
+    names = old.simpleString(), new.simpleString()
+    return any(row.index(names[0]) < row.index(names[1]) for row in _WIDER if names[0] in row and names[1] in row)
+
+
+def definition_changes(
+    old: T.StructType, new: T.StructType, columns: Sequence[str]
+) -> tuple[list[T.StructField], list[T.StructField]]:
+    """Columns that came new, and those whose type got wider; any other change is an error.
+
+    The order of columns and their being nullable do not matter.
+    """
+    before = {f.name.lower(): f for f in old}
+    after = {f.name.lower(): f for f in new}
+    parts = {c.lower() for c in columns}
+    gone = [f.name for f in old if f.name.lower() not in after]
+    if gone:
+        raise DefinitionDrift(f"columns are gone from the source: {', '.join(gone)}")
+    added = [f for f in new if f.name.lower() not in before]
+    if any(f.name.lower() in parts for f in added):
+        raise DefinitionDrift("the source is partitioned by other columns")
+    widened = []
+    for f in new:
+        kept = before.get(f.name.lower())
+        if kept is None or kept.dataType.simpleString() == f.dataType.simpleString():
+            continue
+        if f.name.lower() in parts or not _widens(kept.dataType, f.dataType):
+            raise DefinitionDrift(
+                f"{f.name} was {kept.dataType.simpleString()} and is {f.dataType.simpleString()} at the source"
+            )
+        widened.append(f)
+    return added, widened
+
+
+def check_definition(spark: SparkSession, name: str, schema: T.StructType, columns: Sequence[str]) -> None:
+    """An error if the registered table cannot take on the schema."""
+    if spark.catalog.tableExists(quoted_name(name)):
+        definition_changes(spark.table(quoted_name(name)).schema, schema, columns)
+
+
+def adapt_definition(
+    spark: SparkSession, name: str, schema: T.StructType, columns: Sequence[str], anew: bool = False
+) -> list[str]:
+    """Let a registered copy take on a changed schema; returns the clauses for the log.
+
+    New columns are added. A wider type needs the table to be defined again, by the caller: it is
+    dropped here, its files stay and its partitions are found again. ``anew`` does so for any
+    change, for a copy that was replaced as a whole.
+    """
+    if not spark.catalog.tableExists(quoted_name(name)):
+        return []
+    try:
+        added, widened = definition_changes(spark.table(quoted_name(name)).schema, schema, columns)
+    except DefinitionDrift:
+        if not anew:
+            raise
+        added, widened = [], list(schema)
+    if widened:
+        spark.sql(f"DROP TABLE {quoted_name(name)}")
+        return [DROPPED]
+    if not added:
+        return []
+    clause = f"add columns ({_columns_ddl(T.StructType(added))})"
+    spark.sql(f"ALTER TABLE {quoted_name(name)} {clause}")
+    return [clause]
+
+
+DROPPED = "drop"
+
+
 def add_partitions(
     spark: SparkSession, name: str, partitions: DataFrame, columns: Sequence[str], location: str
 ) -> int:
@@ -129,9 +212,12 @@ def table_statements(
     storage: StorageFormat = PARQUET,
     comment: str | None = None,
     properties: Mapping[str, str] | None = None,
+    adapted: Sequence[str] = (),
 ) -> DataFrame:
     """Replayable statements of a copied table: database, use, table, one per partition.
 
+    ``adapted`` are the clauses by which an older definition of it was brought up to date.
+
     ``location`` is a partition's folder. Folders appear below ``$LOCATION``, so that the
     statements hold wherever the data is attached from.
     """
@@ -145,6 +231,8 @@ def table_statements(
             (DATABASE, "", f"create database if not exists `{database}`;"),
             (USE, "", f"use `{database}`;"),
             (TABLE, "", f"{created};"),
+            *[(USE, c, f"drop table if exists `{table}`;") for c in adapted if c == DROPPED],
+            *[(TABLE, c, f"alter table `{table}` {c};") for c in adapted if c != DROPPED],
         ],
         "ordinal int, item string, statement string",
     )
@@ -243,6 +331,9 @@ def _batched(rows: Iterable) -> Iterator[tuple[int, str]]:
             yield ordinal, head + "".join(row["statement"].rstrip("; ")[len(head) :] for row in batch)
 
 
+_THERE = ("COLUMN_ALREADY_EXISTS", "FIELD_ALREADY_EXISTS", "FIELDS_ALREADY_EXISTS")
+
+
 def attach(spark: SparkSession, log: DataFrame, base: str, database: str | None = None) -> int:
     """Run a log's table statements here; the data stays where it is.
 
@@ -257,9 +348,14 @@ def attach(spark: SparkSession, log: DataFrame, base: str, database: str | None
                 if ordinal == DATABASE:
                     create_database(spark, database)
                     continue
-                if ordinal == USE:
+                if ordinal == USE and text.lower().startswith("use "):
                     text = f"use {quoted_name(database)}"
-            spark.sql(text)
+            try:
+                spark.sql(text)
+            except AnalysisException as error:
+                # A table that was created by a later definition has the columns already.
+                if error.getCondition() not in _THERE or " add columns (" not in text:
+                    raise
             done += 1
     finally:
         spark.catalog.setCurrentDatabase(current)

@@ -286,6 +286,14 @@ def statements() -> dict[str, str]:
     sql["rerun_adds_nothing"] = f"""SELECT day, hour, count(*) AS row_count,
         (SELECT count(*) FROM {EVENT_PARTS}) AS taken_in, CAST(0 AS BIGINT) AS added
         FROM {EVENTS} WHERE {_sampled('0.03', 'event_id')} GROUP BY ALL"""
+    sql["rerun_changed_partition"] = f"""SELECT day, hour, row_count * (CASE WHEN day = '2024-01-15' THEN 2 ELSE 1 END)
+        AS row_count, CASE WHEN day = '2024-01-15' THEN 'changed' ELSE '' END AS change FROM {EVENT_PARTS}"""
+    sql["rerun_new_hook"] = f"""SELECT event_id, '#' AS event_type, day, hour FROM {EVENTS}
+        WHERE {_sampled('0.3', 'event_id')}"""
+    sql["rerun_new_column"] = f"""SELECT event_id, CASE WHEN day >= '2024-01-15' THEN event_type END AS event_type,
+        day, hour FROM {EVENTS}"""
+    sql["rerun_byte_copy"] = f"""SELECT day, hour, row_count * (CASE WHEN day = '2024-01-03' THEN 2 ELSE 1 END)
+        AS row_count, CAST(0 AS BIGINT) AS odd_files FROM {EVENT_PARTS}"""
     sql["moved_partition"] = (
         f"SELECT order_month, row_count, true AS has_bytes, true AS folder_gone FROM {ORDER_PARTS}"
     )

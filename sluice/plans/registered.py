@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -555,6 +556,99 @@ def q_rerun_adds_nothing(spark, folder):
     return _with_scalar(counted, again.agg(F.count("*").alias("added")))
 
 
+_NEW_DAY = "2024-01-15"
+
+
+def _grown(spark, folder, first, second, change, policy=CopyPolicy(sample_threshold=0, sample_keys=KEYS)):
+    """Laid-out event hours, copied, changed by ``change(laid)``, and copied again."""
+    source = table(spark, folder, "events")
+    laid = copy.full_copy(spark, replace(source, frame=first(source.frame)), new_scratch(spark, "grown"))
+    database = _database(spark)
+    target = runs.RunTarget(f"{new_scratch(spark, 'rerun')}/data", database)
+    result = None
+    for step in (lambda t: t, lambda t: change(t) or second(t)):
+        laid = step(laid)
+        laid = open_folder(spark, "events", laid.location, laid.frame.schema, laid.partition_columns)
+        result = runs.copy_tables(spark, {"events": laid}, [TableSpec("events", sample_prob=1.0)], target, policy)
+        if result.errors:
+            raise RuntimeError(str(result.errors))
+    return laid, target, result
+
+
+def q_rerun_changed_partition(spark, folder):
+    """The hours of one day get their rows twice; only these are written again, and read so."""
+
+    def double(laid: SourceTable) -> None:
+        rows = laid.frame.where(F.col("day") == _NEW_DAY)
+        copy.write_partitioned(rows, laid.location, laid.partition_columns, mode="append")
+
+    same = lambda x: x
+    _, target, result = _grown(spark, folder, same, same, double)
+    copied = spark.table(target.table_of("events")).groupBy("day", "hour").agg(F.count("*").alias("row_count"))
+    name = paths.partition_name(["day", "hour"])
+    return copied.join(result.changes["events"].withColumnRenamed("name", "at"), name == F.col("at"), "left").select(
+        "day", "hour", "row_count", F.coalesce("change", F.lit("")).alias("change")
+    )
+
+
+def q_rerun_new_hook(spark, folder):
+    """A sample without a hook, then with one that masks: no row stays as it was."""
+
+    def mask(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("event_type", F.lit("#"))
+
+    root, database = new_scratch(spark, "rerun"), _database(spark)
+    target = runs.RunTarget(f"{root}/data", database)
+    policy = CopyPolicy(sample_threshold=0, sample_keys=KEYS)
+    for before in ([], [mask]):
+        sources = {"events": table(spark, folder, "events")}
+        result = runs.copy_tables(spark, sources, [TableSpec("events", sample_prob=0.3)], target, policy, before)
+        if result.errors:
+            raise RuntimeError(str(result.errors))
+    return spark.table(f"{database}.events").select("event_id", "event_type", "day", "hour")
+
+
+def q_rerun_new_column(spark, folder):
+    """A column and half of the days come after the first run: the copy has both, older rows are null there."""
+    events = table(spark, folder, "events").frame
+    late = F.col("day") >= _NEW_DAY
+
+    def grow(laid: SourceTable) -> None:
+        copy.write_partitioned(events.where(late), laid.location, laid.partition_columns, mode="append")
+
+    _, target, _ = _grown(
+        spark,
+        folder,
+        lambda frame: frame.where(~late).drop("event_type"),
+        lambda laid: open_folder(spark, "events", laid.location, events.schema, laid.partition_columns),
+        grow,
+    )
+    return spark.table(target.table_of("events")).select("event_id", "event_type", "day", "hour")
+
+
+def q_rerun_byte_copy(spark, folder):
+    """Byte copies stay byte copies: after new and changed partitions, names and lengths are the source's."""
+    events = table(spark, folder, "events").frame
+    late = F.col("day") >= _NEW_DAY
+
+    def grow(laid: SourceTable) -> None:
+        copy.write_partitioned(events.where(late), laid.location, laid.partition_columns, mode="append")
+        again = laid.frame.where(F.col("day") == "2024-01-03")
+        copy.write_partitioned(again, laid.location, laid.partition_columns, mode="append")
+
+    policy = CopyPolicy(sample_threshold=0, byte_copy=True)
+    laid, target, _ = _grown(spark, folder, lambda frame: frame.where(~late), lambda x: x, grow, policy)
+    here, there = (
+        files.partition_folders(files.list_files(spark, at)).select("name", "files", "bytes")
+        for at in (laid.location, target.table_path("events"))
+    )
+    named = [files.list_files(spark, at).select("relative", "length") for at in (laid.location, target.table_path("events"))]
+    odd = named[0].exceptAll(named[1]).union(named[1].exceptAll(named[0])).agg(F.count("*").alias("odd_files"))
+    same = here.join(there, ["name", "files", "bytes"], "left_semi").select("name")
+    counts = spark.table(target.table_of("events")).groupBy("day", "hour").agg(F.count("*").alias("row_count"))
+    return _with_scalar(counts.join(same, same["name"] == paths.partition_name(["day", "hour"]), "left_semi"), odd)
+
+
 def q_moved_partition(spark, folder):
     """A registered table with one partition elsewhere: sizes, byte copy and cleanup see it."""
     laid = _laid_out(spark, table(spark, folder, "orders"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sluice import storage
 from sluice.functions import paths
+from sluice.functions.ddl import quoted_name
 from sluice.model import (
     FAILED,
     FINISHED,
@@ -29,7 +30,7 @@ from sluice.model import (
     TableSpec,
     UnresolvedRequest,
 )
-from sluice.operators import copy, ledger, register, sample, select
+from sluice.operators import changes, copy, ledger, register, sample, select
 from sluice.operators.hooks import AfterCopy, BeforeSample, CopyContext
 from sluice.session import local_rows, pin
 from sluice.sources import files
@@ -80,6 +81,8 @@ class RunResult:
     modes: dict[str, str] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     ledger_rows: list[tuple] = field(default_factory=list)
+    #: Per table that was copied again: ``name, change`` of its partitions since then.
+    changes: dict[str, DataFrame] = field(default_factory=dict)
 
     def report(self, spark: SparkSession) -> DataFrame:
         return ledger.report(local_rows(spark, self.ledger_rows, LEDGER_SCHEMA))
@@ -202,7 +205,9 @@ def copy_tables(
         chosen, decision = resolved[name], decisions[name]
         path = target.table_path(name)
         try:
-            done = _copy_table(spark, table, path, chosen, decision, policy, before_sample)
+            done, changed, anew = _copy_table(spark, table, path, chosen, decision, policy, before_sample, target)
+            if changed is not None:
+                result.changes[name] = changed
             context = CopyContext(spark, table, done, decision["mode"])
             for hook in after_copy:
                 hook(context)
@@ -210,13 +215,13 @@ def copy_tables(
             if chosen is not None and not moved:
                 # Folders of written rows are named after the typed values.
                 chosen = chosen.withColumn("name", paths.partition_name(table.partition_columns))
-            _register(spark, table, done, chosen, decision["mode"], target)
+            _register(spark, table, done, chosen, decision["mode"], target, anew)
         except Exception as error:  # a table's failure is recorded, the run goes on
             result.errors[name] = f"{type(error).__name__}: {error}"
             note((name, FAILED, time.monotonic() - started, str(error)))
             return
         result.tables[name], result.modes[name] = done, decision["mode"]
-        note((name, FINISHED, time.monotonic() - started, None))
+        note((name, FINISHED, time.monotonic() - started, _kept_text(result.changes.get(name), policy)))
 
     side_by_side(copy_one, list(resolved))
     for source in loose_files:
@@ -229,65 +234,105 @@ def copy_tables(
     return result
 
 
-def _request(table: SourceTable, decision, policy: CopyPolicy) -> dict:
+def _kept_text(changed: DataFrame | None, policy: CopyPolicy) -> str | None:
+    """What the ledger says of partitions that changed and stayed as they are."""
+    if changed is None or policy.overwrite_if_exists:
+        return None
+    count = changed.where(F.col("change") == changes.CHANGED).count()
+    return f"{count} partitions changed at the source and stay as overwriting is off" if count else None
+
+
+def _request(table: SourceTable, decision, policy: CopyPolicy, before_sample: Sequence[BeforeSample] = ()) -> dict:
     """What makes the rows of a copy: two runs with another one do not mix.
 
-    A sample without key columns takes all columns with comparable text as the key, so it
+    Hooks are a part of it, as they change the rows of a sample. A sample without key columns takes all columns with comparable text as the key, so it
     too is the same in every run; ``rand`` is taken only when asked for.
     """
     if decision["mode"] == FULL:
-        return {"mode": FULL, "p": 1.0, "keys": [], "method": ""}
+        return {"mode": FULL, "p": 1.0, "keys": [], "method": "", "hooks": []}
     keys = list(policy.sample_keys.get(table.name, ()))
     if not keys and policy.sample_method != "rand":
         keys = [f.name for f in table.frame.schema if isinstance(f.dataType, T.AtomicType)]
-    return {"mode": SAMPLE, "p": decision["probability"], "keys": keys, "method": policy.sample_method}
+    return {
+        "mode": SAMPLE,
+        "p": decision["probability"],
+        "keys": keys,
+        "method": policy.sample_method,
+        "hooks": [changes.identity(hook) for hook in before_sample],
+    }
 
 
-def _earlier_request(spark, marker: str) -> dict | None:
+def _earlier_request(spark, marker: str) -> tuple[dict | None, str | None]:
+    """The request a copy was made by, and the fingerprint of the files it was made from."""
     text = storage.read_text(spark, marker)
-    return json.loads(text) if text else None
+    noted = json.loads(text) if text else None
+    return noted, noted.pop("source", None) if noted else None
 
 
-def _copy_table(spark, table, path, chosen, decision, policy, before_sample) -> SourceTable:
+def _copy_table(spark, table, path, chosen, decision, policy, before_sample, target):
     """Make, replace or complete the copy of one table.
 
-    A repeated run brings new partitions only and leaves the others as they are. One with
-    another mode, probability, key or method replaces the copy if overwriting is on, and is
-    an error otherwise.
+    A repeated run brings new partitions, and puts those that changed at the source in place of
+    the old ones if overwriting is on; others are not touched. One with another mode,
+    probability, key, method or hook replaces the copy if overwriting is on, and is an error
+    otherwise. Returns the copy, what changed since the last run, and whether all of it is new.
     """
-    request = _request(table, decision, policy)
-    if decision["mode"] == FULL and policy.byte_copy and table.location is not None:
-        write = lambda to: copy.full_copy_bytes(spark, table, to, chosen)
-    elif decision["mode"] == FULL:
-        write = lambda to: copy.full_copy(spark, table, to, chosen)
-    else:
-        write = lambda to: copy.sample_copy(
-            spark,
-            table,
-            to,
-            request["p"],
-            request["keys"],
-            chosen,
-            request["method"],
-            before_sample=before_sample,
-        )
+    request = _request(table, decision, policy, before_sample)
+    columns = list(table.partition_columns)
+    moved = decision["mode"] == FULL and policy.byte_copy and table.location is not None
+    hooks = before_sample if decision["mode"] == SAMPLE else ()
+
+    def write(to: str, wanted: DataFrame | None) -> None:
+        if moved:
+            copy.full_copy_bytes(spark, table, to, wanted)
+        elif decision["mode"] == FULL:
+            copy.full_copy(spark, table, to, wanted)
+        else:
+            copy.sample_copy(
+                spark, table, to, request["p"], request["keys"], wanted, request["method"], before_sample=hooks
+            )
+
+    def mark(to: str, read: str | None) -> None:
+        storage.write_text(spark, f"{to}/{COMPLETE}", json.dumps(request | {"source": read}))
+
+    # Taken before anything is copied: what changes meanwhile counts as changed.
+    read = changes.source_files(table.frame) if table.location is None and columns else None
 
     def publish(to: str) -> None:
-        write(to)
+        write(to, chosen)
         if chosen is not None:
             copy.record_partitions(spark, to, chosen)
-        storage.write_text(spark, f"{to}/{COMPLETE}", json.dumps(request))
+        mark(to, read)
 
     marker = f"{path}/{COMPLETE}"
     done = storage.exists(spark, marker)
-    same = done and _earlier_request(spark, marker) == request
+    earlier, was = _earlier_request(spark, marker) if done else (None, None)
+    same = done and earlier == request
     if done and not same and not policy.overwrite_if_exists:
         raise ValueError(f"{path} holds a copy by another request; it stays as overwriting is off")
-    if same and table.partition_columns:
-        hooks = before_sample if decision["mode"] == SAMPLE else ()
-        copy.incremental_copy(
-            spark, table, path, chosen, request["p"], request["keys"], request["method"] or "md5", hooks
-        )
+    found = None
+    if same and columns:
+        register.check_definition(spark, target.table_of(table.name), table.frame.schema, columns)
+        found = _changes(spark, table, path, chosen, request, hooks, read is not None and read == was)
+        new = _only(chosen, found, changes.ADDED)
+        if not new.isEmpty():
+            if moved:
+                write(path, new)
+                copy.record_partitions(spark, path, new)
+            else:
+                copy.incremental_copy(
+                    spark, table, path, new, request["p"], request["keys"], request["method"] or "md5", hooks
+                )
+        old = _only(chosen, found, changes.CHANGED)
+        if policy.overwrite_if_exists and not old.isEmpty():
+            typed = old if moved else old.withColumn("name", paths.partition_name(columns))
+            into = pin(typed, "changed")
+            copy.replace_partitions(
+                spark, path, into, lambda some, to: _rewrite(spark, table, to, some, moved, request, hooks)
+            )
+            copy.record_partitions(spark, path, old)
+        if policy.overwrite_if_exists or not found.where(F.col("change") == changes.CHANGED).count():
+            mark(path, read)
     elif policy.overwrite_if_exists or not done:
         if storage.renames_in_place(spark, path):
             copy.staged_publish(spark, publish, path, overwrite=True)
@@ -296,30 +341,80 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample) ->
             # copy is not taken for a whole one, and the next run starts it again.
             storage.remove(spark, path)
             publish(path)
-    return open_folder(
-        spark, table.name, path, table.frame.schema, table.partition_columns, table.storage
-    )
+    copied = open_folder(spark, table.name, path, table.frame.schema, table.partition_columns, table.storage)
+    return copied, found, not same
+
+
+def _only(chosen: DataFrame, found: DataFrame, change: str) -> DataFrame:
+    """The chosen partitions with a change, pinned."""
+    return pin(chosen.join(found.where(F.col("change") == change).select("name"), "name", "left_semi"), change)
+
+
+def _rewrite(spark, table, to: str, some: DataFrame, moved: bool, request: dict, hooks) -> None:
+    """Rows or files of some partitions, laid out below a folder that may hold others."""
+    if moved:
+        copy.full_copy_bytes(spark, table, to, some)
+        return
+    rows = copy.copied_rows(table, request["p"], request["keys"], request["method"], some, hooks)
+    cluster = table.location is None or request["p"] < 1
+    copy.write_partitioned(rows, to, table.partition_columns, "append", cluster, table.storage)
 
 
-def _register(spark, table, done, chosen, mode, target: RunTarget) -> None:
+def _changes(spark, table, path, chosen, request, hooks, unread: bool) -> DataFrame:
+    """``name, change`` of the chosen partitions and those of the copy, pinned.
+
+    Laid-out partitions are told by their files. Of other tables the rows are compared, unless no
+    file of them has changed, or the sample would not be the same twice.
+    """
+    taken = copy.recorded_partitions(spark, path)
+    if table.location is not None:
+        return pin(changes.partition_changes(chosen, taken), "changes")
+    columns = list(table.partition_columns)
+    here = chosen.select("name", F.lit("").alias("fingerprint"))
+    found = changes.partition_changes(here, taken.select("name", F.lit("").alias("fingerprint")))
+    if unread or request["method"] == "rand":
+        return pin(found, "changes")
+    both = pin(chosen.join(taken.select("name"), "name", "left_semi"), "in-both")
+    source = copy.copied_rows(table, request["p"], request["keys"], request["method"], both, hooks)
+    copied = open_folder(spark, table.name, path, table.frame.schema, table.partition_columns, table.storage)
+    copied = select.rows_of(copied.frame, both, columns)
+    other = pin(changes.changed_rows(source, copied, columns), "changed-rows")
+    # Names of the request may be spelled otherwise than those of typed values.
+    typed = both.select("name", paths.partition_name(columns).alias("typed"))
+    changed = typed.join(other.withColumnRenamed("name", "typed"), "typed", "left_semi")
+    return pin(found.union(changed.select("name", F.lit(changes.CHANGED).alias("change"))), "changes")
+
+
+def _register(spark, table, done, chosen, mode, target: RunTarget, anew: bool = True) -> None:
     columns = list(table.partition_columns)
     database, _, short = target.table_of(table.name).partition(".")
+    name = f"{database}.{short}"
     schema = table.frame.schema
     register.create_database(spark, database)
     # A whole copy registers every chosen partition, empty ones too; a sample what it has.
     whole = bool(columns) and mode == FULL
     definition = {"comment": table.comment, "properties": table.properties}
-    register.register_copy(
-        spark, f"{database}.{short}", schema, columns, done.location, table.storage, not whole, **definition
-    )
+    known = None
+    if columns and not anew and spark.catalog.tableExists(quoted_name(name)):
+        known = pin(catalog_partitions(spark, name), "known-partitions")
+    adapted = register.adapt_definition(spark, name, schema, columns, anew)
+    register.register_copy(spark, name, schema, columns, done.location, table.storage, not whole, **definition)
+    again = known is not None and register.DROPPED in adapted
+    if again:
+        register.add_partitions(spark, name, known, columns, done.location)
     if whole:
-        register.add_partitions(spark, f"{database}.{short}", chosen, columns, done.location)
+        register.add_partitions(spark, name, chosen, columns, done.location)
+    if columns:
+        # Files of a known partition may have been replaced.
+        spark.catalog.refreshTable(quoted_name(name))
     if target.log is not None:
         nothing = local_rows(spark, [], "name string")
         logged = copied_partitions(spark, done, chosen, mode) if columns else nothing
+        if again:
+            logged = logged.union(known.select("name")).distinct()
         location = F.concat(F.lit(f"/{database}/{short}/"), F.col("name"))
         statements = register.table_statements(
-            logged, database, short, schema, columns, location, table.storage, **definition
+            logged, database, short, schema, columns, location, table.storage, **definition, adapted=adapted
         )
         register.append_log(statements, target.log)
 

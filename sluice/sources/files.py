@@ -15,27 +15,36 @@ from sluice.functions import paths
 from sluice.session import local_rows, pin
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path: str, pattern: str | None = None, times: bool = False) -> DataFrame:
     """``path, relative, length`` of the data files below a folder (or of one file).
 
-    As for any scan, empty files and names that start with ``_`` or ``.`` do not count.
-    Only the length column of the scan is read. Spark packs listing tasks by file size
+    With ``times`` also ``modified``. As for any scan, empty files and names that start with
+    ``_`` or ``.`` do not count. Only these columns of the scan are read. Spark packs listing tasks by file size
     although no bytes are read, so tasks are merged to a few per core.
     """
     base = storage.qualify(spark, path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    listing = reader.load(path).select("path", "length")
+    stamp = [F.col("modificationTime").alias("modified")] if times else []
+    listing = reader.load(path).select("path", "length", *stamp)
     return listing.select(
         "path",
         F.when(F.col("path") == base, F.regexp_extract("path", "[^/]*$", 0))
         .otherwise(paths.path_below(F.col("path"), base))
         .alias("relative"),
         "length",
+        *(["modified"] if times else []),
     ).coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
+def list_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``path, length, modified`` of the data files below some folders that exist."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listing = reader.load(folders).select("path", "length", F.col("modificationTime").alias("modified"))
+    return listing.coalesce(4 * spark.sparkContext.defaultParallelism)
+
+
 def uri_opener() -> Callable:
     """A function from URI to Arrow file system and path, for use on executors.
 
@@ -56,7 +65,7 @@ def uri_opener() -> Callable:
 _WALK_SCHEMA = "path string, relative string, folder boolean, length long"
 
 
-def _lister(pattern: str | None, budget: int = 10_000, batch: int = 10_000) -> Callable:
+def _lister(pattern: str | None, budget: int = 10_000, batch: int = 10_000, missing_ok: bool = False) -> Callable:
     """Lists folders, and folders below them until ``budget`` names are found.
 
     What is left then is handed back as folders, to be spread over tasks.
@@ -69,6 +78,8 @@ def _lister(pattern: str | None, budget: int = 10_000, batch: int = 10_000) -> C
         system, place = open_uri(path)
         info = system.get_file_info(place)
         if info.type == fs.FileType.NotFound:
+            if missing_ok:
+                return
             raise FileNotFoundError(path)
         if info.is_file:
             yield path, relative or info.base_name, False, info.size
@@ -111,9 +122,13 @@ def walk_files(spark: SparkSession, base: str, pattern: str | None = None) -> Da
     return walk_folders(start, pattern)
 
 
-def walk_folders(level: DataFrame, pattern: str | None = None, budget: int = 10_000) -> DataFrame:
+def walk_folders(
+    level: DataFrame, pattern: str | None = None, budget: int = 10_000, missing_ok: bool = False
+) -> DataFrame:
     """The same below many folders, each given as ``path`` and its ``relative`` place.
 
+    A folder that is not there is an error, or empty with ``missing_ok``.
+
     Executors list, so the driver never holds the names. A small tree takes one job; of
     a large one each task hands back the folders it did not get to, for the next job.
     """
@@ -122,7 +137,8 @@ def walk_folders(level: DataFrame, pattern: str | None = None, budget: int = 10_
     found, folders = [nothing], level.count()
     while folders:
         tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
-        listed = pin(level.repartition(tasks, "path").mapInPandas(_lister(pattern, budget), _WALK_SCHEMA), "walk")
+        lister = _lister(pattern, budget, missing_ok=missing_ok)
+        listed = pin(level.repartition(tasks, "path").mapInPandas(lister, _WALK_SCHEMA), "walk")
         found.append(listed.where(~F.col("folder")).select("path", "relative", "length"))
         level = listed.where("folder").select("path", "relative")
         folders = level.count()

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
-from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice import storage
-from sluice.functions import paths
+from sluice.functions import fingerprints, paths
 from sluice.functions.ddl import partition_clause, quoted_name
 from sluice.model import SUMMARY_SCHEMA, PartitionSpec, UnresolvedRequest
-from sluice.session import local_rows
+from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files
 from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.layouts import Layout
@@ -148,22 +148,30 @@ def catalog_partitions(spark: SparkSession, name: str, spec: PartitionSpec | Non
 
 
 def folder_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
-    """Partition columns, ``name``, ``location``, ``files`` and ``bytes`` from the listing.
+    """Partition columns, ``name``, ``location``, ``files``, ``bytes`` and ``fingerprint`` from the listing.
 
     Folders are found without opening a data file. Columns below the partition level
     (nested folders) count to their partition.
     """
-    listing = files.list_files(spark, table.location)
+    listing = files.list_files(spark, table.location, times=True)
     columns = list(table.partition_columns)
     depth = len(columns)
     name = F.array_join(F.slice(F.split("relative", "/"), 1, depth), "/") if depth else F.lit("")
     location = F.regexp_extract("path", "^(.*/)" + "/".join(f"{c}=[^/]*" for c in columns), 0)
     folders = (
         listing.select(
-            name.alias("name"), (location if depth else F.lit(table.location)).alias("location"), "length"
+            name.alias("name"),
+            (location if depth else F.lit(table.location)).alias("location"),
+            F.array_join(F.slice(F.split("relative", "/"), depth + 1, 99), "/").alias("file"),
+            "length",
+            "modified",
         )
         .groupBy("name", "location")
-        .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+        .agg(
+            F.count("*").alias("files"),
+            F.sum("length").alias("bytes"),
+            fingerprints.of_files().alias("fingerprint"),
+        )
     )
     return folders.select(
         *[paths.partition_value(F.col("name"), c).cast(table.types[c]).alias(c) for c in columns],
@@ -171,6 +179,7 @@ def folder_partitions(spark: SparkSession, table: SourceTable) -> DataFrame:
         "location",
         "files",
         "bytes",
+        "fingerprint",
     )
 
 
@@ -180,54 +189,125 @@ def partition_location(spark: SparkSession, name: str, spec: PartitionSpec) -> s
     return next(r["data_type"] for r in rows if r["col_name"] == "Location")
 
 
-_CATALOG_THREADS = 16
+_PAGE = 10_000
+# Up to so many partitions their own folders are listed; for more the whole table's folder is.
+_FOLDERS = 2_000
+
+
+def catalog_pages(
+    spark: SparkSession, name: str, spec: PartitionSpec | None = None, page: int = _PAGE
+) -> Iterator[list[tuple]]:
+    """``(name, location)`` of all registered partitions, in pages.
+
+    The catalog is asked once for all of them, or for those below a partial spec, and each page
+    comes over as one text, so that the cost does not lie in single calls.
+    """
+    jvm, state = spark._jvm, spark._jsparkSession.sessionState()
+    identifier = state.sqlParser().parseTableIdentifier(quoted_name(name))
+    wanted = jvm.scala.Option.apply(
+        jvm.org.apache.spark.api.python.PythonUtils.toScalaMap(dict(spec)) if spec else None
+    )
+    found = state.catalog().listPartitions(identifier, wanted)
+    mapper = jvm.com.fasterxml.jackson.databind.ObjectMapper()
+    mapper.registerModule(getattr(getattr(jvm.com.fasterxml.jackson.module.scala, "DefaultScalaModule$"), "MODULE$"))
+    columns = open_catalog(spark, name).partition_columns
+    here = storage.qualify(spark, "/")
+    for low in range(0, found.size(), page):
+        rows = json.loads(mapper.writeValueAsString(found.slice(low, low + page)))
+        yield [(_name_of(columns, row["spec"]), _as_listed(row["storage"]["locationUri"], here)) for row in rows]
+
+
+def _as_listed(uri: str, here: str) -> str:
+    """A place as listings show it: decoded, without an empty authority, with a scheme."""
+    text = unquote(uri).replace(":///", ":/", 1).rstrip("/")
+    return here + text if text.startswith("/") else text
+
+
+def _name_of(columns: Sequence[str], values: Mapping[str, str | None]) -> str:
+    """A partition's name as the catalog lists it."""
+
+    def escaped(text: str) -> str:
+        return "".join(f"%{ord(c):02X}" if c in paths.ESCAPED_CHARACTERS or ord(c) < 32 or ord(c) == 127 else c for c in text)
+
+    folded = {k.lower(): v for k, v in values.items()}
+    return "/".join(f"{escaped(c)}={escaped(folded[c.lower()] or paths.NULL_PARTITION)}" for c in columns)
+
+
+def partition_places(spark: SparkSession, name: str) -> DataFrame:
+    """``name, location`` of all registered partitions, written page by page."""
+    schema = "name string, location string"
+    path = new_scratch(spark, "partition-places")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for rows in catalog_pages(spark, name):
+        local_rows(spark, rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def located_partitions(
     spark: SparkSession, table: SourceTable, chosen: DataFrame | None = None
 ) -> DataFrame:
-    """Partitions of a laid-out table, or the chosen ones, with ``location`` and ``bytes``.
+    """Partitions of a laid-out table, or the chosen ones, with ``location``, ``bytes`` and ``fingerprint``.
 
-    For a registered table these are the catalog's, wherever they lie, so partitions without
-    files count; only places and sizes of the chosen ones are asked for. For a folder tree
-    they are those that the listing shows.
+    For a registered table the places are the catalog's, wherever they lie, so partitions
+    without files count. The catalog is read in pages; sizes come from a distributed listing,
+    joined on the place. For a folder tree all come from the listing.
     """
     if not (table.registered and table.partition_columns):
         folders = folder_partitions(spark, table).drop("files")
         return folders if chosen is None else folders.join(chosen.select("name"), "name", "left_semi")
     columns = list(table.partition_columns)
-    listed = catalog_partitions(spark, table.name) if chosen is None else chosen
-    listed = listed.select(*columns, "name")
+    places = partition_places(spark, table.name)
+    if chosen is None:
+        values = [paths.partition_value(F.col("name"), c).cast(table.types[c]).alias(c) for c in columns]
+        listed = places.select(*values, "name", "location")
+    else:
+        listed = chosen.select(*columns, "name").join(places, "name", "left")
+    listed = pin(listed, "partition-places")
+    sizes = _sizes_below(spark, table, listed)
+    return listed.join(sizes, "location", "left").select(
+        *columns,
+        "name",
+        "location",
+        F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"),
+        F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
+    )
 
-    def place(row) -> tuple:
-        spec = dict(zip(columns, _values_of(row["name"])))
-        values = [row[c] for c in columns]
-        try:
-            location = partition_location(spark, table.name, spec)
-        except AnalysisException as error:
-            if error.getCondition() != "PARTITIONS_NOT_FOUND":
-                raise
-            return (*values, row["name"], None, 0)
-        return (*values, row["name"], location, storage.total_bytes(spark, location))
-
-    with ThreadPoolExecutor(_CATALOG_THREADS) as pool:
-        rows = list(pool.map(place, listed.collect()))
-    if any(row[-2] is None for row in rows):
-        # Folders spelled otherwise than the catalog shows their values (``month=02`` for 2).
-        at = {tuple(f[c] for c in columns): (f["location"], f["bytes"]) for f in folder_partitions(spark, table).collect()}
-        base = storage.qualify(spark, table.location)
-        rows = [
-            row if row[-2] is not None else (*row[:-2], *at.get(row[: len(columns)], (f"{base}/{row[-3]}", 0)))
-            for row in rows
-        ]
-    schema = T.StructType([*listed.schema.fields, T.StructField("location", T.StringType()), T.StructField("bytes", T.LongType())])
-    return local_rows(spark, rows, schema)
-
-
-def _values_of(name: str) -> list[str | None]:
-    """The values in a partition name."""
-    texts = [part.partition("=")[2] for part in name.split("/")]
-    return [None if text == paths.NULL_PARTITION else unquote(text) for text in texts]
+
+def _sizes_below(spark: SparkSession, table: SourceTable, listed: DataFrame) -> DataFrame:
+    """``location, bytes, fingerprint`` of the listed places that hold files.
+
+    Spark lists folders in tasks of its own. Few places are listed each, many by the table's
+    folder and those outside of it each.
+    """
+    own = listed.select("location")
+    base = storage.qualify(spark, table.location)
+    parts = []
+    if own.count() > _FOLDERS:
+        outside = own.where(~paths.is_below(F.col("location"), base))
+        if storage.exists(spark, base):
+            parts.append(files.list_files(spark, base, times=True))
+    else:
+        outside = own
+    rows = outside.toLocalIterator()
+    while page := [r["location"] for r in itertools.islice(rows, _FOLDERS)]:
+        there = storage.existing(spark, page)
+        parts.append(files.list_folders(spark, there)) if there else None
+    if not parts:
+        return spark.createDataFrame([], "location string, bytes long, fingerprint string")
+    depth = F.size(F.split("location", "/"))
+    deep = [r["depth"] for r in listed.select(depth.alias("depth")).distinct().collect()]
+    listing = functools.reduce(DataFrame.unionByName, [p.select("path", "length", "modified") for p in parts])
+    # A file belongs to the place that its path begins with, whatever folders lie between.
+    steps = F.split("path", "/")
+    places = F.transform(F.array(*[F.lit(d) for d in deep]), lambda d: F.array_join(F.slice(steps, F.lit(1), d), "/"))
+    found = listing.select("path", "length", "modified", F.explode(F.array_distinct(places)).alias("location"))
+    file = F.substr("path", F.length("location") + 2)
+    return (
+        found.select("location", file.alias("file"), "length", "modified")
+        .groupBy("location")
+        .agg(F.sum("length").alias("bytes"), fingerprints.of_files().alias("fingerprint"))
+        .join(listed.select("location").distinct(), "location", "left_semi")
+    )
 
 
 _FIXED_WIDTHS = {
