@@ -5,10 +5,9 @@ from __future__ import annotations
 import itertools
 import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +15,8 @@ from pyspark.sql import types as T
 from sluice import storage as folders
 from sluice.functions import paths
 from sluice.operators import sample, select
-from sluice.session import new_scratch, pin
+from sluice.operators.transfer import copy_listed, incomplete, whole
+from sluice.session import pin
 from sluice.sources import files
 from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.tables import SourceTable, folder_partitions, open_folder
@@ -289,57 +289,6 @@ def staged_publish(
 
 # --- byte copy --------------------------------------------------------------------------
 
-COPY_REPORT = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("target", T.StringType()),
-        T.StructField("expected", T.LongType()),
-        T.StructField("copied", T.LongType()),
-    ]
-)
-
-_CHUNK = 8 << 20
-
-
-def _copier(chunk: int = _CHUNK):
-    """The executor side of a byte copy."""
-    open_uri = files.uri_opener()
-
-    def copy_bytes(source: str, target: str) -> int:
-        # The target appears under its name only when complete, so a retried or
-        # speculative task neither leaves nor shows part of a file.
-        source_fs, source_path = open_uri(source)
-        target_fs, target_path = open_uri(target)
-        folder, _, name = target_path.rpartition("/")
-        part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-        target_fs.create_dir(folder, recursive=True)
-        total = 0
-        try:
-            with source_fs.open_input_stream(source_path) as reader:
-                with target_fs.open_output_stream(part) as writer:
-                    while data := reader.read(chunk):
-                        writer.write(data)
-                        total += len(data)
-            if target_fs.type_name == "local":
-                # A checksum of a file that was here before would no longer hold.
-                stale = f"{folder}/.{name}.crc"
-                if target_fs.get_file_info(stale).is_file:
-                    target_fs.delete_file(stale)
-            target_fs.move(part, target_path)
-        except BaseException:
-            if target_fs.get_file_info(part).is_file:
-                target_fs.delete_file(part)
-            raise
-        return total
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            copied = [copy_bytes(s, t) for s, t in zip(frame["source"], frame["target"])]
-            yield frame.assign(copied=copied)[["source", "target", "expected", "copied"]]
-
-    return batches
-
-
 def copy_files(
     spark: SparkSession,
     source_base: str,
@@ -351,44 +300,6 @@ def copy_files(
     return copy_listed(spark, files.walk_files(spark, source_base, pattern), target_base, overwrite)
 
 
-def copy_listed(
-    spark: SparkSession,
-    listing: DataFrame,
-    target_base: str,
-    overwrite: bool = True,
-    bytes_per_task: int = 1 << 30,
-    files_per_task: int = 1_000,
-) -> DataFrame:
-    """Copy listed files (``path, relative, length``) below a base.
-
-    Each file goes from storage to storage on an executor; only names and lengths travel
-    through Spark. Tasks are many and small, so that a folder with most of the bytes is
-    shared by all executors and a lost one repeats little. Without ``overwrite`` files
-    that exist stay as they are. Returns the report, one row per file, kept in the
-    scratch folder so that reading it twice does not copy twice.
-    """
-    target = folders.qualify(spark, target_base)
-    plan = listing.select(
-        F.col("path").alias("source"),
-        F.concat(F.lit(target + "/"), F.col("relative")).alias("target"),
-        F.col("length").alias("expected"),
-    )
-    if not overwrite and folders.exists(spark, target_base):
-        present = files.walk_files(spark, target_base).select(F.col("path").alias("target"))
-        plan = plan.join(present, "target", "left_anti").select("source", "target", "expected")
-    plan = pin(plan, "file-plan")
-    total = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("expected"), F.lit(0)).alias("size")).first()
-    tasks = max(
-        min(spark.sparkContext.defaultParallelism, total["n"]),
-        total["size"] // bytes_per_task + 1,
-        total["n"] // files_per_task + 1,
-    )
-    report = plan.repartition(tasks, "source").mapInPandas(_copier(), COPY_REPORT)
-    path = new_scratch(spark, "file-report")
-    report.write.parquet(path)
-    return spark.read.schema(COPY_REPORT).parquet(path)
-
-
 def full_copy_bytes(
     spark: SparkSession, table: SourceTable, path: str, chosen: DataFrame | None = None
 ) -> SourceTable:
@@ -420,19 +331,6 @@ def copy_through(spark: SparkSession, source_base: str, via: str, target_base: s
         drop_staging(spark, staging)
 
 
-def incomplete(report: DataFrame) -> DataFrame:
-    """Files whose copied size differs from the expected one."""
-    return report.where(F.col("copied") != F.col("expected"))
-
-
-def whole(report: DataFrame, name: str) -> DataFrame:
-    """The report of a copy, or an error if a file did not arrive whole."""
-    bad = incomplete(report).count()
-    if bad:
-        raise OSError(f"{bad} files of {name} are incomplete")
-    return report
-
-
 def common_location(listing: DataFrame, base: str) -> DataFrame:
     """Guard: every listed path must lie below the base, else an error."""
     return listing.where(

@@ -272,6 +272,7 @@ def statements() -> dict[str, str]:
         f"SELECT '{name}.parquet' AS file, '{name}.parquet' AS copy, true AS has_bytes, true AS complete"
         for name in _WIDTHS
     )
+    sql["copy_files_ranges"] = " UNION ALL ".join(f"SELECT '{name}' AS file, true AS same_sum" for name in _WIDTHS)
     sql["copy_loose_files"] = f"SELECT order_month, true AS logged FROM {ORDER_PARTS}"
     sql["two_hop_copy"] = f"""SELECT order_month, count(*) AS row_count,
         CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {ORDERS} GROUP BY ALL"""

@@ -18,7 +18,7 @@ from sluice import storage
 from sluice.functions import clock, paths, tags
 from sluice.model import LEDGER_SCHEMA, SUMMARY_SCHEMA, CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import cleanup as cleaning
-from sluice.operators import copy, hooks, ledger, register, registry, sample, select
+from sluice.operators import copy, hooks, ledger, register, registry, sample, select, transfer
 from sluice.plans import run as runs
 from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files, formats
@@ -425,6 +425,18 @@ def q_copy_files_report(spark, folder):
     )
 
 
+def q_copy_files_ranges(spark, folder):
+    """The given files copied as ranges: the checksum of each file is its ranges' sums put together."""
+    target = new_scratch(spark, "ranges")
+    listing = files.walk_files(spark, folder, "*.parquet")
+    report = transfer.whole(transfer.copy_listed(spark, listing, target, range_bytes=1 << 14), folder)
+    again = transfer.file_checksums(spark, files.walk_files(spark, target), range_bytes=1 << 17)
+    joined = report.join(again, report["target"] == again["path"])
+    return joined.select(
+        F.regexp_extract("relative", "^[^/.]*", 0).alias("file"), (F.col("sent") == F.col("checksum")).alias("same_sum")
+    ).distinct()
+
+
 def q_copy_loose_files(spark, folder):
     """Loose files keep their relative path below the target; the log has their full URIs."""
     root = new_scratch(spark, "loose")
