@@ -2,8 +2,8 @@
 
 Two histograms per text: classes of characters, and common words of several languages.
 Their Jensen-Shannon distance to each language's reference is taken, and the nearest
-reference counts, so a wrong or missing ``lang`` of the text itself does no harm. References
-are sums over all texts that pass the simple rules and name a known language; there are as
+reference counts, so that a text may name the wrong one of these languages, or none. A text that
+names a language without a reference has no verdict but that of the base rule. References are sums over all texts that pass the simple rules and name a known language; there are as
 many as ``COMMON_WORDS`` has languages, so they fit into the plan as literals. Short texts
 have ragged histograms, hence the minimum lengths below which a distance is not judged.
 
@@ -178,10 +178,11 @@ def references(docs: DataFrame, rules: QualityRules, text: str = "text", lang: s
         for i in range(size)
     ]
     rows = measured.frame.where(~base_failed(measured, rules)).groupBy("lang").agg(*sums).collect()
-    return {
+    found = {
         kind: [[row[f"{kind}_{i}"] for i in range(size)] for row in sorted(rows, key=lambda r: r["lang"])]
         for kind, size in BINS.items()
     }
+    return found | {"languages": sorted(row["lang"] for row in rows)}
 
 
 def nearest_distance(bins: Column, known: list[list[int]]) -> Column:
@@ -219,10 +220,10 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     m.add("word_distance", nearest_distance(m["word_bins"], known["word_bins"]))
     odd_classes = (m["n_chars"] >= rules.class_min_chars) & (m["class_distance"] > rules.class_distance)
     odd_words = (m["n_words"] >= rules.word_min_words) & (m["word_distance"] > rules.word_distance)
-    m.add(
-        "kept",
-        ~m["base_failed"] & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)),
-    )
+    odd = F.coalesce(odd_classes, F.lit(False)) | F.coalesce(odd_words, F.lit(False))
+    # No reference, no verdict: the nearest of other languages says nothing.
+    comparable = F.col(lang).isNull() | F.col(lang).isin(known["languages"])
+    m.add("kept", ~m["base_failed"] & ~(comparable & odd))
     return m
 
 

@@ -83,3 +83,22 @@ def test_stages_take_empty_tables_nulls_and_clashing_columns(spark, folder):
         assert stage(spark, docs.limit(0), path).count() == 0, name
         stage(spark, docs, path).collect()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == 4
+
+
+def test_steps_of_a_stage_go_when_the_next_one_begins(spark, folder):
+    """Written and read again, as run() does; steps that are still to be read stay."""
+    from sluice import storage
+    from sluice.session import handed_out
+
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    corpus_pipeline._LEFT.clear()
+    lines = STAGES["line_dedup"](spark, docs, path)
+    left = list(corpus_pipeline._LEFT)
+    assert left and all(f in handed_out() for f in left)
+    STAGES["quality_rules"](spark, lines, path)
+    assert all(f in handed_out() for f in left)
+    written = new_scratch(spark, "written")
+    lines.write.parquet(written)
+    STAGES["quality_rules"](spark, spark.read.parquet(written), path)
+    assert not any(f in handed_out() or storage.exists(spark, f) for f in left)

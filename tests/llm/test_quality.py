@@ -97,3 +97,20 @@ def test_no_reference_no_rows_own_columns(spark, make_docs):
 def test_plan_has_no_python(spark, make_docs):
     text = quality.quality_report(make_docs(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_languages_without_a_reference_are_not_judged_by_others(spark):
+    """Clean texts of an unlisted language and script stay; word salad of a listed one goes."""
+    draw = random.Random(4)
+    common = {"en": "the of and to in is that for on with", "it": "di che la il un per non una sono con", "ru": "и в не на я что он с как это"}
+    rare = {"en": "house tree river stone", "it": "casa albero fiume pietra", "ru": "дом дерево река камень"}
+
+    def text(lang, share):
+        words = [draw.choice((common if draw.random() < share else rare)[lang].split()) + str(n % 7) * (n % 11 == 0) for n in range(300)]
+        return " ".join(words)
+
+    rows = [(n, text(lang, 0.4), lang) for n, lang in enumerate(["en"] * 30 + ["it"] * 10 + ["ru"] * 10)]
+    rows += [(100 + n, text("en", 0.0), "en") for n in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.quality_report(docs).collect() if r["kept"]}
+    assert kept == set(range(50))
