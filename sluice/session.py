@@ -79,6 +79,20 @@ def drop_scratch(spark: SparkSession) -> int:
     return storage.remove_all(spark, folders)
 
 
+def handed_out() -> list[str]:
+    """All scratch folders of this process that were not dropped, the oldest first."""
+    return list(_HANDED_OUT)
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> int:
+    """Delete some of them, when nothing reads them any more."""
+    from sluice import storage
+
+    gone = set(folders)
+    _HANDED_OUT[:] = [f for f in _HANDED_OUT if f not in gone]
+    return storage.remove_all(spark, folders)
+
+
 def pin(df: DataFrame, label: str = "pin") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
