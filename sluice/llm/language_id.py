@@ -6,9 +6,10 @@ document frequencies. Weights are learned with the follow-the-regularised-leader
 coordinates with L1 and L2 penalties, so most are zero. A temperature, fitted on texts kept
 out of that, calibrates the probabilities.
 
-The model is fitted in one task on a bounded sample of labelled rows: about
-``Training.per_language`` rows of each language, ``Training.most_rows`` at most, by a hash
-of the row. It learns from the text and ``lang`` of rows outside the held-out fold only. It is
+The model is fitted in one task on a bounded sample of labelled rows, drawn by a hash of the
+row: about ``Training.per_language`` rows of each language, or with many languages an equal share
+of ``Training.most_rows``, so that each of them is learned; beyond a thousand languages it is
+``Training.least_rows`` of each. It learns from the text and ``lang`` of rows outside the held-out fold only. It is
 applied to every whole text without a shuffle; its size is bounded by ``DIMENSIONS`` times
 the languages.
 
@@ -40,6 +41,7 @@ _SLICE = 1 << 19
 class Training:
     per_language: int = 1000
     most_rows: int = 20_000
+    least_rows: int = 20
     passes: int = 3
     least_steps: int = 400
     batch: int = 32
@@ -49,6 +51,10 @@ class Training:
     l2: float = 0.1
     scale: float = 10.0
 
+    def rows_of_each(self, languages: int) -> int:
+        """Rows drawn of a language: all have their share of ``most_rows``, at least ``least_rows``."""
+        return max(self.least_rows, min(self.per_language, self.most_rows // max(1, languages)))
+
 
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; rows of fold 0 are held out."""
@@ -222,11 +228,12 @@ def learn(docs: DataFrame, rules: Training = Training()) -> bytes:
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [], np.zeros(0, bool), rules).dump()
+    wanted = rules.rows_of_each(len(counts))
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rules.per_language / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, wanted / n))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    sample = own.where(draw < share).limit(rules.most_rows)
+    sample = own.where(draw < share)
     sample = sample.select("text", "lang", (fold(F.col("doc_id")) == 1).alias("calibrate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

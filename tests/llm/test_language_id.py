@@ -72,3 +72,22 @@ def test_penalties_leave_few_weights(spark):
     model = language_id.Model.load(language_id.learn(docs))
     assert 0 < model.weights.any(1).sum() < 2000
     assert 0.05 <= model.temperature <= 20
+
+
+def test_all_of_many_languages_are_learned(spark):
+    """The bound on rows is shared out, so it leaves none out, however rows are ordered."""
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x0430, 0x0450)]
+    alphabets = {f"l{n:02d}": draw.sample(letters, 6) for n in range(30)}
+    rows = []
+    for lang, own in alphabets.items():
+        for _ in range(40):
+            text = " ".join("".join(draw.choice(own) for _ in range(4)) for _ in range(40))
+            rows.append((len(rows), text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = language_id.Training(per_language=1000, most_rows=600)
+    assert rules.rows_of_each(30) == 20 and rules.rows_of_each(2) == 300
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.language_report(docs, rules).collect()}
+    assert set(found.values()) == set(alphabets)
+    held = [(n, lang) for n, _, lang in rows if zlib.crc32(str(n).encode()) % 5 == 0]
+    assert np.mean([found[n] == lang for n, lang in held]) > 0.9
