@@ -6,7 +6,7 @@ calendar. A valid value is its rank among all valid values of its format. A keye
 network permutes the ranks, walking on while it lands outside, so equal values get equal
 pseudonyms in every document, different values of a format get different ones, a pseudonym
 is valid again (check digits are recomputed), and whoever has the key can reverse it. Mail
-addresses and secrets (access keys, values of ``password=``, ``token =`` and the like) are
+addresses and secrets (access keys, values of ``password=``, ``API_KEY =`` and the like in any case) are
 permuted letter by letter class, mail addresses under their top-level domain. Numbers in the
 format of a card or a phone that are not valid are permuted among those that are not.
 
@@ -38,7 +38,7 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 _FORMATS = {
     "email": r"(?<![\w.%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*+)\.)++[A-Za-z]{2,24})(?![\w-])",
     "akia": r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?+([^\s\"',;<>]{6,}+)",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?+([^\s\"',;<>]{6,}+)",
     "iban": r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d.-])(\d{3}-\d{2}-\d{4})(?![\d-])",
@@ -51,7 +51,7 @@ _PATTERNS = {kind: re.compile(pattern) for kind, pattern in _FORMATS.items()}
 #: Where a value may start: a cheap look ahead, so that few places are tried with all formats.
 _START = re.compile(
     r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@|(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]|[A-Z]{2}\d\d|"
-    r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:])|(?<![\w.])[(+]?\d(?=[\d.()/ -]{6})"
+    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:])|(?<![\w.])[(+]?\d(?=[\d.()/ -]{6})"
 )
 _MAYBE = re.compile(r"@|\d[\d .()/-]{5}|AKIA|ASIA|[=:]\s{0,3}[\"']?\S{6}")
 

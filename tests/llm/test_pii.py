@@ -45,7 +45,7 @@ def test_what_is_not_valid_stays(value):
 
 def test_assigned_secrets():
     own = pii.Pseudonyms(KEY)
-    for text in ("password=92b4808335b616b514 In.", 'token = "97ffa88d7c5f5655e365004e29bd123cdabd722a" on', "api_key: Zx81-kkq_2"):
+    for text in ("password=92b4808335b616b514 In.", 'token = "97ffa88d7c5f5655e365004e29bd123cdabd722a" on', "api_key: Zx81-kkq_2", "Password: hunter2hunter", "x API_KEY=abcd1234efgh y"):
         fresh, counts = own.replace(text)
         assert counts == {"secret": 1} and fresh != text and len(fresh) == len(text)
 
