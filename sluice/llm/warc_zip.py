@@ -43,6 +43,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 4 << 20
+#: Ranges that a task reads where there are more of them than cores.
+_RANGES = 16
 
 #: Fixed values of the ZIP format: signatures and the shapes of its records.
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -240,8 +242,8 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of the packages ``path``; with ``payloads`` their payload as ``payload`` too.
 
-    The indexes are read first and give ranges of a few megabytes, which are dealt out to
-    tasks of their own, so one large package is read by many.
+    The indexes are read first and give ranges of a few megabytes, which are written down and
+    dealt out to as many tasks as their number asks for, so one large package is read by many.
     """
     open_uri = files.uri_opener()
 
@@ -287,9 +289,12 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
                 wide = len(names) if payloads else len(names) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:wide], kinds)], names[:wide])
 
-    found = packages.select("path").mapInArrow(ranges, "path string, begin long, sizes array<long>")
+    found = pin(packages.select("path").mapInArrow(ranges, "path string, begin long, sizes array<long>"), "package-ranges")
     schema = RECORDS + (", payload binary" if payloads else "")
-    return found.repartition("path", "begin").mapInArrow(records, schema)
+    # Rows of ranges are tiny, so their number must tell how many tasks read what they stand for.
+    count, cores = found.count(), packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, max(cores, -(-count // _RANGES))))
+    return found.repartition(tasks).mapInArrow(records, schema)
 
 
 def sum_over(sizes: list[int], limit: int) -> bool:

@@ -48,6 +48,18 @@ def test_pages_come_back(spark):
     assert warc_zip.archive_pages(spark, table(spark, rows).limit(0)).count() == 0
 
 
+def test_packages_are_read_by_many_tasks(spark):
+    """Their ranges are few small rows, which must not end up in one task."""
+    folder = storage.qualify(spark, new_scratch(spark, "packages"))
+    marked = warc_zip.mark_revisits(table(spark, [(n, "u", f"page {n}") for n in range(64)]))
+    manifest = warc_zip.write_packages(marked.repartition(8, "page_id"), folder)
+    count = manifest.where("records > 0").count()
+    assert count >= 6
+    found = warc_zip.read_packages(manifest)
+    assert found.rdd.getNumPartitions() == min(count, spark.sparkContext.defaultParallelism)
+    assert found.count() == 64
+
+
 def test_payloads_and_urls(spark):
     folder = storage.qualify(spark, new_scratch(spark, "packages"))
     manifest = warc_zip.write_packages(warc_zip.mark_revisits(table(spark, ROWS)), folder)
