@@ -22,6 +22,9 @@ from sluice.sources.formats import PARQUET, StorageFormat
 from sluice.sources.tables import SourceTable, folder_partitions, open_folder
 
 STAGING_HINT = "__staging_"
+# Marks of staging folders that hold an old copy, or old partitions, moved aside.
+ASIDE = "old-"
+SWAPPED = "swap-"
 
 
 # Tasks that share one partition's rows when AQE is off and cannot split by size.
@@ -222,7 +225,7 @@ def replace_partitions(
             folders.remove_all(spark, [f"{path}/{name}" for name in batch])
         write(partitions, path)
         return
-    staging, aside = staging_path(path), staging_path(path)
+    staging, aside = staging_path(path), staging_path(path, SWAPPED)
 
     def swap(name: str) -> None:
         old, new = f"{path}/{name}", f"{staging}/{name}"
@@ -247,10 +250,10 @@ def replace_partitions(
         drop_staging(spark, aside)
 
 
-def staging_path(target: str) -> str:
+def staging_path(target: str, mark: str = "") -> str:
     """A staging folder next to the target, recognisable by its name."""
     head, _, tail = target.rstrip("/").rpartition("/")
-    return f"{head}/{tail}{STAGING_HINT}{uuid.uuid4().hex[:12]}"
+    return f"{head}/{tail}{STAGING_HINT}{mark}{uuid.uuid4().hex[:12]}"
 
 
 def drop_staging(spark: SparkSession, path: str) -> None:
@@ -268,7 +271,7 @@ def staged_publish(
     An old copy is moved aside and deleted only when the new one is in place; if that
     fails, it is put back.
     """
-    staging, aside = staging_path(target), staging_path(target)
+    staging, aside = staging_path(target), staging_path(target, ASIDE)
     try:
         write(staging)
         if not folders.exists(spark, target):

@@ -307,6 +307,10 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT name, row_count, true FROM {ORDER_PARTS}"""
     sql["staged_publish"] = f"""SELECT 'day=' || day AS name, count(*) AS row_count,
         CAST(0 AS BIGINT) AS staged_files FROM {EVENTS} WHERE {event_sample} GROUP BY ALL"""
+    sql["sweep_leftovers"] = f"""SELECT *, CAST(0 AS BIGINT) AS left_over,
+            (SELECT count(*) + 1 FROM {EVENT_PARTS} WHERE day = '2024-01-05') AS restored
+        FROM (SELECT 'events' AS copy, name, row_count FROM {EVENT_PARTS}
+              UNION ALL SELECT 'orders', name, row_count FROM {ORDER_PARTS})"""
     sql["copy_with_hooks"] = f"""SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS c_name,
         c_mktsegment, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS side_lines
         FROM customer WHERE {_sampled('0.5', 'c_custkey')}"""

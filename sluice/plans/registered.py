@@ -18,7 +18,7 @@ from sluice import storage
 from sluice.functions import clock, paths, tags
 from sluice.model import LEDGER_SCHEMA, SUMMARY_SCHEMA, CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import cleanup as cleaning
-from sluice.operators import copy, hooks, ledger, register, registry, sample, select, transfer
+from sluice.operators import copy, hooks, ledger, register, registry, sample, select, sweep, transfer
 from sluice.plans import run as runs
 from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files, footers, formats
@@ -759,6 +759,31 @@ def q_staged_publish(spark, folder):
     return _with_scalar(list_partitions(done).select("name", "row_count"), siblings)
 
 
+def q_sweep_leftovers(spark, folder):
+    """Runs that died at each step: one sweep leaves the copies whole and nothing else."""
+    root, database = new_scratch(spark, "swept"), _database(spark)
+    copies = {name: copy.full_copy(spark, table(spark, folder, name), f"{root}/{name}") for name in ("events", "orders")}
+    for name, done in copies.items():
+        register.register_copy(spark, f"{database}.{name}", done.frame.schema, done.partition_columns, done.location)
+    # While writing, between the two moves of a partition and of a whole copy, and within a byte copy.
+    copy.write_partitioned(table(spark, folder, "customer").frame, copy.staging_path(f"{root}/customer"), [])
+    copy.write_partitioned(table(spark, folder, "orders").frame, copy.staging_path(f"{root}/orders"), ["order_month"])
+    storage.rename(spark, f"{root}/orders", copy.staging_path(f"{root}/orders", copy.ASIDE))
+    aside, day = copy.staging_path(f"{root}/events", copy.SWAPPED), "day=2024-01-05"
+    storage.rename(spark, f"{root}/events/{day}", f"{aside}/{day}")
+    storage.write_text(spark, f"{root}/events/{day}/.part-0.parquet.{uuid.uuid4().hex}", "half of a file")
+    swept = sweep.sweep(spark, sweep.leftovers(spark, [root], 0, [database]))
+    left = sweep.leftovers(spark, [root], 0, [database]).agg(F.count("*").alias("left_over"))
+    parts = [
+        list_partitions(open_folder(spark, name, done.location, done.frame.schema, done.partition_columns)).select(
+            F.lit(name).alias("copy"), "name", "row_count"
+        )
+        for name, done in copies.items()
+    ]
+    whole = parts[0].unionByName(parts[1]).withColumn("restored", F.lit(swept["restored"]).cast("long"))
+    return _with_scalar(whole, left)
+
+
 def q_copy_with_hooks(spark, folder):
     """A hook masks a column before the write; another copies side files after it."""
     source = table(spark, folder, "customer")
