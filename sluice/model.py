@@ -27,6 +27,8 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("updated", T.TimestampNTZType()),
         T.StructField("seconds", T.LongType()),
         T.StructField("message", T.StringType()),
+        # Of the lease under which the state was written; none without a lease.
+        T.StructField("token", T.LongType()),
     ]
 )
 
@@ -77,7 +79,8 @@ class CopyPolicy:
     ``byte_copy`` makes full copies of laid-out tables move files instead of rows; every
     executor then needs access to both storages outside of Spark's own readers. With
     ``footer_sizes`` flat parquet tables are listed and sized by their files' footers, under the
-    same condition, and not by the widths of their rows.
+    same condition, and not by the widths of their rows. A run that gave no sign for
+    ``lease_seconds`` may be overtaken by another one.
     """
 
     default_prob: float = 0.01
@@ -90,6 +93,7 @@ class CopyPolicy:
     footer_sizes: bool = False
     sample_keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     sample_method: str = "md5"
+    lease_seconds: float = 300
 
     def partition_count(self, spec: TableSpec) -> int:
         """The table's own cap when set, the default otherwise; <= 0 is no cap."""

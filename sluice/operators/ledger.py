@@ -23,7 +23,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record(spark: SparkSession, path: str, rows: Sequence[tuple]) -> None:
-    """Append ``(item, state, updated, seconds, message)`` rows.
+    """Append ``(item, state, updated, seconds, message)`` rows, with the token of their lease if any.
 
     Each call writes a folder of its own. Jobs that append to one folder at the same
     time would share, and remove, each other's temporary output.
@@ -33,10 +33,13 @@ def record(spark: SparkSession, path: str, rows: Sequence[tuple]) -> None:
 
 
 def latest(ledger: DataFrame) -> DataFrame:
-    """The last state per item. An aggregate, so an item with a long history is combined
-    before the shuffle."""
-    last = F.max(F.struct("updated", "state", "seconds", "message")).alias("last")
-    return ledger.groupBy("item").agg(last).select("item", "last.*")
+    """The last state per item: that of the highest token, so a run that was overtaken says no more.
+
+    An aggregate, so an item with a long history is combined before the shuffle.
+    """
+    token = F.coalesce("token", F.lit(0)).alias("token")
+    last = F.max(F.struct(token, "updated", "state", "seconds", "message")).alias("last")
+    return ledger.groupBy("item").agg(last).select("item", *(f"last.{c}" for c in ("updated", "state", "seconds", "message")))
 
 
 def next_run(configured: DataFrame, ledger: DataFrame) -> DataFrame:

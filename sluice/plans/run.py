@@ -30,7 +30,7 @@ from sluice.model import (
     TableSpec,
     UnresolvedRequest,
 )
-from sluice.operators import changes, copy, ledger, register, sample, select
+from sluice.operators import changes, copy, lease, ledger, register, sample, select
 from sluice.operators.hooks import AfterCopy, BeforeSample, CopyContext
 from sluice.session import local_rows, pin
 from sluice.sources import files, footers
@@ -72,6 +72,11 @@ class RunTarget:
     def table_path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{self.table_of(name).replace('.', '/')}"
 
+    @property
+    def leases(self) -> str:
+        """Where runs hold the copies they work on; a hidden name that no listing shows."""
+        return f"{self.folder.rstrip('/')}/_leases"
+
 
 @dataclass
 class RunResult:
@@ -138,8 +143,17 @@ def copy_tables(
     """Copy the requested tables and loose files; one table's failure does not stop others.
 
     ``sources`` maps a requested name to its table; a name that is missing is invalid.
-    With a ledger, finished and invalid items are not tried again, failed ones are.
+    With a ledger, finished and invalid items are not tried again, failed ones are. A copy that
+    another run works on is an error without an entry in the ledger, and a run that another one
+    has overtaken (it was silent for ``lease_seconds``) publishes nothing more.
     """
+    with lease.Leases(spark, target.leases, policy.lease_seconds) as leases:
+        return _copy_held(spark, sources, specs, target, policy, before_sample, after_copy, loose_files, leases)
+
+
+def _copy_held(
+    spark, sources, specs, target, policy, before_sample, after_copy, loose_files, leases: lease.Leases
+) -> RunResult:
     if not specs and not loose_files:
         raise ValueError("no source tables or files configured")
     result = RunResult()
@@ -153,7 +167,8 @@ def copy_tables(
             raise ValueError(f"{other} and {name} would be one copy: keep their databases or name folders of their own")
 
     def note(*states: tuple[str, str, float, str | None]) -> None:
-        rows = [(item, state, ledger.now(), int(seconds), text) for item, state, seconds, text in states]
+        moment = ledger.now()
+        rows = [(item, state, moment, int(seconds), text, leases.token(item)) for item, state, seconds, text in states]
         result.ledger_rows.extend(rows)
         if target.ledger is not None and rows:
             try:
@@ -171,11 +186,22 @@ def copy_tables(
         with ThreadPoolExecutor(max(1, policy.table_parallelism)) as pool:
             return list(pool.map(inheritable_thread_target(spark)(pooled), names))
 
-    attempt = set(by_name)
+    def take(name: str) -> str | None:
+        try:
+            leases.take(name, target.table_of(name))
+        except lease.LeaseHeld as error:
+            return f"{type(error).__name__}: {error}"
+        return None
+
+    # Before the ledger is read: what another run finished until now is in it.
+    result.errors.update({n: e for n, e in zip(by_name, side_by_side(take, list(by_name))) if e})
+    attempt = set(by_name) - set(result.errors)
     if target.ledger is not None and by_name:
         configured = local_rows(spark, [(name,) for name in by_name], "item string")
         run = ledger.next_run(configured, ledger.open_ledger(spark, target.ledger))
-        attempt = {row["item"] for row in ledger.attempts(run).collect()} & attempt
+        attempt &= {row["item"] for row in ledger.attempts(run).collect()}
+    for name in set(by_name) - attempt:
+        leases.drop(name)
 
     def resolve_one(name: str):
         try:
@@ -189,11 +215,12 @@ def copy_tables(
 
     names = [name for name in by_name if name in attempt]
     outcomes = dict(zip(names, side_by_side(resolve_one, names)))
-    result.errors.update({n: str(o) for n, o in outcomes.items() if isinstance(o, UnresolvedRequest)})
-    resolved = {n: o[0] for n, o in outcomes.items() if n not in result.errors}
+    invalid = {n: str(o) for n, o in outcomes.items() if isinstance(o, UnresolvedRequest)}
+    result.errors.update(invalid)
+    resolved = {n: o[0] for n, o in outcomes.items() if n not in invalid}
     sizes = [(n, outcomes[n][1], None, None, None) for n in resolved]
     note(
-        *[(n, INVALID, 0, text) for n, text in result.errors.items()],
+        *[(n, INVALID, 0, text) for n, text in invalid.items()],
         *[(n, TODO, 0, None) for n in resolved],
     )
 
@@ -208,7 +235,9 @@ def copy_tables(
         chosen, decision = resolved[name], decisions[name]
         path = target.table_path(name)
         try:
-            done, changed, anew = _copy_table(spark, table, path, chosen, decision, policy, before_sample, target)
+            done, changed, anew = _copy_table(
+                spark, table, path, chosen, decision, policy, before_sample, target, lambda: leases.check(name)
+            )
             if changed is not None:
                 result.changes[name] = changed
             context = CopyContext(spark, table, done, decision["mode"])
@@ -218,6 +247,7 @@ def copy_tables(
             if chosen is not None and not moved:
                 # Folders of written rows are named after the typed values.
                 chosen = chosen.withColumn("name", paths.partition_name(table.partition_columns))
+            leases.check(name)
             _register(spark, table, done, chosen, decision["mode"], target, anew)
         except Exception as error:  # a table's failure is recorded, the run goes on
             result.errors[name] = f"{type(error).__name__}: {error}"
@@ -225,6 +255,7 @@ def copy_tables(
             return
         result.tables[name], result.modes[name] = done, decision["mode"]
         note((name, FINISHED, time.monotonic() - started, _kept_text(result.changes.get(name), policy)))
+        leases.drop(name)
 
     side_by_side(copy_one, list(resolved))
     for source in loose_files:
@@ -272,13 +303,14 @@ def _earlier_request(spark, marker: str) -> tuple[dict | None, str | None]:
     return noted, noted.pop("source", None) if noted else None
 
 
-def _copy_table(spark, table, path, chosen, decision, policy, before_sample, target):
+def _copy_table(spark, table, path, chosen, decision, policy, before_sample, target, check):
     """Make, replace or complete the copy of one table.
 
     A repeated run brings new partitions, and puts those that changed at the source in place of
     the old ones if overwriting is on; others are not touched. One with another mode,
     probability, key, method or hook replaces the copy if overwriting is on, and is an error
-    otherwise. Returns the copy, what changed since the last run, and whether all of it is new.
+    otherwise. ``check`` fails if another run has taken over and is asked before anything becomes
+    visible. Returns the copy, what changed since the last run, and whether all of it is new.
     """
     request = _request(table, decision, policy, before_sample)
     columns = list(table.partition_columns)
@@ -306,6 +338,8 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample, tar
         if chosen is not None:
             copy.record_partitions(spark, to, chosen)
         mark(to, read)
+        # The last step before the folder is moved into place.
+        check()
 
     marker = f"{path}/{COMPLETE}"
     done = storage.exists(spark, marker)
@@ -319,6 +353,7 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample, tar
         found = _changes(spark, table, path, chosen, request, hooks, read is not None and read == was)
         new = _only(chosen, found, changes.ADDED)
         if not new.isEmpty():
+            check()
             if moved:
                 write(path, new)
                 copy.record_partitions(spark, path, new)
@@ -330,11 +365,13 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample, tar
         if policy.overwrite_if_exists and not old.isEmpty():
             typed = old if moved else old.withColumn("name", paths.partition_name(columns))
             into = pin(typed, "changed")
+            check()
             copy.replace_partitions(
                 spark, path, into, lambda some, to: _rewrite(spark, table, to, some, moved, request, hooks)
             )
             copy.record_partitions(spark, path, old)
         if policy.overwrite_if_exists or not found.where(F.col("change") == changes.CHANGED).count():
+            check()
             mark(path, read)
     elif policy.overwrite_if_exists or not done:
         if storage.renames_in_place(spark, path):
@@ -342,6 +379,7 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample, tar
         else:
             # Moving the folder would copy it a second time. Without its marker a broken
             # copy is not taken for a whole one, and the next run starts it again.
+            check()
             storage.remove(spark, path)
             publish(path)
     copied = open_folder(spark, table.name, path, table.frame.schema, table.partition_columns, table.storage)

@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -93,6 +94,34 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file only if there is none; whether it was written.
+
+    Hadoop's local file system looks first and then writes, so there the operating system's
+    exclusive creation is used.
+    """
+    data = text.encode("utf-8")
+    if qualify(spark, path).startswith("file:"):
+        try:
+            with open(path_of(spark, path), "xb") as out:
+                out.write(data)
+        except FileExistsError:
+            return False
+        return True
+    fs, jpath = _resolve(spark, path)
+    try:
+        stream = fs.create(jpath, False)
+    except Py4JJavaError:
+        if fs.exists(jpath):
+            return False
+        raise
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, jpath = _resolve(spark, path)
     stream = fs.open(jpath)
@@ -108,6 +137,13 @@ def set_age(spark: SparkSession, path: str, millis: int) -> None:
     fs.setTimes(jpath, int(time.time() * 1000) - millis, -1)
 
 
+def child_times(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names directly below a folder with their times in milliseconds; hidden ones left out."""
+    fs, jpath = _resolve(spark, path)
+    found = {status.getPath().getName(): status.getModificationTime() for status in fs.listStatus(jpath)}
+    return {n: t for n, t in found.items() if not n.startswith(("_", "."))}
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder, hidden ones left out."""
     fs, jpath = _resolve(spark, path)

@@ -1,0 +1,169 @@
+"""Leases: one run on a copy at a time, and none that was overtaken."""
+
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
+
+import pytest
+
+from sluice import storage
+from sluice.model import LEDGER_SCHEMA, CopyPolicy, TableSpec
+from sluice.operators import lease, ledger, register
+from sluice.plans.run import RunTarget, copy_tables
+from sluice.session import local_rows, new_scratch
+
+NAME = "lake.monthly"
+
+
+@pytest.fixture
+def folder(spark):
+    return f"{new_scratch(spark, 'lease')}/db.t"
+
+
+@pytest.fixture
+def target(spark):
+    root = new_scratch(spark, "run")
+    database = f"db_{uuid.uuid4().hex}"
+    register.create_database(spark, database, f"{root}/db")
+    yield RunTarget(f"{root}/data", database, ledger=f"{root}/ledger", log=f"{root}/data/copy-log")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_tokens_grow_and_old_files_go(spark, folder):
+    for token in (1, 2, 3):
+        held = lease.acquire(spark, folder, 60)
+        assert held.token == token
+        held.check()
+        with pytest.raises(lease.LeaseHeld):
+            lease.acquire(spark, folder, 60)
+        held.release()
+    assert sorted(storage.child_times(spark, folder)) == [f"{3:012d}{kind}" for kind in ("", "-beat", "-done")]
+
+
+def test_one_of_many_gets_it(spark, folder):
+    def attempt(_):
+        try:
+            return lease.acquire(spark, folder, 60).token
+        except lease.LeaseHeld:
+            return None
+
+    with ThreadPoolExecutor(16) as pool:
+        won = [t for t in pool.map(attempt, range(32)) if t]
+    assert won == [1]
+
+
+def test_silent_holder_is_overtaken_and_refused(spark, folder):
+    old = lease.acquire(spark, folder, 0.2)
+    time.sleep(0.3)
+    new = lease.acquire(spark, folder, 60)
+    assert new.token == 2
+    with pytest.raises(lease.LeaseLost):
+        old.check()
+    new.check()
+
+
+def test_beat_between_look_and_token_wins(spark, folder, monkeypatch):
+    old = lease.acquire(spark, folder, 0.2)
+    time.sleep(0.3)
+    create = storage.create_text
+
+    def after_a_beat(*args):
+        old.check()
+        return create(*args)
+
+    monkeypatch.setattr(storage, "create_text", after_a_beat)
+    with pytest.raises(lease.LeaseHeld):
+        lease.acquire(spark, folder, 60)
+    old.check()
+
+
+def test_renewed_while_it_works(spark, folder):
+    root = folder.rpartition("/")[0]
+    with lease.Leases(spark, root, 0.6) as held:
+        held.take("t", "db.t")
+        time.sleep(1.5)
+        with pytest.raises(lease.LeaseHeld):
+            lease.acquire(spark, folder, 60)
+        held.check("t")
+    assert lease.acquire(spark, folder, 60).token == 2
+
+
+def test_file_is_created_once(spark):
+    path = new_scratch(spark, "once")
+    storage.make_dir(spark, path)
+    with ThreadPoolExecutor(16) as pool:
+        done = list(pool.map(lambda i: storage.create_text(spark, f"{path}/x", str(i)), range(32)))
+    assert sum(done) == 1
+    assert storage.read_text(spark, f"{path}/x") == str(done.index(True))
+
+
+def test_states_of_later_tokens_win(spark):
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [
+        ("a", "finished", early, 1, None, 2),
+        ("a", "failed", late, 1, "overtaken", 1),
+        ("b", "failed", early, 1, None, None),
+        ("b", "finished", late, 1, None, None),
+        ("c", "finished", late, 1, None, None),
+        ("c", "failed", early, 1, None, 1),
+    ]
+    last = ledger.latest(local_rows(spark, rows, LEDGER_SCHEMA))
+    assert {r["item"]: r["state"] for r in last.collect()} == {"a": "finished", "b": "finished", "c": "failed"}
+
+
+def states(spark, target):
+    return {r["item"]: r["state"] for r in ledger.latest(ledger.open_ledger(spark, target.ledger)).collect()}
+
+
+def copied(spark, target):
+    name = target.table_of(NAME)
+    spark.catalog.refreshTable(name)
+    return sorted(r["name"] for r in spark.table(name).select("name").collect())
+
+
+def test_second_run_is_refused_while_the_first_works(spark, monthly, target):
+    inner = []
+
+    def hook(rows):
+        if not inner:
+            inner.append(copy_tables(spark, {NAME: monthly}, [TableSpec(NAME, sample_prob=1.0)], target, CopyPolicy()))
+        return rows.where("name = 'a'")
+
+    policy = CopyPolicy(sample_threshold=0, sample_keys={NAME: ("name",)})
+    first = copy_tables(spark, {NAME: monthly}, [TableSpec(NAME, sample_prob=0.999999)], target, policy, [hook])
+    assert first.errors == {}
+    assert inner[0].errors[NAME].startswith("LeaseHeld") and inner[0].tables == {} and inner[0].ledger_rows == []
+    assert copied(spark, target) == ["a"] * 6
+    assert states(spark, target) == {NAME: "finished"}
+    again = copy_tables(spark, {NAME: monthly}, [TableSpec(NAME, sample_prob=1.0)], RunTarget(target.folder, target.database))
+    assert again.errors == {}
+    assert copied(spark, target) == ["a"] * 6 + ["b"] * 6
+
+
+@pytest.mark.parametrize("in_place", [True, False])
+def test_overtaken_run_publishes_nothing(spark, monthly, target, monkeypatch, in_place):
+    """The first run stands still; the second makes a whole copy; the first one's rows never appear."""
+    if not in_place:
+        monkeypatch.setattr(storage, "renames_in_place", lambda *_: False)
+    inner = []
+
+    def hook(rows):
+        if not inner:
+            inner.append(None)
+            time.sleep(0.5)
+            inner[0] = copy_tables(spark, {NAME: monthly}, [TableSpec(NAME, sample_prob=1.0)], target)
+        return rows.where("name = 'a'")
+
+    monkeypatch.setattr(lease.Leases, "_renew", lambda self: None)
+    policy = CopyPolicy(sample_threshold=0, sample_keys={NAME: ("name",)}, lease_seconds=0.2)
+    request = [TableSpec(NAME, sample_prob=0.999999)]
+    if not in_place:
+        # Without a rename the last check is before the old copy goes, so the pause is there.
+        check = lease.Leases.check
+        monkeypatch.setattr(lease.Leases, "check", lambda self, name: (hook(monthly.frame) if self.seconds < 1 else None, check(self, name)))
+    first = copy_tables(spark, {NAME: monthly}, request, target, policy, [hook])
+    assert first.errors[NAME].startswith("LeaseLost") and first.tables == {}
+    assert inner[0].errors == {}
+    assert copied(spark, target) == ["a"] * 6 + ["b"] * 6
+    assert states(spark, target) == {NAME: "finished"}
