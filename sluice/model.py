@@ -80,7 +80,8 @@ class CopyPolicy:
     executor then needs access to both storages outside of Spark's own readers. With
     ``footer_sizes`` flat parquet tables are listed and sized by their files' footers, under the
     same condition, and not by the widths of their rows. A run that gave no sign for
-    ``lease_seconds`` may be overtaken by another one.
+    ``lease_seconds`` may be overtaken by another one. The ledger and the log are compacted after a
+    run that leaves more than ``compact_after`` appended folders in them.
     """
 
     default_prob: float = 0.01
@@ -94,6 +95,7 @@ class CopyPolicy:
     sample_keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     sample_method: str = "md5"
     lease_seconds: float = 300
+    compact_after: int = 1000
 
     def partition_count(self, spec: TableSpec) -> int:
         """The table's own cap when set, the default otherwise; <= 0 is no cap."""

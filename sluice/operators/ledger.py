@@ -1,4 +1,4 @@
-"""The resumable ledger: an append-only table of item states."""
+"""The resumable ledger: an append-only table of item states, compacted to the last one of each."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sluice import storage
 from sluice.functions import clock
 from sluice.model import FAILED, FINISHED, INVALID, LEDGER_SCHEMA, TODO
+from sluice.operators import compaction
 from sluice.session import local_rows
 
 
@@ -19,7 +20,11 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All ledger rows; an empty frame when there is no ledger yet."""
     if not storage.exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
-    return spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    return _read(spark, compaction.places(spark, path))
+
+
+def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", "true").parquet(*folders)
 
 
 def record(spark: SparkSession, path: str, rows: Sequence[tuple]) -> None:
@@ -37,9 +42,22 @@ def latest(ledger: DataFrame) -> DataFrame:
 
     An aggregate, so an item with a long history is combined before the shuffle.
     """
+    return _last(ledger).select("item", "updated", "state", "seconds", "message")
+
+
+def _last(ledger: DataFrame) -> DataFrame:
     token = F.coalesce("token", F.lit(0)).alias("token")
     last = F.max(F.struct(token, "updated", "state", "seconds", "message")).alias("last")
-    return ledger.groupBy("item").agg(last).select("item", *(f"last.{c}" for c in ("updated", "state", "seconds", "message")))
+    return ledger.groupBy("item").agg(last).select("item", "last.*")
+
+
+def compact(spark: SparkSession, path: str, grace: float = compaction.GRACE_SECONDS) -> int:
+    """Put the last state of each item into one snapshot; returns how many entries it takes in."""
+
+    def write(rows: DataFrame, to: str) -> None:
+        rows.select(LEDGER_SCHEMA.names).write.parquet(to)
+
+    return compaction.compact(spark, path, lambda folders: _read(spark, folders), _last, write, grace)
 
 
 def next_run(configured: DataFrame, ledger: DataFrame) -> DataFrame:

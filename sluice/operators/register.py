@@ -17,6 +17,7 @@ from sluice import storage as folders
 from sluice.functions import clock, paths
 from sluice.functions.ddl import literal, partition_clause, quoted_name
 from sluice.model import LOG_SCHEMA
+from sluice.operators import compaction
 from sluice.session import local_rows
 from sluice.sources.formats import PARQUET, StorageFormat
 
@@ -282,7 +283,18 @@ def append_log(
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").json(log_path)
+    return _read_blocks(spark, compaction.places(spark, log_path))
+
+
+def _read_blocks(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").json(folders)
+
+
+def compact_log(spark: SparkSession, log_path: str, grace: float = compaction.GRACE_SECONDS) -> int:
+    """Put all blocks into a few files, each statement as it is; returns how many blocks."""
+    return compaction.compact(
+        spark, log_path, lambda folders: _read_blocks(spark, folders), lambda log: log, lambda log, to: log.write.json(to), grace
+    )
 
 
 def _in_log_order(log: DataFrame) -> DataFrame:

@@ -293,6 +293,8 @@ def statements() -> dict[str, str]:
         AS row_count, CASE WHEN day = '2024-01-15' THEN 'changed' ELSE '' END AS change FROM {EVENT_PARTS}"""
     sql["rerun_new_hook"] = f"""SELECT event_id, '#' AS event_type, day, hour FROM {EVENTS}
         WHERE {_sampled('0.3', 'event_id')}"""
+    sql["overlapping_runs"] = f"""SELECT event_id, day, hour, 'LeaseHeld' AS refused FROM {EVENTS}
+        WHERE {_sampled('0.3', 'event_id')}"""
     sql["rerun_new_column"] = f"""SELECT event_id, CASE WHEN day >= '2024-01-15' THEN event_type END AS event_type,
         day, hour FROM {EVENTS}"""
     sql["rerun_byte_copy"] = f"""SELECT day, hour, row_count * (CASE WHEN day = '2024-01-03' THEN 2 ELSE 1 END)
@@ -339,6 +341,7 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'tester', {_log_time('files')}, 'hdfs', name || '/rows.parquet',
           's3a://shared/loose/' || name || '/rows.parquet'
         FROM {LINE_PARTS}"""
+    sql["compacted_log"] = sql["copy_log"]
     sql["attach"] = (
         f"SELECT name, row_count FROM {LINE_PARTS} UNION ALL SELECT name, row_count FROM {ORDER_PARTS}"
     )
@@ -357,6 +360,7 @@ def statements() -> dict[str, str]:
         SELECT count(*) FILTER (state = 'finished') AS success, count(*) FILTER (state = 'failed') AS failure,
                count(*) FILTER (state = 'invalid') AS invalid, CAST(sum(row_count * 60) AS BIGINT) AS seconds
         FROM {_LEDGER})"""
+    sql["compacted_ledger"] = f"SELECT name AS item, state, CAST(row_count * 60 AS BIGINT) AS seconds FROM {_LEDGER}"
     sql["resume_ledger"] = f"""
         WITH wanted AS (
           SELECT name AS item FROM {EVENT_PARTS} WHERE substring(md5(reverse(name)), 1, 1) < 'c'

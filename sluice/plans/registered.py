@@ -630,6 +630,25 @@ def q_rerun_new_hook(spark, folder):
     return spark.table(f"{database}.events").select("event_id", "event_type", "day", "hour")
 
 
+def q_overlapping_runs(spark, folder):
+    """A whole copy that begins while a sample is being made is refused: the copy is the sample alone."""
+    target = runs.RunTarget(f"{new_scratch(spark, 'overlap')}/data", _database(spark))
+    sources = {"events": table(spark, folder, "events")}
+    inner = []
+
+    def meanwhile(rows: DataFrame) -> DataFrame:
+        if not inner:
+            inner.append(runs.copy_tables(spark, sources, [TableSpec("events", sample_prob=1.0)], target))
+        return rows
+
+    policy = CopyPolicy(sample_threshold=0, sample_keys=KEYS)
+    result = runs.copy_tables(spark, sources, [TableSpec("events", sample_prob=0.3)], target, policy, [meanwhile])
+    if result.errors:
+        raise RuntimeError(str(result.errors))
+    refused = F.lit(inner[0].errors.get("events", "").partition(":")[0])
+    return spark.table(target.table_of("events")).select("event_id", "day", "hour", refused.alias("refused"))
+
+
 def q_rerun_new_column(spark, folder):
     """A column and half of the days come after the first run: the copy has both, older rows are null there."""
     events = table(spark, folder, "events").frame
@@ -1027,6 +1046,30 @@ def q_resume_ledger(spark, folder):
     return ledger.next_run(wanted.unionByName(months), known)
 
 
+def _ledger_in_steps(spark, folder) -> str:
+    """The ledger as runs append it: all are to do, then one entry per final state, compacted twice on the way."""
+    path = new_scratch(spark, "ledger")
+    rows = _ledger_rows(spark, folder).select(LEDGER_SCHEMA.names)
+    rows.where("seconds = 0").write.parquet(f"{path}/entry-first")
+    for n, state in enumerate(("finished", "failed", "invalid", "todo")):
+        rows.where((F.col("state") == state) & (F.col("seconds") > 0)).write.parquet(f"{path}/entry-{n}")
+        if n < 2:
+            ledger.compact(spark, path, grace=0)
+    return path
+
+
+def q_compacted_ledger(spark, folder):
+    """The state of every item, from a snapshot and the entries after it."""
+    return ledger.latest(ledger.open_ledger(spark, _ledger_in_steps(spark, folder))).select("item", "state", "seconds")
+
+
+def q_compacted_log(spark, folder):
+    """A log whose blocks became one snapshot reads as before."""
+    log = _written_log(spark, folder)
+    register.compact_log(spark, log, grace=0)
+    return register.describe_log(register.read_log(spark, log))
+
+
 # --- paths ------------------------------------------------------------------------------
 
 

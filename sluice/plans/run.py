@@ -30,7 +30,7 @@ from sluice.model import (
     TableSpec,
     UnresolvedRequest,
 )
-from sluice.operators import changes, copy, lease, ledger, register, sample, select
+from sluice.operators import changes, compaction, copy, lease, ledger, register, sample, select
 from sluice.operators.hooks import AfterCopy, BeforeSample, CopyContext
 from sluice.session import local_rows, pin
 from sluice.sources import files, footers
@@ -148,7 +148,14 @@ def copy_tables(
     has overtaken (it was silent for ``lease_seconds``) publishes nothing more.
     """
     with lease.Leases(spark, target.leases, policy.lease_seconds) as leases:
-        return _copy_held(spark, sources, specs, target, policy, before_sample, after_copy, loose_files, leases)
+        result = _copy_held(spark, sources, specs, target, policy, before_sample, after_copy, loose_files, leases)
+    for path, compact in ((target.ledger, ledger.compact), (target.log, register.compact_log)):
+        try:
+            if path is not None and compaction.tail_length(spark, path) > policy.compact_after:
+                compact(spark, path)
+        except Exception:  # the next run tries again
+            logger.exception("cannot compact %s", path)
+    return result
 
 
 def _copy_held(
