@@ -81,7 +81,8 @@ class CopyPolicy:
     ``footer_sizes`` flat parquet tables are listed and sized by their files' footers, under the
     same condition, and not by the widths of their rows. A run that gave no sign for
     ``lease_seconds`` may be overtaken by another one. The ledger and the log are compacted after a
-    run that leaves more than ``compact_after`` appended folders in them.
+    run that leaves more than ``compact_after`` appended folders in them. With
+    ``same_request_only`` a copy by another request is an error even if overwriting is on.
     """
 
     default_prob: float = 0.01
@@ -96,6 +97,7 @@ class CopyPolicy:
     sample_method: str = "md5"
     lease_seconds: float = 300
     compact_after: int = 1000
+    same_request_only: bool = False
 
     def partition_count(self, spec: TableSpec) -> int:
         """The table's own cap when set, the default otherwise; <= 0 is no cap."""

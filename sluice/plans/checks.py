@@ -282,6 +282,7 @@ def statements() -> dict[str, str]:
     sql["incremental_copy"] = f"""SELECT event_id, day, hour, {_arrival()} AS arrived
         FROM {EVENTS} WHERE {_sampled('0.03', 'event_id')}"""
     sql["stream_incremental_copy"] = f"SELECT event_id, day FROM {EVENTS} WHERE {event_sample}"
+    sql["stream_registered_copy"] = f"SELECT o_orderkey, order_month FROM {ORDERS} WHERE {_sampled('0.3', 'o_orderkey')}"
     sql["stream_late_files"] = f"SELECT event_id, day FROM {EVENTS}"
     sql["rerun_sample_then_full"] = f"SELECT day, hour, row_count, 'full' AS mode FROM {EVENT_PARTS}"
     sql["rerun_with_hook"] = f"""SELECT event_id, '#' AS event_type, day, hour FROM {EVENTS}

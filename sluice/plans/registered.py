@@ -38,6 +38,7 @@ from sluice.sources.tables import (
     summary_totals,
 )
 from sluice.streaming.incremental import stream_copy
+from sluice.streaming.registered import stream_into_copy
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -529,6 +530,35 @@ def q_stream_late_files(spark, folder):
     return open_folder(spark, "events", target, schema, tuple(columns)).frame.select("event_id", "day")
 
 
+def q_stream_registered_copy(spark, folder):
+    """A batch run, a stream, a replay of it without its checkpoint, and a batch run over one target,
+    while files arrive in old and new months: as one batch run over all of them."""
+    source = table(spark, folder, "orders")
+    columns, orders = list(source.partition_columns), source.frame
+    turn = F.pmod(F.col("o_orderkey"), F.lit(3))
+    landing = new_scratch(spark, "landing")
+    target = runs.RunTarget(f"{new_scratch(spark, 'shared')}/data", _database(spark))
+    policy = CopyPolicy(sample_threshold=0, sample_keys={"orders": ("o_orderkey",)})
+    states = [new_scratch(spark, "state") for _ in range(2)]
+
+    def laid() -> SourceTable:
+        return open_folder(spark, "orders", landing, orders.schema, tuple(columns))
+
+    def batch() -> None:
+        result = runs.copy_tables(spark, {"orders": laid()}, [TableSpec("orders", sample_prob=0.3)], target, policy)
+        if result.errors:
+            raise RuntimeError(str(result.errors))
+
+    for n in range(3):
+        copy.write_partitioned(orders.where(turn == n), landing, columns, mode="append")
+        if n == 1:
+            for state in states:
+                stream_into_copy(spark, laid(), target, state, 0.3, policy)
+        else:
+            batch()
+    return spark.table(target.table_of("orders")).select("o_orderkey", "order_month")
+
+
 def _rerun(spark, folder, first: dict, second: dict, hook=None):
     """Two runs over the event hours into one target: the copy, its target and the second run."""
     root = new_scratch(spark, "rerun")

@@ -352,6 +352,8 @@ def _copy_table(spark, table, path, chosen, decision, policy, before_sample, tar
     done = storage.exists(spark, marker)
     earlier, was = _earlier_request(spark, marker) if done else (None, None)
     same = done and earlier == request
+    if done and not same and policy.same_request_only:
+        raise ValueError(f"{path} holds a copy by another request")
     if done and not same and not policy.overwrite_if_exists:
         raise ValueError(f"{path} holds a copy by another request; it stays as overwriting is off")
     found = None

@@ -13,7 +13,7 @@ from sluice.operators.sample import bernoulli_sample
 
 # The source would skip files much older than the newest one it has seen, such as those of
 # copies that keep file times. Its log of seen files tells new ones, so age need not.
-_ANY_AGE = "36500d"
+ANY_AGE = "36500d"
 
 
 def stream_copy(
@@ -46,7 +46,7 @@ def stream_copy(
         spark.readStream.schema(schema)
         .option("basePath", source_path)
         .option("maxFilesPerTrigger", max_files_per_batch)
-        .option("maxFileAge", _ANY_AGE)
+        .option("maxFileAge", ANY_AGE)
         .parquet(source_path)
     )
     rows = bernoulli_sample(arriving, p, keys, method)

@@ -167,3 +167,13 @@ def test_overtaken_run_publishes_nothing(spark, monthly, target, monkeypatch, in
     assert inner[0].errors == {}
     assert copied(spark, target) == ["a"] * 6 + ["b"] * 6
     assert states(spark, target) == {NAME: "finished"}
+
+
+def test_file_is_created_once_elsewhere(spark, monkeypatch):
+    """The way through Hadoop, which other file systems than local ones take."""
+    path = new_scratch(spark, "once")
+    storage.make_dir(spark, path)
+    monkeypatch.setattr(storage, "qualify", lambda _, p: f"store:{p}")
+    assert storage.create_text(spark, f"{path}/x", "first")
+    assert not storage.create_text(spark, f"{path}/x", "second")
+    assert storage.read_text(spark, f"{path}/x") == "first"
