@@ -52,6 +52,7 @@ def create_table_statement(
     storage: StorageFormat = PARQUET,
     comment: str | None = None,
     properties: Mapping[str, str] | None = None,
+    clustered: str = "",
 ) -> str:
     options = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in sorted(storage.options.items()))
     with_options = f" OPTIONS ({options})" if options else ""
@@ -61,7 +62,7 @@ def create_table_statement(
     partitioned = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in columns)})" if columns else ""
     return (
         f"CREATE TABLE IF NOT EXISTS {quoted_name(name)} ({_columns_ddl(schema)})"
-        f" USING {storage.source}{with_options}{partitioned} LOCATION {literal(location)}{note}{with_properties}"
+        f" USING {storage.source}{with_options}{partitioned}{clustered} LOCATION {literal(location)}{note}{with_properties}"
     )
 
 

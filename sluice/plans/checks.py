@@ -361,6 +361,9 @@ def statements() -> dict[str, str]:
         SELECT count(*) FILTER (state = 'finished') AS success, count(*) FILTER (state = 'failed') AS failure,
                count(*) FILTER (state = 'invalid') AS invalid, CAST(sum(row_count * 60) AS BIGINT) AS seconds
         FROM {_LEDGER})"""
+    sql["bucketed_copy"] = f"""SELECT o_orderkey, count(*) AS row_count, CAST(sum(l_linenumber) AS BIGINT) AS numbers
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+        WHERE {_sampled('0.3', *LINE_KEYS)} GROUP BY ALL"""
     sql["compacted_ledger"] = f"SELECT name AS item, state, CAST(row_count * 60 AS BIGINT) AS seconds FROM {_LEDGER}"
     sql["resume_ledger"] = f"""
         WITH wanted AS (

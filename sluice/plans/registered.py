@@ -18,7 +18,7 @@ from sluice import storage
 from sluice.functions import clock, paths, tags
 from sluice.model import LEDGER_SCHEMA, SUMMARY_SCHEMA, CopyPolicy, TableSpec, UnresolvedRequest
 from sluice.operators import cleanup as cleaning
-from sluice.operators import copy, hooks, ledger, register, registry, sample, select, sweep, transfer
+from sluice.operators import bucketed, copy, hooks, ledger, register, registry, sample, select, sweep, transfer
 from sluice.plans import run as runs
 from sluice.session import local_rows, new_scratch, pin
 from sluice.sources import files, footers, formats
@@ -1100,6 +1100,19 @@ def q_compacted_log(spark, folder):
     return register.describe_log(register.read_log(spark, log))
 
 
+def q_bucketed_copy(spark, folder):
+    """Orders whole and lineitem as a sample, both copied from bucketed tables and joined bucket by bucket."""
+    root, database = new_scratch(spark, "bucketed"), _database(spark)
+    for name, key, p in (("orders", "o_orderkey", 1.0), ("lineitem", "l_orderkey", 0.3)):
+        flat = open_flat(spark, folder, name)
+        clustered = bucketed.Buckets(8, (key,), (key,))
+        made = bucketed.bucketed_copy(spark, flat, f"{database}.{name}_made", f"{root}/{name}-made", buckets=clustered)
+        bucketed.bucketed_copy(spark, made, f"{database}.{name}", f"{root}/{name}", p, KEYS[name])
+    orders, lines = spark.table(f"{database}.orders"), spark.table(f"{database}.lineitem")
+    joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+    return joined.groupBy("o_orderkey").agg(F.count("*").alias("row_count"), F.sum("l_linenumber").cast("long").alias("numbers"))
+
+
 # --- paths ------------------------------------------------------------------------------
 
 
