@@ -114,3 +114,11 @@ def test_languages_without_a_reference_are_not_judged_by_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in quality.quality_report(docs).collect() if r["kept"]}
     assert kept == set(range(50))
+
+
+def test_kept_rows_are_not_measured_by_a_filter(spark, make_docs):
+    """A filter on the verdict would compute all counts again for each use."""
+    found = quality.keep_good(make_docs([None, "a b"]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.lstrip(" :+-").startswith("Filter") for line in plan.splitlines()), plan
+    assert found.columns == make_docs([]).columns
