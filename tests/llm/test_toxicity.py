@@ -135,3 +135,17 @@ def test_the_registered_query(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs)
     assert all(r["held_out"] == (fold(r["doc_id"]) == 1) for r in rows)
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More rows than one task fits: words that only rows outside the draw have count, on held-out rows too."""
+    rows, labels, docs, marks = made(spark, 1800)
+    rules = toxicity.Training(per_class=100)
+    data = toxicity.learn(docs, marks, rules)
+    model = toxicity.Model.load(data)
+    pieces = toxicity.text_pieces([r[1] for r in rows if fold(r[0]) != 1 and zlib.crc32(f"apart{r[0]}".encode()) % 5], toxicity.Words())
+    slots, signatures = toxicity.vocabulary(pieces, rules)
+    assert model.slots.tolist() == slots.tolist() and (model.signatures == signatures).all()
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, data).collect()}
+    held = [(found[n], t) for n, _, t in labels if fold(n) == 1]
+    assert np.mean([p == t for p, t in held]) > 0.9 and np.mean([p for p, t in held if t]) > 0.85
